@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +42,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spill_table(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: compressed, and partitioned by nothing."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, degree: str, share: float = 1 / 2000) -> DataFrame:
+    """left ⋈ right where right has one row per key and, in `degree`, how many rows of left have that key.
+
+    Rows of keys that hold more than `share` of left meet their partner by broadcast (at most
+    1/share rows); the rest shuffle.
+    """
+    total = right.agg(F.coalesce(F.sum(degree), F.lit(0))).first()[0]
+    hot = right.filter(F.col(degree) > F.lit(share * total))
+    cold = right.filter(F.col(degree) <= F.lit(share * total))
+    keys = hot.select(key).withColumn("is_hot", F.lit(True))
+    flagged = left.join(F.broadcast(keys), key, "left")
+    by_shuffle = flagged.filter("is_hot is null").drop("is_hot").join(cold, key)
+    by_broadcast = flagged.filter("is_hot").drop("is_hot").join(F.broadcast(hot), key)
+    return by_shuffle.unionByName(by_broadcast)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hornpress.llm import exact_dedup, mixing, sharding, url_filter
+from hornpress.llm import exact_dedup, mixing, sharding, simhash, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
     "op8_sharding": sharding.op8_sharding,
     "op10_mixing": mixing.op10_mixing,
 }
