@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from hornpress.llm import exact_dedup, mixing, sharding, simhash, url_filter
+from hornpress.llm import bpe, exact_dedup, mixing, sharding, simhash, token_counts, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_sharding": sharding.op8_sharding,
     "op10_mixing": mixing.op10_mixing,
 }
