@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hornpress.llm import bpe, exact_dedup, mixing, sharding, simhash, token_counts, url_filter
+from hornpress.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 
