@@ -74,6 +74,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return heavy.unionByName(light)
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
+    """The rows of docs that stay, all columns, by the rule of exact_groups.
+
+    Copies of a frequent text are dropped where they are read; the rest moves once, by digest.
+    """
+    text, ident = F.coalesce(F.col(f"rec.{text_col}").cast("string"), F.lit("")), F.col(f"rec.{id_col}")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec")).select(
+        "rec",
+        F.struct((-F.length(text)).alias("shorter"), ident.isNull().alias("no_id"), ident.alias("id")).alias("order"),
+        F.sha2(F.translate(text, WHITE, ""), 256).alias("digest"),
+    )
+    keyed = durable(packed.select("digest", "order", F.lit(0).alias("rid"), F.col("order.id").alias("doc_id")))
+    winners = durable(frequent_winners(keyed, support).select("digest", F.col("heavy.order").alias("best")))
+    left = packed.join(F.broadcast(winners), "digest", "left").filter(F.col("best").isNull() | F.col("order").eqNullSafe(F.col("best")))
+    first = F.row_number().over(Window.partitionBy("digest").orderBy("order"))
+    return left.select("rec", first.alias("nth")).filter("nth = 1").select("rec.*")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 

@@ -29,6 +29,8 @@ DENSE_PAIRS = 1 << 16
 PAIRS_AT_ONCE = 1 << 21
 #: Table entries of a bucket beyond which it is cut into a grid of cells.
 CELL = 4096
+#: More ids to drop than this are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Rough costs, in nanoseconds, of a row that is shuffled and of a pair that is compared.
 ROW_NS, PAIR_NS = 1500, 25
 
@@ -247,5 +249,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component the smallest id. Rows without an id stay."""
+    groups = near_groups(docs, id_col, text_col)
+    gone = spill_table(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    near = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if near else gone, id_col, "left_anti")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
