@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from hornpress.llm import bpe, exact_dedup, mixing, quality, sharding, simhash, token_counts, url_filter
+from hornpress.llm import bpe, chat, exact_dedup, media, mixing, quality, sharding, simhash, token_counts, url_filter
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_chat": chat.op3_chat,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op6_bpe": bpe.op6_bpe,
