@@ -1,89 +1,144 @@
 """BPE encoding and decoding by a distinct-word table.
 
-Texts are split into words where they are read; a block of documents keeps its distinct words once
-and each document as positions in that list. The blocks' words, dealt out by word, give the table
+Texts are split into words where they are read. A block of documents keeps its distinct words once
+and each document as positions in that list. The blocks' words, dealt out by word, make the table
 of distinct words, each encoded once; its ids go back to the blocks that hold the word and are
-joined to the documents by position. Decoding joins ids to their pieces.
+joined to the documents by position. Very frequent words, found in a sample, are encoded up front
+and sent along, so that blocks list the others only. Decoding joins ids to their pieces.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import spill_table, table, text_of
+from hornpress.llm.common import shuffle_partitions, spill_table, table, text_of
 from hornpress.llm.tokens import Splitter, default_path, pieces, read_file, tokenizer
 
-#: A block ends when it has so many distinct words or so many words.
-BLOCK_WORDS = 150_000
-BLOCK_LENGTH = 3_000_000
-#: Ids of the decoder's pieces joined at once.
-DECODE_AT_ONCE = 1 << 21
+#: Frequent words sent along: at most so many, none longer, out of so many texts. They decide what moves, not what results.
+FREQUENT, FREQUENT_LENGTH, FREQUENT_TEXTS = 60_000, 64, 5_000
+#: A block ends when it has so many distinct other words, or so many words in all.
+BLOCK_DISTINCT, BLOCK_LENGTH = 300_000, 5_000_000
+#: Word lists that a block cuts its words into, for each shuffle partition.
+LISTS = 4
+#: Ids joined to pieces at once.
+AT_ONCE = 1 << 20
 
-BLOCKS = "block long, {key}, codes binary, words array<string>"
+Batches = Iterator[pa.RecordBatch]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes by significance."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _tops(spec: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        split, counts = Splitter(spec), Counter()
+        for b in batches:
+            for text in b["text"]:
+                counts.update(split(text.as_py()))
+        top = [(w, n) for w, n in counts.most_common(FREQUENT) if len(w) <= FREQUENT_LENGTH]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+
+    return run
+
+
+def frequent_words(texts: DataFrame, spec: str) -> list[str]:
+    """At most FREQUENT words, from a sample of about FREQUENT_TEXTS texts."""
+    part = min(1.0, FREQUENT_TEXTS / max(1, texts.count()))
+    sample = texts if part == 1 else texts.sample(fraction=part, seed=5)
+    tops = sample.mapInArrow(_tops(spec), "word string, n long")
+    return [r["word"] for r in tops.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()]
 
 
 class Codes(dict):
-    """Word to position; a new word gets the next one."""
+    """Word to number; a new word gets the next one."""
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         return n
 
 
-def _split(spec: str, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def _split(spec: str, key: str, frequent: list[str], lists: int) -> Callable[[Batches], Batches]:
+    """To rows of documents (block, key, codes) and of word lists (block, list, start, words)."""
 
-        split, pack = Splitter(spec), zstandard.ZstdCompressor(level=1).compress
-        block, codes, length = TaskContext.get().partitionId() << 32, Codes(), 0
-        names = ["block", key, "codes", "words"]
-        kinds = [pa.int64(), None, pa.binary(), pa.list_(pa.string())]
+    def run(batches: Batches) -> Batches:
+        import xxhash
+        import zstandard
 
-        def rows(keys: pa.Array, coded: list[bytes | None], words: list[list[str] | None], blocks: list[int]) -> pa.RecordBatch:
-            cols = [pa.array(blocks, kinds[0]), keys, pa.array(coded, kinds[2]), pa.array(words, kinds[3])]
-            return pa.RecordBatch.from_arrays(cols, names=names)
+        split, digest = Splitter(spec), xxhash.xxh64_intdigest
+        names = ["block", key, "codes", "list", "start", "words"]
+        known = dict(zip(frequent, range(len(frequent)), strict=True))
+        block, codes, length = TaskContext.get().partitionId() << 32, Codes(known), 0
+        keys: list[pa.Array] = []
+        coded: list[np.ndarray] = []
+
+        def end() -> Batches:
+            """The block's words by list, and its documents with numbers in that order."""
+            rare = [w.encode("utf-8") for w in list(codes)[len(known) :]]
+            of = np.fromiter((digest(w) % lists for w in rare), np.int64, count=len(rare))
+            order = np.argsort(of, kind="stable")
+            number = np.arange(len(codes), dtype=np.uint32)
+            number[len(known) + order] = len(known) + np.arange(len(rare), dtype=np.uint32)
+            held = pa.concat_arrays(keys)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(coded), pa.int64()), held, pa.array([pack(number[c]) for c in coded], pa.binary()), *(pa.nulls(len(coded), k) for k in (pa.int32(), pa.int64(), pa.binary()))], names=names)
+            filled, starts = np.unique(of[order], return_index=True)
+            words = [zstandard.ZstdCompressor(level=1).compress(b"\xff".join(rare[i] for i in part)) for part in np.split(order, starts[1:])] if len(rare) else []
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.nulls(len(words), held.type), pa.nulls(len(words), pa.binary()), pa.array(filled, pa.int32()), pa.array(starts, pa.int64()), pa.array(words, pa.binary())], names=names)
 
-        kind = None
         for b in batches:
-            kind = b[key].type
-            coded, blocks, ended = [], [], []
-            for text in b["text"]:
+            begun = 0
+            for i, text in enumerate(b["text"]):
                 words = split(text.as_py())
-                coded.append(pack(np.fromiter(map(codes.__getitem__, words), dtype="<u4", count=len(words)).tobytes()))
-                blocks.append(block)
+                coded.append(np.fromiter(map(codes.__getitem__, words), dtype=np.uint32, count=len(words)))
                 length += len(words)
-                if len(codes) >= BLOCK_WORDS or length >= BLOCK_LENGTH:
-                    ended.append((block, list(codes)))
-                    block, codes, length = block + 1, Codes(), 0
-            yield rows(b[key], coded, [None] * len(coded), blocks)
-            for n, words in ended:
-                yield rows(pa.nulls(1, kind), [None], [words], [n])
-        if length or codes:
-            yield rows(pa.nulls(1, kind), [None], [list(codes)], [block])
+                if len(codes) - len(known) >= BLOCK_DISTINCT or length >= BLOCK_LENGTH:
+                    keys.append(b[key][begun : i + 1])
+                    yield from end()
+                    block, codes, length, keys, coded, begun = block + 1, Codes(known), 0, [], [], i + 1
+            keys.append(b[key][begun:])
+        if coded:
+            yield from end()
 
     return run
 
 
-def _encode_words(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by word: each distinct word is encoded once, and its rows get its ids."""
-        t = tokenizer(spec)
-        last, last_ids = None, []
+def _encode_lists(spec: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        """Rows sorted by list: a list's distinct words, over all blocks, are encoded once each."""
+        import zstandard
+
+        t, now = tokenizer(spec), None
+        ids: dict[bytes, list[int]] = {}
         for b in batches:
-            runs = pc.run_end_encode(b["word"], run_end_type=pa.int32())
-            words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
-            ids = [last_ids if w == last else t.encode(w, add_special_tokens=False).ids for w in words]
-            if words:
-                last, last_ids = words[-1], ids[-1]
-            row = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
-            yield pa.RecordBatch.from_arrays([b["block"], b["pos"], pa.array(ids, pa.list_(pa.int32())).take(pa.array(row))], names=["block", "pos", "ids"])
+            sizes, values = [], []
+            for at, packed in zip(b["list"].to_pylist(), b["words"], strict=True):
+                if at != now:
+                    now, ids = at, {}
+                words = zstandard.ZstdDecompressor().decompress(packed.as_py()).split(b"\xff")
+                for w in words:
+                    if w not in ids:
+                        ids[w] = t.encode(w.decode("utf-8"), add_special_tokens=False).ids
+                found = [ids[w] for w in words]
+                sizes.append(pack(np.fromiter(map(len, found), np.uint32, count=len(found))))
+                values.append(pack(np.fromiter((x for f in found for x in f), np.uint32)))
+            yield pa.RecordBatch.from_arrays([b["block"], b["start"], pa.array(sizes, pa.binary()), pa.array(values, pa.binary())], names=["block", "start", "sizes", "ids"])
 
     return run
 
@@ -95,23 +150,19 @@ def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return values[at]
 
 
-def _join(key: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _join(key: str, frequent_sizes: np.ndarray, frequent_ids: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         """A block's documents and the ids of its words, by position."""
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
-        words = words.sort_by("pos").combine_chunks()
-        ids = words["ids"].combine_chunks() if words.num_rows else pa.array([], pa.list_(pa.int32()))
-        values, offsets = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        starts, lengths = offsets[:-1], np.diff(offsets)
+        words = words.sort_by("start")
+        sizes = np.concatenate([frequent_sizes, *(unpack(x.as_py()) for x in words["sizes"])]).astype(np.int64)
+        values = np.concatenate([frequent_ids, *(unpack(x.as_py()) for x in words["ids"])]).astype(np.int32)
+        starts = np.cumsum(sizes) - sizes
         out = []
         for packed in docs["codes"]:
-            codes = np.frombuffer(unpack(packed.as_py()), dtype="<u4")
-            out.append(_gather(values, starts[codes], lengths[codes]))
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
-        flat = np.concatenate(out).astype(np.int32) if out else np.array([], np.int32)
-        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(pa.int32()))
+            codes = unpack(packed.as_py())
+            out.append(_gather(values, starts[codes], sizes[codes]))
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.array([], np.int32)))
         return pa.table([docs[key], lists], names=[key, "ids"])
 
     return run
@@ -126,32 +177,44 @@ def encode(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path: s
     spec = read_file(path or default_path())
     df = docs.select(F.col(key), text_of(text_col).alias("text"))
     kind = f"`{key}` {df.schema[key].dataType.simpleString()}"
-    blocks = spill_table(df.mapInArrow(_split(spec, key), BLOCKS.format(key=kind)))
-    words = blocks.filter("words is not null").select("block", F.posexplode("words").alias("pos", "word"))
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(spec), "block long, pos int, ids array<int>")
+    frequent = frequent_words(df.select("text"), spec)
+    t = tokenizer(spec)
+    encoded = [t.encode(w, add_special_tokens=False).ids for w in frequent]
+    sizes, values = np.array([len(x) for x in encoded], np.uint32), np.array([i for x in encoded for i in x], np.uint32)
+    lists = LISTS * shuffle_partitions(docs.sparkSession)
+    blocks = spill_table(df.mapInArrow(_split(spec, key, frequent, lists), f"block long, {kind}, codes binary, list int, start long, words binary"))
+    words = blocks.filter("words is not null").select("block", "list", "start", "words")
+    ids = words.repartition("list").sortWithinPartitions("list").mapInArrow(_encode_lists(spec), "block long, start long, sizes binary, ids binary")
     coded = blocks.filter("codes is not null").select("block", key, "codes")
-    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(key), f"{kind}, ids array<int>")
+    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(key, sizes, values), f"{kind}, ids array<int>")
+
+
+def join_pieces(ids: np.ndarray, piece: pa.Array) -> bytes:
+    """The pieces of ids, end to end; ids are places in the table of pieces."""
+    parts = []
+    for at in range(0, len(ids), AT_ONCE):
+        met = piece.take(pa.array(ids[at : at + AT_ONCE]))
+        ends = np.frombuffer(met.buffers()[1], np.int64)
+        parts.append(met.buffers()[2].slice(ends[0], ends[len(met)] - ends[0]).to_pybytes())
+    return b"".join(parts)
+
+
+def decode_ids(ids: np.ndarray, piece: pa.Array) -> str:
+    return join_pieces(ids, piece).decode("utf-8", errors="replace")
 
 
-def _decode(spec: str, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decode(spec: str, key: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
         piece = pieces(spec)
         for b in batches:
-            texts = []
-            for ids in b["ids"]:
-                values, parts = ids.values, []
-                for at in range(0, len(values), DECODE_AT_ONCE):
-                    met = piece.take(values[at : at + DECODE_AT_ONCE])
-                    ends = np.frombuffer(met.buffers()[1], np.int64)
-                    parts.append(met.buffers()[2].slice(ends[0], ends[len(met)] - ends[0]).to_pybytes())
-                texts.append(b"".join(parts).decode("utf-8", errors="replace"))
-            yield pa.RecordBatch.from_arrays([b[key], b["ids"], pa.array(texts, pa.string())], names=[key, "ids", "text"])
+            texts = [decode_ids(ids.values.to_numpy(zero_copy_only=False), piece) for ids in b["ids"]]
+            yield pa.RecordBatch.from_arrays([b[key], pa.array(texts, pa.string())], names=[key, "text"])
 
     return run
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """(key, ids, text) from (key, ids): ids joined to their pieces; special tokens are kept.
+    """(key, text) from (key, ids): ids joined to their pieces; special tokens are kept.
 
     The pieces are the vocabulary, which does not grow with the data. Null ids are no ids; bytes
     that are not UTF-8 become U+FFFD.
@@ -159,17 +222,30 @@ def decode(encoded: DataFrame, key: str = "doc_id", path: str | None = None) ->
     spec = read_file(path or default_path())
     kind = f"`{key}` {encoded.schema[key].dataType.simpleString()}"
     ids = F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
-    return encoded.select(key, ids).mapInArrow(_decode(spec, key), f"{kind}, ids array<int>, text string")
+    return encoded.select(key, ids).mapInArrow(_decode(spec, key), f"{kind}, text string")
+
+
+def _digests(spec: str) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        piece = pieces(spec)
+        decimal = pa.array([b"%d," % i for i in range(len(piece))], pa.large_binary())
+        for b in batches:
+            rows = []
+            for ids in b["ids"]:
+                ids = ids.values.to_numpy(zero_copy_only=False)
+                listed, text = join_pieces(ids, decimal)[:-1], decode_ids(ids, piece)
+                rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()))
+            n, listed, texts = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, encoded and decoded."""
-    return decode(encode(docs, path=path), path=path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, encoded and decoded again."""
+    encoded = encode(docs, path=path)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(_digests(read_file(path or default_path())), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
