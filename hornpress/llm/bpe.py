@@ -23,7 +23,7 @@ from hornpress.llm.common import shuffle_partitions, spill_table, table, text_of
 from hornpress.llm.tokens import Splitter, default_path, pieces, read_file, tokenizer
 
 #: Frequent words sent along: at most so many, none longer, out of so many texts. They decide what moves, not what results.
-FREQUENT, FREQUENT_LENGTH, FREQUENT_TEXTS = 60_000, 64, 5_000
+FREQUENT, FREQUENT_LENGTH, FREQUENT_TEXTS = 120_000, 64, 8_000
 #: A block ends when it has so many distinct other words, or so many words in all.
 BLOCK_DISTINCT, BLOCK_LENGTH = 300_000, 5_000_000
 #: Word lists that a block cuts its words into, for each shuffle partition.
@@ -38,7 +38,7 @@ def pack(values: np.ndarray) -> bytes:
     """32-bit numbers, their bytes by significance."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -76,14 +76,14 @@ class Codes(dict):
 
 
 def _split(spec: str, key: str, frequent: list[str], lists: int) -> Callable[[Batches], Batches]:
-    """To rows of documents (block, key, codes) and of word lists (block, list, start, words)."""
+    """To a row of documents (block, keys, sizes, codes) and rows of word lists (block, list, start, words)."""
 
     def run(batches: Batches) -> Batches:
         import xxhash
         import zstandard
 
         split, digest = Splitter(spec), xxhash.xxh64_intdigest
-        names = ["block", key, "codes", "list", "start", "words"]
+        names = ["block", "keys", "sizes", "codes", "list", "start", "words"]
         known = dict(zip(frequent, range(len(frequent)), strict=True))
         block, codes, length = TaskContext.get().partitionId() << 32, Codes(known), 0
         keys: list[pa.Array] = []
@@ -97,10 +97,14 @@ def _split(spec: str, key: str, frequent: list[str], lists: int) -> Callable[[Ba
             number = np.arange(len(codes), dtype=np.uint32)
             number[len(known) + order] = len(known) + np.arange(len(rare), dtype=np.uint32)
             held = pa.concat_arrays(keys)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(coded), pa.int64()), held, pa.array([pack(number[c]) for c in coded], pa.binary()), *(pa.nulls(len(coded), k) for k in (pa.int32(), pa.int64(), pa.binary()))], names=names)
+            held = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)
+            sizes = np.fromiter(map(len, coded), np.uint32, count=len(coded))
+            row = [pa.array([pack(x)], pa.binary()) for x in (sizes, number[np.concatenate(coded)])]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), held, *row, *(pa.nulls(1, k) for k in (pa.int32(), pa.int64(), pa.binary()))], names=names)
             filled, starts = np.unique(of[order], return_index=True)
-            words = [zstandard.ZstdCompressor(level=1).compress(b"\xff".join(rare[i] for i in part)) for part in np.split(order, starts[1:])] if len(rare) else []
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.nulls(len(words), held.type), pa.nulls(len(words), pa.binary()), pa.array(filled, pa.int32()), pa.array(starts, pa.int64()), pa.array(words, pa.binary())], names=names)
+            words = [zstandard.ZstdCompressor(level=3).compress(b"\xff".join(rare[i] for i in part)) for part in np.split(order, starts[1:])] if len(rare) else []
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.nulls(n, held.type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(filled, pa.int32()), pa.array(starts, pa.int64()), pa.array(words, pa.binary())], names=names)
 
         for b in batches:
             begun = 0
@@ -157,13 +161,13 @@ def _join(key: str, frequent_sizes: np.ndarray, frequent_ids: np.ndarray) -> Cal
         sizes = np.concatenate([frequent_sizes, *(unpack(x.as_py()) for x in words["sizes"])]).astype(np.int64)
         values = np.concatenate([frequent_ids, *(unpack(x.as_py()) for x in words["ids"])]).astype(np.int32)
         starts = np.cumsum(sizes) - sizes
-        out = []
-        for packed in docs["codes"]:
-            codes = unpack(packed.as_py())
-            out.append(_gather(values, starts[codes], sizes[codes]))
+        held = docs["keys"].combine_chunks().flatten()
+        lengths = np.concatenate([unpack(x.as_py()) for x in docs["sizes"]]).astype(np.int64)
+        codes = np.split(np.concatenate([unpack(x.as_py()) for x in docs["codes"]]), np.cumsum(lengths)[:-1])
+        out = [_gather(values, starts[c], sizes[c]) for c in codes]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.array([], np.int32)))
-        return pa.table([docs[key], lists], names=[key, "ids"])
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
+        return pa.table([held, lists], names=[key, "ids"])
 
     return run
 
@@ -176,17 +180,17 @@ def encode(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path: s
     """
     spec = read_file(path or default_path())
     df = docs.select(F.col(key), text_of(text_col).alias("text"))
-    kind = f"`{key}` {df.schema[key].dataType.simpleString()}"
+    kind = df.schema[key].dataType.simpleString()
     frequent = frequent_words(df.select("text"), spec)
     t = tokenizer(spec)
     encoded = [t.encode(w, add_special_tokens=False).ids for w in frequent]
     sizes, values = np.array([len(x) for x in encoded], np.uint32), np.array([i for x in encoded for i in x], np.uint32)
     lists = LISTS * shuffle_partitions(docs.sparkSession)
-    blocks = spill_table(df.mapInArrow(_split(spec, key, frequent, lists), f"block long, {kind}, codes binary, list int, start long, words binary"))
+    blocks = spill_table(df.mapInArrow(_split(spec, key, frequent, lists), f"block long, keys array<{kind}>, sizes binary, codes binary, list int, start long, words binary"))
     words = blocks.filter("words is not null").select("block", "list", "start", "words")
     ids = words.repartition("list").sortWithinPartitions("list").mapInArrow(_encode_lists(spec), "block long, start long, sizes binary, ids binary")
-    coded = blocks.filter("codes is not null").select("block", key, "codes")
-    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(key, sizes, values), f"{kind}, ids array<int>")
+    coded = blocks.filter("codes is not null").select("block", "keys", "sizes", "codes")
+    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(key, sizes, values), f"`{key}` {kind}, ids array<int>")
 
 
 def join_pieces(ids: np.ndarray, piece: pa.Array) -> bytes:
