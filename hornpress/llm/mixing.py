@@ -16,7 +16,9 @@ from hornpress.llm.common import WORD, durable, table, text_of
 CAP = 3
 CYCLE = (1, 2, 3)
 SEED = "mix-1"
-DRAWS = 8
+DRAWS = 64
+#: Draws of 8 hex digits that a hash holds.
+HELD = 8
 #: Plans of more sources than this are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -25,13 +27,14 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def digits(ident: Column, seed: str = SEED) -> Column:
-    """64 hex digits of a document: eight for each draw."""
-    return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))), 256)
+def hashed(ident: Column, block: Column, seed: str = SEED) -> Column:
+    """64 hex digits of a document: HELD draws."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), block.cast("string"), F.lit(":"), F.coalesce(ident.cast("string"), F.lit(""))), 256)
 
 
 def uniform(hexed: Column, draw: Column) -> Column:
-    return F.conv(F.substring(hexed, draw * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(2.0**32)
+    """The draw, from the hash of its block, as a number from 0 to 1."""
+    return F.conv(F.substring(hexed, F.pmod(draw, F.lit(HELD)) * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(2.0**32)
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -71,9 +74,9 @@ def mixing_plan(sized: DataFrame) -> tuple[DataFrame, int]:
     """(source, source_size, target, times, part, draw) and the number of sources, from (doc_id, source, size)."""
     targets = durable(source_targets(sized))
     sources = targets.count()
-    hexed = digits(F.col("doc_id"))
-    drawn = _with_plan(sized.withColumn("hexed", hexed), targets, sources, F.col("source"))
-    taken = [F.sum(F.col("size") * (F.col("times") + (uniform(F.col("hexed"), F.lit(j)) < F.col("part")).cast("long"))) for j in range(DRAWS)]
+    hexes = [hashed(F.col("doc_id"), F.lit(b)).alias(f"hex{b}") for b in range(DRAWS // HELD)]
+    drawn = _with_plan(sized.select("source", "size", *hexes), targets, sources, F.col("source"))
+    taken = [F.sum(F.col("size") * (F.col("times") + (uniform(F.col(f"hex{j // HELD}"), F.lit(j)) < F.col("part")).cast("long"))) for j in range(DRAWS)]
     sums = drawn.groupBy("source", "source_size", "target", "times", "part").agg(F.array(*taken).alias("taken"))
     off = F.transform("taken", lambda x, j: F.struct(F.abs(x - F.col("target")).alias("off"), j.alias("draw")))
     plan = sums.select("source", "source_size", "target", "times", "part", F.array_min(off)["draw"].alias("draw"))
@@ -82,7 +85,7 @@ def mixing_plan(sized: DataFrame) -> tuple[DataFrame, int]:
 
 def copies_of(ident: Column) -> Column:
     """Beside the plan's columns: how often a document is taken."""
-    return F.col("times") + (uniform(digits(ident), F.col("draw")) < F.col("part")).cast("long")
+    return F.col("times") + (uniform(hashed(ident, F.floor(F.col("draw") / HELD)), F.col("draw")) < F.col("part")).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -114,8 +117,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         sha256('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS hexed
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents),
 weighed AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank,
@@ -136,8 +138,8 @@ rates AS (
   FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets)),
 draws AS (
   SELECT s.doc_id, s.source, s.size, r.source_size, r.target, d.draw,
-         r.times + (('0x' || substr(hexed, d.draw * 8 + 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < r.part)::BIGINT AS copies
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(8))::INT AS draw) d),
+         r.times + (('0x' || substr(sha256('mix-1:' || (d.draw // 8)::VARCHAR || ':' || coalesce(s.doc_id::VARCHAR, '')), d.draw % 8 * 8 + 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < r.part)::BIGINT AS copies
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(64))::INT AS draw) d),
 chosen AS (
   SELECT source, draw FROM (
     SELECT source, draw, row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies)::DOUBLE - any_value(target)), draw) AS nth
