@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import shuffle_partitions, spill_table, table, text_of
-from hornpress.llm.tokens import Splitter, default_path, pieces, read_file, tokenizer
+from hornpress.llm.common import lean, shuffle_partitions, spill_table, table, text_of
+from hornpress.llm.tokens import Splitter, added_tokens, default_path, pieces, read_file, tokenizer
 
 #: Frequent words sent along: at most so many, none longer, out of so many texts. They decide what moves, not what results.
 FREQUENT, FREQUENT_LENGTH, FREQUENT_TEXTS = 120_000, 64, 8_000
 #: A block ends when it has so many distinct other words, or so many words in all.
-BLOCK_DISTINCT, BLOCK_LENGTH = 300_000, 5_000_000
+BLOCK_DISTINCT, BLOCK_LENGTH = 300_000, 4_000_000
 #: Word lists that a block cuts its words into, for each shuffle partition.
 LISTS = 4
 #: Ids joined to pieces at once.
@@ -47,9 +47,10 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _tops(spec: str) -> Callable[[Batches], Batches]:
+def _tops(added: list[str]) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
-        split, counts = Splitter(spec), Counter()
+        lean()
+        split, counts = Splitter(added), Counter()
         for b in batches:
             for text in b["text"]:
                 counts.update(split(text.as_py()))
@@ -59,11 +60,11 @@ def _tops(spec: str) -> Callable[[Batches], Batches]:
     return run
 
 
-def frequent_words(texts: DataFrame, spec: str) -> list[str]:
+def frequent_words(texts: DataFrame, added: list[str]) -> list[str]:
     """At most FREQUENT words, from a sample of about FREQUENT_TEXTS texts."""
     part = min(1.0, FREQUENT_TEXTS / max(1, texts.count()))
     sample = texts if part == 1 else texts.sample(fraction=part, seed=5)
-    tops = sample.mapInArrow(_tops(spec), "word string, n long")
+    tops = sample.mapInArrow(_tops(added), "word string, n long")
     return [r["word"] for r in tops.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()]
 
 
@@ -75,14 +76,15 @@ class Codes(dict):
         return n
 
 
-def _split(spec: str, key: str, frequent: list[str], lists: int) -> Callable[[Batches], Batches]:
+def _split(added: list[str], key: str, frequent: list[str], lists: int) -> Callable[[Batches], Batches]:
     """To a row of documents (block, keys, sizes, codes) and rows of word lists (block, list, start, words)."""
 
     def run(batches: Batches) -> Batches:
+        lean()
         import xxhash
         import zstandard
 
-        split, digest = Splitter(spec), xxhash.xxh64_intdigest
+        split, digest = Splitter(added), xxhash.xxh64_intdigest
         names = ["block", "keys", "sizes", "codes", "list", "start", "words"]
         known = dict(zip(frequent, range(len(frequent)), strict=True))
         block, codes, length = TaskContext.get().partitionId() << 32, Codes(known), 0
@@ -126,6 +128,7 @@ def _split(spec: str, key: str, frequent: list[str], lists: int) -> Callable[[Ba
 def _encode_lists(spec: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         """Rows sorted by list: a list's distinct words, over all blocks, are encoded once each."""
+        lean()
         import zstandard
 
         t, now = tokenizer(spec), None
@@ -157,6 +160,7 @@ def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 def _join(key: str, frequent_sizes: np.ndarray, frequent_ids: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         """A block's documents and the ids of its words, by position."""
+        lean()
         words = words.sort_by("start")
         sizes = np.concatenate([frequent_sizes, *(unpack(x.as_py()) for x in words["sizes"])]).astype(np.int64)
         values = np.concatenate([frequent_ids, *(unpack(x.as_py()) for x in words["ids"])]).astype(np.int32)
@@ -181,12 +185,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path: s
     spec = read_file(path or default_path())
     df = docs.select(F.col(key), text_of(text_col).alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    frequent = frequent_words(df.select("text"), spec)
+    added = added_tokens(spec)
+    frequent = frequent_words(df.select("text"), added)
     t = tokenizer(spec)
     encoded = [t.encode(w, add_special_tokens=False).ids for w in frequent]
     sizes, values = np.array([len(x) for x in encoded], np.uint32), np.array([i for x in encoded for i in x], np.uint32)
     lists = LISTS * shuffle_partitions(docs.sparkSession)
-    blocks = spill_table(df.mapInArrow(_split(spec, key, frequent, lists), f"block long, keys array<{kind}>, sizes binary, codes binary, list int, start long, words binary"))
+    blocks = spill_table(df.mapInArrow(_split(added, key, frequent, lists), f"block long, keys array<{kind}>, sizes binary, codes binary, list int, start long, words binary"))
     words = blocks.filter("words is not null").select("block", "list", "start", "words")
     ids = words.repartition("list").sortWithinPartitions("list").mapInArrow(_encode_lists(spec), "block long, start long, sizes binary, ids binary")
     coded = blocks.filter("codes is not null").select("block", "keys", "sizes", "codes")
@@ -209,6 +214,7 @@ def decode_ids(ids: np.ndarray, piece: pa.Array) -> str:
 
 def _decode(spec: str, key: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        lean()
         piece = pieces(spec)
         for b in batches:
             texts = [decode_ids(ids.values.to_numpy(zero_copy_only=False), piece) for ids in b["ids"]]
@@ -231,6 +237,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", path: str | None = None) ->
 
 def _digests(spec: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        lean()
         piece = pieces(spec)
         decimal = pa.array([b"%d," % i for i in range(len(piece))], pa.large_binary())
         for b in batches:

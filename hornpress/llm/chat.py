@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import durable, skew_join, spill_table, table, text_of
+from hornpress.llm.common import durable, lean, skew_join, spill_table, table, text_of
 
 ROLES = ("system", "user", "assistant")
 #: State 2r begins a turn of role r, state 2r + 1 continues it.
@@ -109,6 +109,7 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _matrices(hmm: Hmm) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        lean()
         for b in batches:
             flat = [hmm.matrix([observe(x)[0] for x in t.as_py().split("\n")]).ravel() for t in b["text"]]
             m = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)), ALL * ALL).cast(pa.list_(pa.int64()))
@@ -155,6 +156,7 @@ def _ends(batches: Batches) -> Batches:
 
 def _parsed(hmm: Hmm) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        lean()
         for b in batches:
             roles, begun, rendered, lines = [], [], [], []
             for text, before, end in zip(b["text"].to_pylist(), b["before"].to_pylist(), b["end"].to_pylist(), strict=True):

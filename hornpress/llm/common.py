@@ -36,6 +36,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lean() -> None:
+    """In a Python worker: Arrow memory goes back to the system when it is freed, not to a pool."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

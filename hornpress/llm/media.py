@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import table, text_of
+from hornpress.llm.common import lean, table, text_of
 
 BLOCK = 64
 #: Blocks of a unit: four of luma, one each of the chroma components.
@@ -424,6 +424,7 @@ def _store(key: str) -> Callable[[Batches], Batches]:
     schema = pa.schema([("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Batches) -> Batches:
+        lean()
         for b in batches:
             yield from _batches(b[key], ((len(t), encode_jpeg(payload_of(t))) for t in (x.as_py() for x in b["text"].cast(pa.binary()))), key, schema)
 
@@ -440,6 +441,7 @@ def _load(key: str) -> Callable[[Batches], Batches]:
             yield n, media.as_py(), p.payload(), p.height, p.width, rgb.tobytes(), rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
 
     def run(batches: Batches) -> Batches:
+        lean()
         for b in batches:
             yield from _batches(b[key], rows(b), key, schema)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import table, text_of
+from hornpress.llm.common import lean, table, text_of
 
 #: Labelled documents that the model is fitted on, at most, and the most lines of one of them.
 SAMPLE = 4000
@@ -223,19 +223,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(np.vstack(xs), size, np.array([len(x) for x in xs]), np.array([r["quality"] for r in got]))
 
 
-def _score(model: Model, key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(model: Model, text_of_row: Callable[[pa.RecordBatch], pa.Array]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A score beside a batch's first column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for b in batches:
             scores, some, length = [np.zeros(0)], [], 0
-            for t in b["text"]:
-                some.append(t.as_py())
+            for t in text_of_row(b):
+                some.append(t.as_py() or "")
                 length += len(some[-1])
                 if length > AT_ONCE:
                     scores.append(model.score(some))
                     some, length = [], 0
             if some:
                 scores.append(model.score(some))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c != "text"), pa.array(np.concatenate(scores))], names=[*(c for c in b.schema.names if c != "text"), "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores))], names=[b.schema.names[0], "score"])
 
     return run
 
@@ -248,15 +251,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     df = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = df.schema["doc_id"].dataType.simpleString()
-    scored = df.mapInArrow(_score(model, "doc_id"), f"doc_id {kind}, score double")
+    scored = df.mapInArrow(_score(model, lambda b: b["text"]), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, that the model predicts good."""
-    rec = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"), text_of().alias("text"))
+    at = docs.columns.index("text")
+    rec = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"))
     kind = rec.schema["rec"].dataType.simpleString()
-    return rec.mapInArrow(_score(model, "rec"), f"rec {kind}, score double").filter("score >= 0.5").select("rec.*")
+    return rec.mapInArrow(_score(model, lambda b: b["rec"].field(at)), f"rec {kind}, score double").filter("score >= 0.5").select("rec.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import durable, skew_join, spill_table, table
+from hornpress.llm.common import durable, lean, skew_join, spill_table, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -52,6 +52,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     for b in batches:
         f = np.fromiter((fingerprint(t.as_py()) for t in b["text"]), dtype=np.uint64, count=b.num_rows)
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(f.view(np.int64))], names=["doc_id", "fp"])

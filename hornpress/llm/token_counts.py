@@ -14,8 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import shared_dir, skew_join, spill_table, table, text_of
-from hornpress.llm.tokens import Splitter, default_path, read_file, tokenizer, version_digest
+from hornpress.llm.common import lean, shared_dir, skew_join, spill_table, table, text_of
+from hornpress.llm.tokens import Splitter, added_tokens, default_path, read_file, tokenizer, version_digest
 
 LIMIT = 1024
 CACHE = "content string, version string, n_tokens long"
@@ -36,9 +36,10 @@ class WordCounts(dict):
         return n
 
 
-def _count(spec: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(spec: str, added: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = Splitter(spec), WordCounts(spec)
+        lean()
+        split, counts = Splitter(added), WordCounts(spec)
         for b in batches:
             found = []
             for text in b["text"]:
@@ -82,7 +83,7 @@ def count_tokens(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
     texts = texts.groupBy("content").agg(F.first("text").alias("text"))
     if not few:
         texts = texts.join(missing, "content", "left_semi")
-    counted = texts.mapInArrow(_count(spec), "content string, n_tokens long")
+    counted = texts.mapInArrow(_count(spec, added_tokens(spec)), "content string, n_tokens long")
     counted.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = distinct.join(read_cache(spark, cache, version), "content")
     return skew_join(keyed, counts, "content", "degree").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -40,30 +40,37 @@ def tokenizer(spec: str):  # noqa: ANN201
     return t
 
 
+def added_tokens(spec: str) -> list[str]:
+    """The added tokens, longest first, of a tokenizer whose texts Splitter can split."""
+    conf = json.loads(spec)
+    pre = conf["pre_tokenizer"]
+    plain = not conf["normalizer"] and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+    simple = all(not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) for a in conf["added_tokens"])
+    if not (plain and simple):
+        raise ValueError("only byte-level tokenizers without a normalizer are supported")
+    return [a["content"] for a in sorted(conf["added_tokens"], key=lambda a: -len(a["content"]))]
+
+
 class Splitter:
     """Whole texts to words that the tokenizer encodes one by one as it does within the text.
 
     Added tokens (such as <|endoftext|>) are words of their own.
     """
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, added: list[str]) -> None:
         import regex
 
-        conf = json.loads(spec)
-        pre = conf["pre_tokenizer"]
-        plain = not conf["normalizer"] and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
-        simple = all(not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) for a in conf["added_tokens"])
-        if not (plain and simple):
-            raise ValueError("only byte-level tokenizers without a normalizer are supported")
-        self.pre = tokenizer(spec).pre_tokenizer
-        added = [a["content"] for a in sorted(conf["added_tokens"], key=lambda a: -len(a["content"]))]
-        self.added = set(added)
+        self.added, self.pre = set(added), None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.words = regex.compile(PATTERN).findall
         self.odd = regex.compile(f"[^{AGREED}]").search
 
     def _part(self, text: str) -> list[str]:
         if self.odd(text):
+            if self.pre is None:
+                from tokenizers import pre_tokenizers
+
+                self.pre = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
             return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
         return self.words(text)
 
