@@ -278,17 +278,25 @@ def is_specialization(special: Rule, general: Rule) -> bool:
 Schema = list[tuple[str, int]]
 
 
-def specializations(rule: Rule, schema: Schema, constants: dict[tuple[str, int], list[int]]) -> Iterator[Rule]:
+#: What a step asks of groundings: ("eq", place, place), ("is", place, constant) or ("in", place, (relation, column))
+Move = tuple[str, Place, object]
+
+
+def moves(rule: Rule, schema: Schema, constants: dict[tuple[str, int], list[int]]) -> Iterator[tuple[Rule, Move]]:
     """Every rule one step longer: known variables first, then each empty argument's constants, pairs and new atoms."""
     empty = rule.empty
-    for var in rule.places:
-        yield from (rule.join_known(p, var) for p in empty)
-        yield from (rule.add_known(pred, arity, i, var) for pred, arity in schema for i in range(arity))
+    for var, places in rule.places.items():
+        yield from ((rule.join_known(p, var), ("eq", p, places[0])) for p in empty)
+        yield from ((rule.add_known(pred, arity, i, var), ("in", places[0], (pred, i))) for pred, arity in schema for i in range(arity))
     for k, place in enumerate(empty):
         pred = rule.atoms[place[0]].pred
-        yield from (rule.bind(place, c) for c in constants.get((pred, place[1]), []))
-        yield from (rule.join_new(place, other) for other in empty[k + 1 :])
-        yield from (rule.add_new(pred, arity, i, place) for pred, arity in schema for i in range(arity))
+        yield from ((rule.bind(place, c), ("is", place, c)) for c in constants.get((pred, place[1]), []))
+        yield from ((rule.join_new(place, other), ("eq", place, other)) for other in empty[k + 1 :])
+        yield from ((rule.add_new(pred, arity, i, place), ("in", place, (pred, i))) for pred, arity in schema for i in range(arity))
+
+
+def specializations(rule: Rule, schema: Schema, constants: dict[tuple[str, int], list[int]]) -> Iterator[Rule]:
+    return (r for r, _ in moves(rule, schema, constants))
 
 
 def generalizations(rule: Rule) -> Iterator[Rule]:
