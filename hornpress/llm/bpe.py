@@ -157,31 +157,61 @@ def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return values[at]
 
 
-def _join(key: str, frequent_sizes: np.ndarray, frequent_ids: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
+#: From keys and the ids of each row to the table that a block gives.
+Finish = Callable[[pa.Array, Iterator[np.ndarray]], pa.Table]
+
+
+def _join(frequent_sizes: np.ndarray, frequent_ids: np.ndarray, finish: Finish) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         """A block's documents and the ids of its words, by position."""
         lean()
         words = words.sort_by("start")
-        sizes = np.concatenate([frequent_sizes, *(unpack(x.as_py()) for x in words["sizes"])]).astype(np.int64)
-        values = np.concatenate([frequent_ids, *(unpack(x.as_py()) for x in words["ids"])]).astype(np.int32)
-        starts = np.cumsum(sizes) - sizes
-        held = docs["keys"].combine_chunks().flatten()
-        lengths = np.concatenate([unpack(x.as_py()) for x in docs["sizes"]]).astype(np.int64)
-        codes = np.split(np.concatenate([unpack(x.as_py()) for x in docs["codes"]]), np.cumsum(lengths)[:-1])
-        out = [_gather(values, starts[c], sizes[c]) for c in codes]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))
-        return pa.table([held, lists], names=[key, "ids"])
+        sizes = np.concatenate([frequent_sizes, *(unpack(x.as_py()) for x in words["sizes"])])
+        values = np.concatenate([frequent_ids, *(unpack(x.as_py()) for x in words["ids"])])
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        (held,), (lengths,), (codes,) = (docs[c].to_pylist() if c != "keys" else [docs[c].combine_chunks().flatten()] for c in ("keys", "sizes", "codes"))
+        ends, codes = np.cumsum(unpack(lengths), dtype=np.int64), unpack(codes)
+        return finish(held, (_gather(values, starts[c], sizes[c].astype(np.int64)) for c in np.split(codes, ends[:-1])))
 
     return run
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """One row per row of docs: its key and ids (array<int>) of its whole text, without added special tokens.
+def _as_ids(key: str) -> Finish:
+    def finish(keys: pa.Array, rows: Iterator[np.ndarray]) -> pa.Table:
+        """In chunks, each of which is sent by itself."""
+        chunks, held, size = [], [], 0
 
-    path: a byte-level BPE file of the tokenizers library. A null text is an empty one, which has no
-    ids. Keys may repeat or be null; other columns are not read.
-    """
+        def end() -> None:
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
+            chunks.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).astype(np.int32))))
+
+        for ids in rows:
+            held.append(ids)
+            size += len(ids)
+            if size > AT_ONCE:
+                end()
+                held, size = [], 0
+        if held:
+            end()
+        return pa.table([pa.chunked_array([keys]), pa.chunked_array(chunks)], names=[key, "ids"])
+
+    return finish
+
+
+def _as_digests(spec: str) -> Finish:
+    def finish(keys: pa.Array, rows: Iterator[np.ndarray]) -> pa.Table:
+        """Ids, listed and decoded again, to hashes."""
+        piece = pieces(spec)
+        decimal = pa.array([b"%d," % i for i in range(len(piece))], pa.large_binary())
+        out = [(len(ids), hashlib.sha256(join_pieces(ids, decimal)[:-1]).hexdigest(), hashlib.sha256(decode_ids(ids, piece).encode("utf-8")).hexdigest()) for ids in rows]
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+        return pa.table([keys, *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return finish
+
+
+def _encoded(docs: DataFrame, key: str, text_col: str, path: str | None, finish: Callable[[str], Finish], out: str) -> DataFrame:
+    """What `finish`, given the tokenizer, makes of the ids of each row of docs: `key` and the columns `out`."""
     spec = read_file(path or default_path())
     df = docs.select(F.col(key), text_of(text_col).alias("text"))
     kind = df.schema[key].dataType.simpleString()
@@ -195,7 +225,16 @@ def encode(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path: s
     words = blocks.filter("words is not null").select("block", "list", "start", "words")
     ids = words.repartition("list").sortWithinPartitions("list").mapInArrow(_encode_lists(spec), "block long, start long, sizes binary, ids binary")
     coded = blocks.filter("codes is not null").select("block", "keys", "sizes", "codes")
-    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(key, sizes, values), f"`{key}` {kind}, ids array<int>")
+    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(sizes, values, finish(spec)), f"`{key}` {kind}, {out}")
+
+
+def encode(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """One row per row of docs: its key and ids (array<int>) of its whole text, without added special tokens.
+
+    path: a byte-level BPE file of the tokenizers library. A null text is an empty one, which has no
+    ids. Keys may repeat or be null; other columns are not read.
+    """
+    return _encoded(docs, key, text_col, path, lambda _: _as_ids(key), "ids array<int>")
 
 
 def join_pieces(ids: np.ndarray, piece: pa.Array) -> bytes:
@@ -235,28 +274,12 @@ def decode(encoded: DataFrame, key: str = "doc_id", path: str | None = None) ->
     return encoded.select(key, ids).mapInArrow(_decode(spec, key), f"{kind}, text string")
 
 
-def _digests(spec: str) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        lean()
-        piece = pieces(spec)
-        decimal = pa.array([b"%d," % i for i in range(len(piece))], pa.large_binary())
-        for b in batches:
-            rows = []
-            for ids in b["ids"]:
-                ids = ids.values.to_numpy(zero_copy_only=False)
-                listed, text = join_pieces(ids, decimal)[:-1], decode_ids(ids, piece)
-                rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(text.encode("utf-8")).hexdigest()))
-            n, listed, texts = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return run
-
-
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, encoded and decoded again."""
-    encoded = encode(docs, path=path)
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(_digests(read_file(path or default_path())), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, encoded and decoded again.
+
+    As decode(encode(docs)), hashed where a block's ids are joined: ids and texts are not moved again.
+    """
+    return _encoded(docs, "doc_id", "text", path, _as_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
