@@ -76,9 +76,10 @@ class Kb:
     def from_names(name: str, relations: dict[str, DataFrame]) -> Kb:
         """From tables of strings: every distinct string is a constant, numbered in order."""
         cells = reduce(DataFrame.unionByName, (df.select(F.explode(F.array(*df.columns)).alias("name")) for df in relations.values()))
-        numeration = nm.numbered(cells)
-        coded = {k: nm.encode(df.dropna(), numeration) for k, df in relations.items()}
-        return Kb.of(name, coded, numeration.count(), numeration)
+        numeration = nm.numbered(cells).persist()
+        n = numeration.count()
+        coded = {k: nm.encode(df.dropna(), numeration, n) for k, df in relations.items()}
+        return Kb.of(name, coded, n, numeration)
 
     @property
     def spark(self) -> SparkSession:

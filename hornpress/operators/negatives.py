@@ -41,7 +41,7 @@ def with_ordinals(t: DataFrame, n: int) -> DataFrame:
 def stepped(t: DataFrame, n: int, step: int) -> DataFrame:
     """Tuples so many places further, not beyond the first and last."""
     last = F.lit(n ** len(t.columns) - 1).cast(WIDE)
-    at = F.least(F.greatest(with_ordinals(t, n)["ordinal"] + F.lit(step), F.lit(0).cast(WIDE)), last)
+    at = F.least(F.greatest(F.col("ordinal") + F.lit(step), F.lit(0).cast(WIDE)), last)
     return decoded(with_ordinals(t, n).select(at.cast(WIDE).alias("ordinal")), len(t.columns), n)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornpress.operators.graph import checkpointed
+
 SCHEMA = "name string, num int"
 #: Tables of more names than this are joined by a shuffle.
 BROADCAST_NAMES = 1_000_000
@@ -12,7 +14,7 @@ BROADCAST_NAMES = 1_000_000
 
 def ranked(df: DataFrame, key: str, out: str, start: int = 1) -> DataFrame:
     """df, whose keys differ, with each row's rank by key: rows are dealt out by ranges of the key and ranked within each."""
-    dealt = df.repartitionByRange(key).withColumn("range", F.spark_partition_id()).checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.withColumn("range", F.lit(0))
+    dealt = checkpointed(df.repartitionByRange(key).withColumn("range", F.spark_partition_id()))
     counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
     before = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("range").orderBy(key))
@@ -61,23 +63,24 @@ def permuted(numeration: DataFrame, mapping: DataFrame) -> DataFrame:
     return renumbered(numeration, mapping) if mapping.count() == numeration.count() else numeration
 
 
-def _near(numeration: DataFrame) -> DataFrame:
-    return F.broadcast(numeration) if numeration.count() <= BROADCAST_NAMES else numeration
+def _near(numeration: DataFrame, size: int | None) -> DataFrame:
+    return F.broadcast(numeration) if (numeration.count() if size is None else size) <= BROADCAST_NAMES else numeration
 
 
-def encode(df: DataFrame, numeration: DataFrame) -> DataFrame:
-    """String columns to numbers; unknown names become 0."""
-    for c in df.columns:
-        coded = _near(numeration).select(F.col("name").alias(c), F.col("num").alias("coded"))
+def encode(df: DataFrame, numeration: DataFrame, size: int | None = None) -> DataFrame:
+    """String columns to numbers; unknown names become 0. size: the number of names, if known."""
+    cols, names = df.columns, _near(numeration, size)
+    for c in cols:
+        coded = names.select(F.col("name").alias(c), F.col("num").alias("coded"))
         df = df.join(coded, c, "left").withColumn(c, F.coalesce("coded", F.lit(0))).drop("coded")
-    return df
+    return df.select(*cols)
 
 
-def decode(df: DataFrame, numeration: DataFrame) -> DataFrame:
+def decode(df: DataFrame, numeration: DataFrame, size: int | None = None) -> DataFrame:
     """Numbers to names; unknown numbers become null."""
-    cols = df.columns
+    cols, names = df.columns, _near(numeration, size)
     for c in cols:
-        named = _near(numeration).select(F.col("num").alias(c), F.col("name").alias("named"))
+        named = names.select(F.col("num").alias(c), F.col("name").alias("named"))
         df = df.join(named, c, "left").withColumn(c, F.col("named")).drop("named")
     return df.select(*cols)
 
