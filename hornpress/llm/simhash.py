@@ -209,7 +209,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge, root the smallest node of its component.
 
     Large and small stars in turn: every node's larger, then smaller, neighbours are tied to the
-    smallest one, until only stars are left.
+    smallest one, until only stars are left. Each round ends in a written table: a checkpoint would
+    keep the constraints that the optimizer derives, which grow from round to round.
     """
 
     def tied(pairs: DataFrame) -> DataFrame:
@@ -220,14 +221,14 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    stars = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    stars = spill_table(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     now = state(stars)
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = tied(both).filter("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v")).distinct()
         small = tied(durable(large))
         ties = small.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        stars = durable(ties.unionByName(small.select("u", F.col("low").alias("v"))).distinct())
+        stars = spill_table(ties.unionByName(small.select("u", F.col("low").alias("v"))).distinct())
         was, now = now, state(stars)
         if was == now:
             break
