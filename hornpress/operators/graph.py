@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once, in the checkpoint folder of the session; a temporary one where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; a temporary one where none is set."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once, in the checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df computed once, as a table in the checkpoint folder. For loops: what the optimizer knows about a
+    checkpoint grows from round to round, a table starts anew."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """Edges that are left when nodes without a way in or out are removed again and again."""
-    core = checkpointed(edges.select("src", "dst").distinct())
+    core = written(edges.select("src", "dst").distinct())
     left = core.count()
     while left:
         sources, ends = core.select(F.col("src").alias("node")).distinct(), core.select(F.col("dst").alias("node")).distinct()
         inner = sources.join(ends, "node", "left_semi")
         smaller = core.join(inner, core["src"] == inner["node"], "left_semi").join(inner, F.col("dst") == inner["node"], "left_semi")
-        core = checkpointed(smaller)
+        core = written(smaller)
         now = core.count()
         if now == left:
             break
@@ -37,13 +51,13 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 
 def weak_components(edges: DataFrame) -> DataFrame:
     """(node, comp) by the smallest label among neighbours, with every label's own label looked up in each round."""
-    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("comp")))
+    both = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("comp")))
     while True:
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("comp").alias("near"))
         low = labels.join(near, labels["node"] == near["src"]).select("node", F.least("comp", "near").alias("low"))
         further = labels.select(F.col("node").alias("low"), F.col("comp").alias("jump"))
-        new = checkpointed(low.join(further, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("comp")))
+        new = written(low.join(further, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("comp")))
         changed = new.join(labels.withColumnRenamed("comp", "old"), "node").filter("comp <> old").isEmpty()
         labels = new
         if changed:

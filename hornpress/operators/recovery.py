@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornpress.operators import tables as tb
-from hornpress.operators.graph import checkpointed
+from hornpress.operators.graph import checkpointed, written
 from hornpress.operators.kb import Kb, Relation
 from hornpress.plans import compile as cp
 from hornpress.plans.rules import Atom, Const, Rule, Var
@@ -46,10 +46,10 @@ def recover(facts: Kb, counter: dict[str, DataFrame], rules: list[Rule], extra:
                 found.setdefault(rule.head.pred, []).append(apply_rule(rule, facts, counter, constants))
         changed = set()
         for pred, parts in found.items():
-            new = checkpointed(tb.union_of(*parts))
+            new = written(tb.union_of(*parts))
             if not new.isEmpty():
                 changed.add(pred)
-                facts = facts.with_relation(Relation(pred, facts[pred].arity, checkpointed(facts[pred].df.unionByName(new))))
+                facts = facts.with_relation(Relation(pred, facts[pred].arity, written(facts[pred].df.unionByName(new))))
         if not changed:
             return facts
 

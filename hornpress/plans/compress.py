@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hornpress.functions.scores import Eval
 from hornpress.operators import tables as tb
-from hornpress.operators.graph import checkpointed, cycle_breakers
+from hornpress.operators.graph import checkpointed, cycle_breakers, written
 from hornpress.operators.kb import Kb, Relation
 from hornpress.operators.recovery import recover
 from hornpress.plans import compile as cp
@@ -90,7 +90,7 @@ def accept(kb: Kb, rule: Rule) -> tuple[Kb, DataFrame, DataFrame]:
     proofs = checkpointed(cp.evidence(rule, kb))
     counter = checkpointed(cp.counterexamples(rule, kb))
     relation = kb[rule.head.pred].entail(proofs.select("head.*"))
-    return kb.with_relation(Relation(relation.name, relation.arity, relation.df, checkpointed(relation.entailed))), counter, dependencies(rule, proofs)
+    return kb.with_relation(Relation(relation.name, relation.arity, relation.df, written(relation.entailed))), counter, dependencies(rule, proofs)
 
 
 def finish(kb: Kb, rules: list[Scored], counter: dict[str, DataFrame], edges: list[DataFrame], stats: Stats | None = None) -> Compressed:
