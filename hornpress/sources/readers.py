@@ -68,7 +68,7 @@ def numeration_files(spark: SparkSession, path: str) -> DataFrame:
     """map1.tsv, map2.tsv, ...: line numbers over all files are the numbers of names; an empty line is a free number."""
     k, start, parts = 1, 1, None
     while exists(spark, at := f"{path}/map{k}.tsv"):
-        lines = spark.read.text(at, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n", -1)).alias("pos", "name"))
+        lines = spark.read.text(at, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("pos", "name"))
         count = lines.count()
         named = lines.filter("name <> ''").select("name", (F.col("pos") + start).cast("int").alias("num"))
         parts = named if parts is None else parts.unionByName(named)
