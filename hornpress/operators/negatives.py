@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hornpress.operators import tables as tb
+from hornpress.operators.numeration import nearest, ranked
 
 WIDE = "decimal(38,0)"
 SEED = "negatives"
@@ -131,17 +132,19 @@ def neighbours(pos: DataFrame, n: int, up: bool = True, down: bool = True, enhan
     return _enhanced(tb.absent(cells, pos), pos, n, enhance)
 
 
+def gaps(pos: DataFrame, neg: DataFrame, n: int) -> DataFrame:
+    """(ordinal, low, high) of samples, with the positive ordinals around them (-1 and the number of tuples at the ends)."""
+    marks = with_ordinals(pos, n).select("ordinal", F.lit(True).alias("own")).unionByName(with_ordinals(neg, n).select("ordinal", F.lit(False).alias("own")))
+    around = nearest(marks, "ordinal", "own", "low", "high").filter(~F.col("own"))
+    last = n ** len(pos.columns)
+    return around.select("ordinal", F.coalesce("low", F.lit(-1).cast(WIDE)).alias("low"), F.coalesce("high", F.lit(last).cast(WIDE)).alias("high"))
+
+
 def weights(pos: DataFrame, neg: DataFrame, n: int) -> DataFrame:
     """neg with a weight: the size of the gap that holds a sample over the number of samples in it."""
-    cols, last = pos.columns, n ** len(pos.columns)
-    marks = with_ordinals(pos, n).select("ordinal", F.lit(True).alias("own")).unionByName(with_ordinals(neg, n).select("ordinal", F.lit(False).alias("own")))
-    before = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("ordinal").rowsBetween(1, Window.unboundedFollowing)
-    own = F.when(F.col("own"), F.col("ordinal"))
-    gaps = marks.select("ordinal", "own", F.coalesce(F.last(own, True).over(before), F.lit(-1).cast(WIDE)).alias("low"), F.coalesce(F.first(own, True).over(after), F.lit(last).cast(WIDE)).alias("high")).filter(~F.col("own"))
     held = F.count("*").over(Window.partitionBy("low"))
-    weighed = gaps.select("ordinal", ((F.col("high") - F.col("low") - 1).cast("double") / held).cast("float").alias("weight"))
-    return with_ordinals(neg, n).join(weighed, "ordinal").select(*cols, "weight")
+    weighed = gaps(pos, neg, n).select("ordinal", ((F.col("high") - F.col("low") - 1).cast("double") / held).cast("float").alias("weight"))
+    return with_ordinals(neg, n).join(weighed, "ordinal").select(*pos.columns, "weight")
 
 
 def adversarial(pos: DataFrame, bindings: DataFrame, n: int, budget: int) -> DataFrame:
@@ -184,8 +187,6 @@ def relevant(pos: DataFrame, relevance: DataFrame, top: int) -> DataFrame:
 
 def by_frequency(relations: list[DataFrame]) -> DataFrame:
     """(old, new): constants renumbered by falling frequency, then number."""
-    from hornpress.operators.numeration import ranked
-
     cells = reduce(DataFrame.unionByName, (t.select(F.explode(F.array(*t.columns)).alias("old")) for t in relations))
     counts = cells.groupBy("old").agg(F.count("*").alias("n")).withColumn("order", F.struct(-F.col("n"), "old"))
     return ranked(counts, "order", "new").select("old", "new")
@@ -193,12 +194,7 @@ def by_frequency(relations: list[DataFrame]) -> DataFrame:
 
 def in_gap(pos: DataFrame, neg: DataFrame, n: int) -> DataFrame:
     """neg with each sample's place in its gap and among all tuples, as shares."""
-    last = n ** len(pos.columns)
-    marks = with_ordinals(pos, n).select("ordinal", F.lit(True).alias("own")).unionByName(with_ordinals(neg, n).select("ordinal", F.lit(False).alias("own")))
-    own = F.when(F.col("own"), F.col("ordinal"))
-    low = F.coalesce(F.last(own, True).over(Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1).cast(WIDE))
-    high = F.coalesce(F.first(own, True).over(Window.orderBy("ordinal").rowsBetween(1, Window.unboundedFollowing)), F.lit(last).cast(WIDE))
-    gaps = marks.select("ordinal", "own", low.alias("low"), high.alias("high")).filter(~F.col("own"))
     inside = (F.col("ordinal") - F.col("low")).cast("double") / (F.col("high") - F.col("low")).cast("double")
-    placed = gaps.select("ordinal", inside.alias("in_gap"), (F.col("ordinal").cast("double") / F.lit(float(last))).alias("overall"))
+    overall = F.col("ordinal").cast("double") / F.lit(float(n ** len(pos.columns)))
+    placed = gaps(pos, neg, n).select("ordinal", inside.alias("in_gap"), overall.alias("overall"))
     return with_ordinals(neg, n).join(placed, "ordinal").select(*pos.columns, "in_gap", "overall")

@@ -21,6 +21,32 @@ def ranked(df: DataFrame, key: str, out: str, start: int = 1) -> DataFrame:
     return dealt.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn(out, (F.col("before") + F.col("inside") + F.lit(start - 1)).cast("int")).drop("range", "inside", "before")
 
 
+def running(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """df with the sum of `value` over all rows of smaller key: sums of ranges of the key, and a sum within each range."""
+    dealt = checkpointed(df.repartitionByRange(key).withColumn("range", F.spark_partition_id()))
+    ends = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("range").agg(F.sum(value).alias("total")).select("range", F.coalesce(F.sum("total").over(ends), F.lit(0)).alias("before"))
+    inside = F.sum(value).over(Window.partitionBy("range").orderBy(key).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum(value).over(Window.partitionBy("range", key))
+    return dealt.withColumn("inside", inside).join(F.broadcast(sums), "range").withColumn(out, F.col("before") + F.col("inside")).drop("range", "inside", "before")
+
+
+def nearest(df: DataFrame, key: str, mark: str, low: str, high: str) -> DataFrame:
+    """df with the nearest marked key below and above each row (null where there is none), by ranges of the key."""
+    dealt = checkpointed(df.repartitionByRange(key).withColumn("range", F.spark_partition_id()))
+    own = F.when(F.col(mark), F.col(key))
+    ends = dealt.groupBy("range").agg(F.max(own).alias("top"), F.min(own).alias("bottom"))
+    carried = ends.select(
+        "range",
+        F.max("top").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
+        F.min("bottom").over(Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)).alias("above"),
+    )
+    ordered = Window.partitionBy("range").orderBy(key)
+    inside_low = F.max(own).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    inside_high = F.min(own).over(Window.partitionBy("range").orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1))
+    met = dealt.withColumn("in_low", inside_low).withColumn("in_high", inside_high).join(F.broadcast(carried), "range")
+    return met.withColumn(low, F.coalesce("in_low", "below")).withColumn(high, F.coalesce("in_high", "above")).drop("range", "in_low", "in_high", "below", "above")
+
+
 def numbered(names: DataFrame) -> DataFrame:
     """Distinct names, numbered from 1 in order."""
     return ranked(names.select("name").dropna().distinct(), "name", "num").select("name", "num")

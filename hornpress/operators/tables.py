@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornpress.operators.numeration import ranked, running
+
 
 def arity(t: DataFrame) -> int:
     return len(t.columns)
@@ -41,7 +43,8 @@ def absent(rows: DataFrame, t: DataFrame) -> DataFrame:
 
 def ordinals(t: DataFrame) -> DataFrame:
     """Each row's place in lexicographic order (from 0)."""
-    return t.withColumn("ordinal", (F.row_number().over(Window.orderBy(*t.columns)) - 1).cast("long"))
+    placed = ranked(t.withColumn("row", F.struct(*t.columns)), "row", "ordinal", start=0)
+    return placed.select(*t.columns, F.col("ordinal").cast("long").alias("ordinal"))
 
 
 def ith(t: DataFrame, i: int) -> DataFrame:
@@ -72,11 +75,9 @@ def column_stats(t: DataFrame) -> DataFrame:
 
 def insert_places(t: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of other with the place at which each would be inserted into t."""
-    cols = t.columns
-    both = t.withColumn("own", F.lit(1)).unionByName(other.withColumn("own", F.lit(0)))
-    before = F.coalesce(F.sum("own").over(Window.orderBy(*cols, F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = F.max("own").over(Window.partitionBy(*cols))
-    return both.withColumn("place", before).withColumn("same", same).filter("own = 0").select(*cols, (F.col("place") - F.col("same")).alias("place"))
+    row = F.struct(*t.columns).alias("row")
+    both = t.select(row, F.lit(1).alias("own")).unionByName(other.select(*t.columns).select(row, F.lit(0).alias("own")))
+    return running(both, "row", "own", "place").filter("own = 0").select("row.*", "place")
 
 
 def frequent_values(t: DataFrame, share: float) -> DataFrame:

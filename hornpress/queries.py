@@ -366,3 +366,38 @@ on_base("recover_mined", "SELECT a0, a1 FROM region_nation", lambda kb: compress
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["eval_rules"](spark, sf_dir)
+
+
+def _by_estimates(kb: Kb) -> DataFrame:
+    """What a search by estimates finds for a relation."""
+    from hornpress.plans import estimate as es
+    from hornpress.plans.rules import Pruner
+    from hornpress.plans.search import Scorer
+
+    scorer = Scorer(kb.persisted(), Config(beam=3, metric=CAPACITY, observe=2.0))
+    found = es.find_rule_by(scorer, "region_nation", Pruner(), es.by_estimate)
+    rows = [(str(found.rule), float(found.eval.pos), float(found.eval.neg), found.rule.length)] if found else []
+    return kb.spark.createDataFrame(rows, "rule string, pos double, neg double, length int")
+
+
+on_base("mine_by_estimates", None, _by_estimates, ["nation_region", "region_nation", "supp_nation"])
+
+
+@query("inversions", "WITH r AS (SELECT c_acctbal AS estimate, c_nationkey::DOUBLE AS exact FROM customer WHERE c_custkey <= 60), p AS (SELECT x.exact < y.exact AS wrong FROM r x JOIN r y ON x.estimate > y.estimate) SELECT count(*) FILTER (wrong) AS inversions, count(*) AS pairs, count(*) FILTER (wrong) / count(*) AS share FROM p")
+def inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranking of 60 candidates, as a level of a search has them."""
+    from hornpress.plans import estimate as es
+
+    ranking = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey <= 60")
+    return es.inversions(ranking.select(F.col("c_acctbal").alias("estimate"), F.col("c_nationkey").cast("double").alias("exact")))
+
+
+def _weighted(kb: Kb) -> DataFrame:
+    """The weight of negative samples that a rule covers, in place of the count of its wrong tuples."""
+    pos = kb["noisy"].df
+    samples = ng.weights(pos, ng.intervals(pos, kb.n), kb.n)
+    covered = samples.join(cp.derived(parse_rule("noisy(X,Y):-cust_region(X,Y)"), kb), pos.columns, "left_semi")
+    return ng.weighted_negatives(covered, pos.columns).select(F.round("negatives", 3).alias("negatives"))
+
+
+on_base("neg_weighted_score", None, _weighted, ["cust_region", "noisy"])
