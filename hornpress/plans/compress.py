@@ -119,22 +119,26 @@ def compress_with(kb: Kb, rules: list[Rule]) -> Compressed:
     return finish(kb, scored, counter, edges)
 
 
-def compress(kb: Kb, config: Config = Config(), targets: list[str] | None = None) -> Compressed:  # noqa: B008
-    """By rules that are searched for, relation by relation."""
+def compress(kb: Kb, config: Config = Config(), targets: list[str] | None = None, scorer: Scorer | None = None, find=find_rule) -> Compressed:  # noqa: ANN001, B008
+    """By rules that are searched for, relation by relation. scorer and find: other ways to score and to search;
+    what is kept is worked out exactly in any case."""
     kb.persisted()
-    scorer = Scorer(kb, config)
+    scorer = scorer or Scorer(kb, config)
     counter: dict[str, DataFrame] = {}
     edges, rules = [], []
     for pred in chosen_targets(kb) if targets is None else targets:
         pruner, left = Pruner(), kb.sizes[pred]
-        while left and (found := find_rule(scorer, pred, pruner)) is not None:
-            rules.append(found)
+        while left and (found := find(scorer, pred, pruner)) is not None:
+            rules.append(Scored(found.rule, cp.evaluate(found.rule, scorer.kb)))
+            if not rules[-1].eval.pos:  # an estimate or a sample can mislead
+                rules.pop()
+                break
             scorer.kb, wrong, new = accept(scorer.kb, found.rule)
             # the table of column values and the sizes don't depend on entailment
             scorer.kb.__dict__.update({k: kb.__dict__[k] for k in ("colvals", "sizes") if k in kb.__dict__})
             counter[pred] = tb.union_of(counter[pred], wrong) if pred in counter else wrong
             edges.append(new)
-            left -= int(found.eval.pos)
+            left -= int(rules[-1].eval.pos)
     return finish(scorer.kb, rules, counter, edges, scorer.stats)
 
 

@@ -63,6 +63,8 @@ class Scorer:
     constants: dict[tuple[str, int], list[int]] = field(default_factory=dict)
     counts: dict[str, int] = field(default_factory=dict)
     stats: Stats = field(default_factory=Stats)
+    #: Steps that are tried at all, of (rule, longer rule, move).
+    gate: Callable[[Rule, Rule, Move], bool] | None = None
 
     def __post_init__(self) -> None:
         self.constants = self.constants or self.kb.promising_constants(self.config.constants)
@@ -152,7 +154,7 @@ class Scorer:
         asked, rules = [], []
         for b, s in enumerate(beams):
             for rule, move in moves(s.rule, self.kb.schema, self.constants):
-                if pruner.fresh(rule):
+                if (self.gate is None or self.gate(s.rule, rule, move)) and pruner.fresh(rule):
                     asked.append((b, move))
                     rules.append(rule)
                 else:
@@ -174,6 +176,51 @@ class Scorer:
         return out
 
 
+@dataclass
+class SampledScorer(Scorer):
+    """Scores with negative samples (relation to tuples with a weight) in place of all wrong tuples."""
+
+    samples: dict[str, DataFrame] = field(default_factory=dict)
+
+    def derived_counts(self, rules: list[Rule]) -> dict[Rule, float]:
+        """Head rows that a rule derives, and the weight of the samples that it covers."""
+        if not rules:
+            return {}
+        rows = []
+        for k, rule in enumerate(rules):
+            r = self.kb[rule.head.pred]
+            wrong = self.samples[rule.head.pred].dropDuplicates(r.cols)
+            right = cp.matched_head(rule, self.kb, r.df).agg(F.count("*").cast("double").alias("n"))
+            covered = cp.matched_head(rule, self.kb, wrong).agg(F.coalesce(F.sum(F.col("weight").cast("double")), F.lit(0.0)).alias("n"))
+            rows += [x.select(F.lit(k).alias("k"), "n") for x in (right, covered)]
+        self.stats.jobs += 1
+        found = reduce(DataFrame.unionByName, rows).groupBy("k").agg(F.sum("n").alias("n")).collect()
+        return {rules[r["k"]]: r["n"] for r in found}
+
+
+def alike_columns(similar: set[tuple[tuple[str, int], tuple[str, int]]]) -> Callable[[Rule, Rule, Move], bool]:
+    """A gate: places are only joined if their columns are the same or a similar pair, in either order."""
+
+    def near(a: tuple[str, int], b: tuple[str, int]) -> bool:
+        return a == b or (a, b) in similar or (b, a) in similar
+
+    def gate(rule: Rule, longer: Rule, move: Move) -> bool:
+        kind, place, what = move
+        own = (rule.atoms[place[0]].pred, place[1])
+        if kind == "is":
+            return True
+        return near(own, what if kind == "in" else (rule.atoms[what[0]].pred, what[1]))
+
+    return gate
+
+
+def symmetric_only(rule: Rule, longer: Rule, move: Move) -> bool:
+    """A gate: only rules on the way to h(X,Y):-p(Y,X), with whole binary atoms."""
+    if len(longer.head.args) != 2 or len(longer.body) > 1 or any(isinstance(x, Const) for a in longer.atoms for x in a.args):
+        return False
+    return all(len(b.args) == 2 and all(x is None or x == longer.head.args[1 - i] for i, x in enumerate(b.args)) for b in longer.body) and longer.head.args[0] != longer.head.args[1] or not longer.body and longer.length == 0
+
+
 def top(scored: list[Scored], metric: str) -> Scored | None:
     """The first of the best."""
     return max(scored, key=lambda s: s.eval.value(metric), default=None)

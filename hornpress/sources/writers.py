@@ -135,3 +135,12 @@ def frequent_triples(rows: DataFrame, path: str, least: int = 6000) -> None:
     """(rel, s, o) of relations with at least so many rows, as tab-separated lines."""
     kept = rows.groupBy("rel").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("rel")
     rows.join(F.broadcast(kept), "rel", "left_semi").select("rel", "s", "o").write.mode("overwrite").csv(path, sep="\t")
+
+
+def converted(spark: SparkSession, lines: str, out: str, name: str = "kb") -> Kb:
+    """Fact lines as a base folder."""
+    from hornpress.sources.readers import fact_lines as read
+
+    kb = Kb.from_names(name, read(spark, lines))
+    kb_folder(kb, out)
+    return kb
