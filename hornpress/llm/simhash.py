@@ -256,7 +256,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     groups = near_groups(docs, id_col, text_col)
     gone = spill_table(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
     near = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if near else gone, id_col, "left_anti")
+    left = docs.join(F.broadcast(gone) if near else gone, id_col, "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
