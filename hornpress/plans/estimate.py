@@ -21,11 +21,14 @@ from hornpress.plans.search import Scored, Scorer
 
 @dataclass(frozen=True)
 class Column:
-    """Of an argument: rows, different values, and rows that a lookup in each column of the base keeps."""
+    """Of an argument: rows, and rows whose value is in a column of the base or in another argument."""
 
     rows: int
-    different: int
     kept: dict[tuple[str, int], int]
+    shared: dict[Place, int]
+
+    def share(self, n: int) -> float:
+        return n / self.rows if self.rows else 0.0
 
 
 def columns_of(scorer: Scorer, rule: Rule) -> tuple[dict[Place, Column], dict[tuple[Place, Place], float]]:
@@ -35,7 +38,11 @@ def columns_of(scorer: Scorer, rule: Rule) -> tuple[dict[Place, Column], dict[tu
     places = [(a, i) for a, atom in enumerate(rule.atoms) for i in range(len(atom.args))]
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(i).alias("i"), F.col(Scorer._column((a, i))).alias("val")) for a, i in places])
     values = ground.select(F.explode(cells).alias("x")).groupBy("x.a", "x.i", "x.val").agg(F.count("*").alias("n")).persist()
-    sizes = {(r["a"], r["i"]): (r["rows"], r["different"]) for r in values.groupBy("a", "i").agg(F.sum("n").alias("rows"), F.count("*").alias("different")).collect()}
+    sizes = {(r["a"], r["i"]): r["rows"] for r in values.groupBy("a", "i").agg(F.sum("n").alias("rows")).collect()}
+    other = values.select(F.col("a").alias("b"), F.col("i").alias("j"), "val")
+    shared: dict[Place, dict[Place, int]] = {p: {} for p in places}
+    for r in values.join(other, "val").groupBy("a", "i", "b", "j").agg(F.sum("n").alias("n")).collect():
+        shared[r["a"], r["i"]][r["b"], r["j"]] = r["n"]
     met = values.join(kb.colvals.select("rel", "col", "val"), "val").groupBy("a", "i", "rel", "col").agg(F.sum("n").alias("n")).collect()
     kept: dict[Place, dict[tuple[str, int], int]] = {p: {} for p in places}
     for r in met:
@@ -46,12 +53,12 @@ def columns_of(scorer: Scorer, rule: Rule) -> tuple[dict[Place, Column], dict[tu
         counts = ground.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum((F.col(Scorer._column(p)) == F.col(Scorer._column(q))).cast("long")), F.lit(0)).alias(f"s{k}") for k, (p, q) in enumerate(pairs)]).first()
         same = {pq: counts[f"s{k}"] / counts["rows"] if counts["rows"] else 0.0 for k, pq in enumerate(pairs)}
     ground.unpersist()
-    return {p: Column(*sizes.get(p, (0, 0)), kept[p]) for p in places}, same
+    return {p: Column(sizes.get(p, 0), kept[p], shared[p]) for p in places}, same
 
 
 def estimated(scorer: Scorer, parent: Scored, rule: Rule, move: Move, columns: dict[Place, Column], same: dict[tuple[Place, Place], float], constants: dict[tuple[Place, int], float]) -> Eval:
-    """The share of groundings that a step keeps scales what the parent derives; a head argument that gets
-    bound no longer ranges over all constants."""
+    """The share of groundings that a step may keep scales what the parent derives: of two arguments the smaller
+    share of rows whose value the other has. A head argument that gets bound no longer ranges over all constants."""
     kind, place, what = move
     n = max(1, scorer.kb.n)
     pos, every = parent.eval.pos, parent.eval.all
@@ -62,14 +69,13 @@ def estimated(scorer: Scorer, parent: Scored, rule: Rule, move: Move, columns: d
             share = same[pair]
         else:
             other = columns[what]
-            high = max(column.different, other.different, 1)
-            share = min(column.different, other.different) / high / high
+            share = min(column.share(column.shared.get(what, 0)), other.share(other.shared.get(place, 0)))
         every_share = 1 / n if place[0] == 0 and parent.rule.atoms[0].args[place[1]] is None else share
     elif kind == "is":
         share = constants.get((place, what), 0.0)
         every_share = 1 / n if place[0] == 0 else share
     else:
-        share = column.kept.get(what, 0) / column.rows if column.rows else 0.0
+        share = column.share(column.kept.get(what, 0))
         free = place[0] == 0 and parent.rule.atoms[0].args[place[1]] is None
         every_share = scorer.ndv.get(what, 0) / n if free else share
     return Eval(pos * share, max(every * every_share, pos * share), rule.length, parent.eval.tau, parent.eval.h)

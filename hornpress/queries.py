@@ -260,7 +260,7 @@ on_base("template_types", _template_sql([(f"far_cust(X):-{p}(X,?)", f"SELECT DIS
 _CHAIN = ["nation_region", "supp_nation", "supp_region"]
 on_base("template_transition", _template_sql([("supp_region(X,Y):-supp_nation(X,Z),nation_region(Z,Y)", "SELECT DISTINCT x.a0, y.a1 FROM supp_nation x JOIN nation_region y ON x.a1 = y.a0", 3)]), lambda kb: tp.match(kb, "Transition"), _CHAIN)
 on_base("template_shared_sink", _template_sql([("supp_region(X,Y):-supp_nation(X,Z),region_nation(Y,Z)", "SELECT DISTINCT x.a0, y.a0 FROM supp_nation x JOIN region_nation y ON x.a1 = y.a1", 3)]), lambda kb: tp.match(kb, "SharedSink"), ["region_nation", "supp_nation", "supp_region"])
-on_base("template_shared_source", None, lambda kb: tp.match(kb, "SharedSource"), _CHAIN)
+on_base("template_shared_source", _template_sql([("nation_region(X,Y):-supp_nation(Z,X),supp_region(Z,Y)", "SELECT DISTINCT x.a1, y.a1 FROM supp_nation x JOIN supp_region y ON x.a0 = y.a0", 3)]), lambda kb: tp.match(kb, "SharedSource"), _CHAIN)
 on_base("template_reflexive", ", rows AS (SELECT 'nation_region(X0,X0):-' AS rule, 1 AS length, count(*) FILTER (a0 = a1) AS pos, " + _N + " AS total, count(*) AS size FROM nation_region) SELECT rule, length, pos, (total - pos)::BIGINT AS neg, pos / size AS coverage, pos / (total + length) AS tau, (2 * pos - total - length)::DOUBLE AS delta FROM rows", lambda kb: tp.measured(kb, tp.reflexive(kb, set())), ["nation_region"])
 on_base("template_hints", _template_sql([("supp_region(X,Y):-supp_nation(X,Z),nation_region(Z,Y)", "SELECT DISTINCT x.a0, y.a1 FROM supp_nation x JOIN nation_region y ON x.a1 = y.a0", 3)]), lambda kb: tp.match_hints(kb, ["h(X,Y):-p(X,Z),q(Z,Y);(h,p),(p,q),(h,q)"]), _CHAIN)
 
@@ -400,4 +400,4 @@ def _weighted(kb: Kb) -> DataFrame:
     return ng.weighted_negatives(covered, pos.columns).select(F.round("negatives", 3).alias("negatives"))
 
 
-on_base("neg_weighted_score", None, _weighted, ["cust_region", "noisy"])
+on_base("neg_weighted_score", ", n AS (SELECT count(*) AS n FROM num), pos AS (SELECT (a0 - 1)::BIGINT * n + a1 - 1 AS o FROM noisy, n), neg AS (SELECT o FROM ((SELECT o + 1 AS o FROM pos UNION SELECT 0 UNION SELECT o - 1 FROM pos UNION SELECT n * n - 1 FROM n) EXCEPT SELECT o FROM pos), n WHERE o >= 0 AND o < n * n), marks AS (SELECT o, TRUE AS own FROM pos UNION ALL SELECT o, FALSE FROM neg), gap AS (SELECT o, own, coalesce(max(CASE WHEN own THEN o END) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS low, coalesce(min(CASE WHEN own THEN o END) OVER (ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), (SELECT n * n FROM n)) AS high FROM marks), w AS (SELECT o, ((high - low - 1)::DOUBLE / count(*) OVER (PARTITION BY low))::FLOAT AS weight FROM gap WHERE NOT own) SELECT round(coalesce(sum(weight::DOUBLE), 0.0::DOUBLE), 3) AS negatives FROM w WHERE o IN (SELECT (a0 - 1)::BIGINT * n + a1 - 1 FROM cust_region, n)", _weighted, ["cust_region", "noisy"])
