@@ -25,7 +25,7 @@ from hornpress.llm.tokens import Splitter, added_tokens, default_path, pieces, r
 #: Frequent words sent along: at most so many, none longer, out of so many texts. They decide what moves, not what results.
 FREQUENT, FREQUENT_LENGTH, FREQUENT_TEXTS = 120_000, 64, 8_000
 #: A block ends when it has so many distinct other words, or so many words in all.
-BLOCK_DISTINCT, BLOCK_LENGTH = 300_000, 4_000_000
+BLOCK_DISTINCT, BLOCK_LENGTH = 400_000, 6_000_000
 #: Word lists that a block cuts its words into, for each shuffle partition.
 LISTS = 4
 #: Ids joined to pieces at once.
