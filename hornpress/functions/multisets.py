@@ -46,14 +46,8 @@ def is_subset(one: DataFrame, other: DataFrame) -> bool:
 
 def above_share(bag: DataFrame, share: float) -> DataFrame:
     """Values whose count is over the whole part of size * share."""
-    total = F.floor(F.sum("cnt").over(_all()) * F.lit(share))
-    return bag.withColumn("least", total).filter(F.col("cnt") > F.col("least")).drop("least")
-
-
-def _all():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
+    least = bag.agg(F.floor(F.sum("cnt") * F.lit(share)).alias("least"))
+    return bag.crossJoin(F.broadcast(least)).filter(F.col("cnt") > F.col("least")).drop("least")
 
 
 def jaccard(one: DataFrame, other: DataFrame) -> float:
