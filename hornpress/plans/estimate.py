@@ -10,6 +10,9 @@ import random
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,12 +151,70 @@ def at_random(seed: int = 0):  # noqa: ANN201
     return pick
 
 
+#: Rows of an interval between two cuts of a ranking, and the most cuts of each of its two columns.
+INTERVAL, CUTS = 2_000, 256
+
+
+def crossed(a: np.ndarray, b: np.ndarray) -> int:
+    """Pairs of rows with a_i > a_j and b_i < b_j, by merging runs; NaN is above all, as in Spark."""
+    a, b = np.unique(a, return_inverse=True)[1], np.unique(b, return_inverse=True)[1]
+    line, width, total = b[np.lexsort((b, a))].astype(np.int64), 1, 0
+    at, span = np.arange(len(line)), int(b.max(initial=0)) + 1
+    while width < len(line):
+        key, left = at // (2 * width) * span + line, at // width % 2 == 0
+        # of each value of a right run, the values of its left run that are above it
+        ends = np.minimum((at[~left] // (2 * width) + 1) * width, left.sum())
+        total += int((ends - np.searchsorted(key[left], key[~left], "right")).sum())
+        line, width = np.sort(key) - at // (2 * width) * span, 2 * width
+    return total
+
+
+def _cell(col: str, cuts: list[float]) -> Expr:
+    """2k for a value between cuts k - 1 and k, 2k + 1 for cut k itself, by halving."""
+
+    def among(low: int, high: int) -> Expr:
+        if low == high:
+            return F.lit(2 * low)
+        mid = (low + high) // 2
+        cut = F.lit(cuts[mid])
+        return F.when(F.col(col) == cut, F.lit(2 * mid + 1)).when(F.col(col) < cut, among(low, mid)).otherwise(among(mid + 1, high))
+
+    return among(0, len(cuts))
+
+
 def inversions(ranking: DataFrame) -> DataFrame:
-    """One row from (estimate, exact): pairs in the wrong order, all pairs, and their quotient. Rankings are of candidates, which are few."""
-    a, b = ranking.select(F.struct("estimate", "exact").alias("x")), ranking.select(F.struct("estimate", "exact").alias("y"))
-    pairs = a.join(b, F.col("x.estimate") > F.col("y.estimate"))
-    wrong = F.sum((F.col("x.exact") < F.col("y.exact")).cast("long"))
-    return pairs.agg(F.coalesce(wrong, F.lit(0)).alias("inversions"), F.count("*").alias("pairs")).withColumn("share", F.when(F.col("pairs") > 0, F.col("inversions") / F.col("pairs")).otherwise(0.0))
+    """One row from (estimate, exact): pairs in the wrong order, all pairs, and their quotient, of a ranking of any size.
+
+    No pair is listed. Quantiles cut both columns into intervals; a cut is a cell of its own, so a frequent value
+    is never part of an interval, and within a cell of one value there is no pair. Pairs in different cells of both
+    columns are counted from the grid of cell sizes, the others within an interval of one column."""
+    rows = ranking.select(F.col("estimate").cast("double").alias("estimate"), F.col("exact").cast("double").alias("exact")).filter("estimate is not null").persist()
+    size = rows.count()
+    n = min(CUTS, max(8, size // INTERVAL))
+    found = rows.approxQuantile(["estimate", "exact"], [k / n for k in range(1, n)], 1 / (4 * n)) if size else [[], []]
+    cuts = [sorted(set(c)) for c in found]
+    alike = F.col("n").cast("decimal(19,0)")
+    ties = rows.groupBy("estimate").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(alike * alike), F.lit(0))).first()[0]
+    cells = rows.filter("exact is not null").select("estimate", "exact", _cell("estimate", cuts[0]).alias("p"), _cell("exact", cuts[1]).alias("q"))
+    grid = np.zeros((2 * len(cuts[0]) + 1, 2 * len(cuts[1]) + 1), dtype=object)
+    for r in cells.groupBy("p", "q").agg(F.count("*").alias("n")).collect():
+        grid[r["p"], r["q"]] = r["n"]
+    # of each cell, the rows of a lower estimate and a higher exact value
+    above = grid.cumsum(axis=0)[:, ::-1].cumsum(axis=1)[:, ::-1]
+    wrong = int((grid[1:, :-1] * above[:-1, 1:]).sum())
+
+    def within(cell: str, a: str, b: str) -> DataFrame:
+        def count(part: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"n": [crossed(part["a"].to_numpy(), part["b"].to_numpy())]})
+
+        inner = cells.filter(F.col(cell) % 2 == 0).select(cell, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+        return inner.groupBy(cell).applyInPandas(count, "n long")
+
+    # in one interval of estimates; in one interval of exact values, but not of estimates
+    wrong += within("p", "estimate", "exact").unionByName(within("q", "p", "exact")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows.unpersist()
+    pairs = (size * size - int(ties)) // 2
+    return ranking.sparkSession.createDataFrame([(wrong, pairs, wrong / pairs if pairs else 0.0)], "inversions long, pairs long, share double")
 
 
 def shared_links(rule: Rule) -> Counter:

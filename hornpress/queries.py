@@ -392,6 +392,15 @@ def inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return es.inversions(ranking.select(F.col("c_acctbal").alias("estimate"), F.col("c_nationkey").cast("double").alias("exact")))
 
 
+@query("inversions_whole", "WITH r AS (SELECT c_acctbal AS estimate, c_nationkey::DOUBLE AS exact FROM customer), p AS (SELECT x.exact < y.exact AS wrong FROM r x JOIN r y ON x.estimate > y.estimate) SELECT count(*) FILTER (wrong) AS inversions, count(*) AS pairs, count(*) FILTER (wrong) / count(*) AS share FROM p")
+def inversions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranking of all customers."""
+    from hornpress.plans import estimate as es
+
+    ranking = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return es.inversions(ranking.select(F.col("c_acctbal").alias("estimate"), F.col("c_nationkey").cast("double").alias("exact")))
+
+
 def _weighted(kb: Kb) -> DataFrame:
     """The weight of negative samples that a rule covers, in place of the count of its wrong tuples."""
     pos = kb["noisy"].df

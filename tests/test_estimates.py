@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hornpress.functions.scores import Eval
 from hornpress.plans import compile as cp
@@ -64,3 +65,32 @@ def test_links():
 def test_inversions(spark):
     row = es.inversions(spark.createDataFrame([(3.0, 1.0), (2.0, 2.0), (1.0, 3.0), (0.0, 0.0)], "estimate double, exact double")).first()
     assert (row.inversions, row.pairs) == (3, 6)
+
+
+@pytest.mark.parametrize("kind", ["spread", "tied", "one", "none", "odd"])
+def test_inversions_of_large_rankings(spark, kind, monkeypatch):
+    rng = random.Random(7)
+    rows = {
+        "spread": [(rng.random(), rng.random()) for _ in range(1500)],
+        "tied": [(float(rng.choice([0, 0, 0, rng.randint(1, 300)])), float(rng.choice([5, 5, rng.randint(1, 9)]))) for _ in range(1500)],
+        "one": [(1.0, rng.random()) for _ in range(300)],
+        "none": [],
+        "odd": [(rng.choice([None, float("nan"), rng.random(), 0.0, -0.0]), rng.choice([None, float("nan"), rng.random()])) for _ in range(400)],
+    }[kind]
+    monkeypatch.setattr(es, "INTERVAL", 50)
+    df = spark.createDataFrame(rows, "estimate double, exact double")
+    pairs = df.alias("x").join(df.alias("y"), F.col("x.estimate") > F.col("y.estimate"))
+    want = pairs.agg(F.count_if(F.col("x.exact") < F.col("y.exact")), F.count("*")).first()
+    got = es.inversions(df).first()
+    assert (got.inversions, got.pairs) == tuple(want)
+
+
+def test_whole_rankings_list_no_pairs(spark, monkeypatch):
+    from hornpress import queries as q
+
+    row = q.QUERIES["inversions_whole"](spark, "/root/testdata/sf0.01").first()
+    assert row.pairs > 1_000_000  # 1,500 customers, not 60
+    monkeypatch.setattr(type(spark.range(1)), "join", None)
+    n = 200_000
+    row = es.inversions(spark.range(n).select(F.col("id").cast("double").alias("estimate"), (-F.col("id")).cast("double").alias("exact"))).first()
+    assert (row.inversions, row.pairs, row.share) == (n * (n - 1) // 2, n * (n - 1) // 2, 1.0)
