@@ -46,11 +46,16 @@ ORDERS = {
     "order_nation": "SELECT DISTINCT concat('o', o_orderkey) AS a0, concat('n', c_nationkey) AS a1 FROM orders JOIN customer ON o_custkey = c_custkey",
     "order_status": "SELECT DISTINCT concat('o', o_orderkey) AS a0, concat('t', o_orderstatus) AS a1 FROM orders",
 }
+#: Unary relations over customers only.
+CUSTOMERS = {
+    "cust": "SELECT DISTINCT concat('c', c_custkey) AS a0 FROM customer",
+    "seventh": "SELECT DISTINCT concat('c', c_custkey) AS a0 FROM customer WHERE c_custkey % 7 = 0",
+}
 MINED = ["nation_region", "region_nation", "supp_nation", "supp_region"]
 
 
 def sources(names: list[str]) -> dict[str, str]:
-    return {k: (SOURCES | ORDERS)[k] for k in names}
+    return {k: (SOURCES | ORDERS | CUSTOMERS)[k] for k in names}
 
 
 def base(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> Kb:
@@ -338,6 +343,9 @@ on_base("necessary", "SELECT a0, a1 FROM noisy EXCEPT SELECT a0, a1 FROM cust_re
 on_base("given_counterexamples", "SELECT a0, a1 FROM cust_region EXCEPT SELECT a0, a1 FROM noisy", lambda kb: compress_with(kb, GIVEN).counter["noisy"], _GIVEN)
 on_base("recover_given", "SELECT a0, a1 FROM noisy", lambda kb: compress_with(kb, GIVEN).recovered()["noisy"].df, _GIVEN)
 on_base("supplementary", "SELECT num AS value FROM num WHERE num NOT IN (SELECT a0 FROM nation_region UNION SELECT a1 FROM nation_region)", lambda kb: compress_with(kb, [parse_rule("supp_nation(?,X):-nation_region(X,?)")][:0]).kb.spark.range(1, kb.n + 1).select(F.col("id").cast("int").alias("value")).join(tb.constants_of(kb["nation_region"].df), "value", "left_anti"), ["nation_region", "supp_nation"])
+# rules that derive whole relations lose constants: of far customers all are right, the others are counterexamples, seventh has no rule
+LOSING = [parse_rule(r) for r in ("cust(1):-", "cust(?):-", "far_cust(?):-")]
+on_base("supplementary_lost", "SELECT num AS value FROM num WHERE num NOT IN (SELECT a0 FROM seventh) AND num NOT IN (SELECT a0 FROM cust EXCEPT SELECT a0 FROM far_cust) AND num <> 1", lambda kb: compress_with(kb, LOSING).supplementary, ["cust", "far_cust", "seventh"])
 on_base("select_compressed", "SELECT a0, a1 FROM cust_region WHERE a1 = (SELECT min(a1) FROM nation_region)", lambda kb: (lambda c: rc.select(c.facts(), c.counter, [s.rule for s in c.rules], "cust_region", 1, kb["nation_region"].df.agg(F.min("a1")).first()[0], c.supplementary))(compress_with(kb, GIVEN[2:3])), ["nation_region", "cust_nation", "cust_region"])
 on_base("join_compressed", "SELECT x.a0 AS l_a0, x.a1 AS l_a1, y.a0 AS r_a0, y.a1 AS r_a1 FROM supp_region x JOIN nation_region y ON x.a1 = y.a1", lambda kb: (lambda c: rc.product(c.facts(), c.counter, [s.rule for s in c.rules], ("supp_region", 1), ("nation_region", 1), c.supplementary))(compress_with(kb, [parse_rule("supp_region(X,Y):-supp_nation(X,Z),nation_region(Z,Y)")])), ["nation_region", "supp_nation", "supp_region"])
 

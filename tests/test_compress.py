@@ -88,3 +88,28 @@ def test_scores_of_found_rules_hold(spark):
     for s in c.rules[:1]:
         plain = cp.evaluate(s.rule, kb(spark, FAMILY, 17))
         assert Eval(plain.pos, plain.all, plain.length) == Eval(s.eval.pos, s.eval.all, s.eval.length)
+
+
+def test_registered_supplementary_constants_are_the_operators(spark, monkeypatch):
+    import duckdb
+
+    from hornpress import queries as q
+    from hornpress.plans import compress as cm
+
+    sf, seen, real = "/root/testdata/sf0.001", [], cm.supplementary_constants
+    monkeypatch.setattr(cm, "supplementary_constants", lambda *a: seen.append(a) or real(*a))
+    got = rows_of(q.QUERIES["supplementary_lost"](spark, sf))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{sf}/customer.parquet'")
+    assert got and got == set(duck.execute(q.ORACLES["supplementary_lost"]).fetchall())
+    (kb, necessary, counter, rules), = seen
+    # each of the three kinds of kept constants holds some back
+    assert 0 < len(got) < kb.n and len(rules) == 3
+    assert rows_of(necessary["seventh"]) and not rows_of(necessary["cust"]) and not rows_of(necessary["far_cust"])
+    assert rows_of(counter["far_cust"]) and (1,) not in got
+
+
+def test_lost_constants_come_back(spark):
+    base = kb(spark, {"all": [(c,) for c in range(1, 7)], "some": [(2,), (3,), (4,)]}, 6)
+    c = compress_with(base, [parse_rule("all(?):-"), parse_rule("some(?):-")])
+    assert rows_of(c.supplementary) == {(2,), (3,), (4,)} and c.is_lossless()
