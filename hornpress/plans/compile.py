@@ -155,7 +155,18 @@ def groundings(rule: Rule, kb: Kb, head: DataFrame | None = None) -> DataFrame:
     """Head rows joined with whole body rows: columns h_a*, b1_a*, b2_a*, ..."""
     rows = tb.prefixed(matched_head(rule, kb) if head is None else head, "h_")
     at = {v: f"h_a{rule.head.args.index(v)}" for v in rule.head.vars}
-    left = list(enumerate(rule.body, 1))
+    return _grounded(rows, at, list(enumerate(rule.body, 1)), kb)
+
+
+def body_groundings(rule: Rule, kb: Kb) -> list[tuple[list[int], DataFrame]]:
+    """Of each body component its atom numbers, and its whole rows joined without the head: columns b1_a*, b2_a*, ..."""
+    groups = linked([set(b.vars) for b in rule.body if b.vars])
+    parts = [[k for k, b in enumerate(rule.body, 1) if set(b.vars) & g] for g in groups] + [[k] for k, b in enumerate(rule.body, 1) if not b.vars]
+    return [(ks, _grounded(None, {}, [(k, rule.atoms[k]) for k in ks], kb)) for ks in parts]
+
+
+def _grounded(rows: DataFrame | None, at: dict[Var, str], left: list[tuple[int, Atom]], kb: Kb) -> DataFrame:
+    """rows, whose columns `at` hold variables, joined with the rows of atoms."""
     while left:
         k, atom = next(((k, a) for k, a in left if set(a.vars) & set(at)), left[0])
         left.remove((k, atom))
@@ -171,7 +182,7 @@ def groundings(rule: Rule, kb: Kb, head: DataFrame | None = None) -> DataFrame:
                     on.append(rows[at[arg]] == part[name])
                 else:
                     at[arg] = name
-        rows = rows.join(part, on) if on else rows.crossJoin(part)
+        rows = part if rows is None else rows.join(part, on) if on else rows.crossJoin(part)
     return rows
 
 

@@ -1,14 +1,15 @@
 """Search by estimates: candidates are ranked by closed-form estimates from column multisets, and only the best are evaluated.
 
 An estimate needs, for each argument of a rule, the multiset of its values over the rule's
-groundings. Those come from one job for each beam rule; estimates themselves are arithmetic.
+groundings, and over those of its body alone. Those come from one job for each beam rule; estimates themselves are arithmetic.
 """
 
 from __future__ import annotations
 
 import random
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,87 +19,182 @@ from pyspark.sql import functions as F
 
 from hornpress.functions.scores import Eval
 from hornpress.plans import compile as cp
-from hornpress.plans.rules import Move, Place, Pruner, Rule, moves
+from hornpress.plans.rules import Move, Place, Pruner, Rule, Var, moves
 from hornpress.plans.search import Scored, Scorer
 
 
 @dataclass(frozen=True)
 class Column:
-    """Of an argument: rows, and rows whose value is in a column of the base or in another argument."""
+    """Of an argument: rows, different values, rows whose value is in a column of the base or in another argument,
+    and rows of each constant that may be bound."""
 
-    rows: int
-    kept: dict[tuple[str, int], int]
-    shared: dict[Place, int]
+    rows: int = 0
+    different: int = 0
+    kept: dict[tuple[str, int], int] = field(default_factory=dict)
+    shared: dict[Place, int] = field(default_factory=dict)
+    constants: dict[int, int] = field(default_factory=dict)
 
     def share(self, n: int) -> float:
         return n / self.rows if self.rows else 0.0
 
+    @property
+    def rows_each(self) -> float:
+        return self.rows / self.different if self.different else 0.0
 
-def columns_of(scorer: Scorer, rule: Rule) -> tuple[dict[Place, Column], dict[tuple[Place, Place], float]]:
-    """Statistics of every argument, and for pairs in the same atom the share of rows with equal values."""
+
+@dataclass(frozen=True)
+class Columns:
+    """Statistics of a rule's arguments over some of its groundings; same: for pairs in one atom the share of rows with equal values."""
+
+    at: dict[Place, Column]
+    same: dict[tuple[Place, Place], float]
+
+    def __getitem__(self, place: Place) -> Column:
+        return self.at.get(place, Column())
+
+    def equal(self, place: Place, others: list[Place]) -> float:
+        """Share of groundings in which an argument may equal a variable: exact in one atom, else the smallest share of rows with values of the other side."""
+        near = [o for o in others if o[0] == place[0]]
+        if near:
+            return self.same.get(tuple(sorted((place, near[0]))), 0.0)
+        mine = self[place]
+        return min([self[o].share(self[o].shared.get(place, 0)) for o in others] + [mine.share(mine.shared.get(others[0], 0))])
+
+    def share_of(self, place: Place, constant: int) -> float:
+        return self[place].share(self[place].constants.get(constant, 0))
+
+    def within(self, places: list[Place], column: tuple[str, int]) -> float:
+        return min(self[p].share(self[p].kept.get(column, 0)) for p in places)
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Arguments over the groundings of head rows not entailed and entailed, those of body atoms over the body alone, and the entailed head rows."""
+
+    pos: Columns
+    old: Columns
+    every: Columns
+    entailed: int
+
+
+POS, OLD, EVERY = range(3)
+
+
+def columns_of(scorer: Scorer, rule: Rule) -> Statistics:
+    """The multisets' figures that estimates need."""
     kb = scorer.kb
     ground = cp.groundings(rule, kb).persist()
     places = [(a, i) for a, atom in enumerate(rule.atoms) for i in range(len(atom.args))]
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(i).alias("i"), F.col(Scorer._column((a, i))).alias("val")) for a, i in places])
-    values = ground.select(F.explode(cells).alias("x")).groupBy("x.a", "x.i", "x.val").agg(F.count("*").alias("n")).persist()
-    sizes = {(r["a"], r["i"]): r["rows"] for r in values.groupBy("a", "i").agg(F.sum("n").alias("rows")).collect()}
-    other = values.select(F.col("a").alias("b"), F.col("i").alias("j"), "val")
-    shared: dict[Place, dict[Place, int]] = {p: {} for p in places}
-    for r in values.join(other, "val").groupBy("a", "i", "b", "j").agg(F.sum("n").alias("n")).collect():
-        shared[r["a"], r["i"]][r["b"], r["j"]] = r["n"]
-    met = values.join(kb.colvals.select("rel", "col", "val"), "val").groupBy("a", "i", "rel", "col").agg(F.sum("n").alias("n")).collect()
-    kept: dict[Place, dict[tuple[str, int], int]] = {p: {} for p in places}
-    for r in met:
-        kept[r["a"], r["i"]][r["rel"], r["col"]] = r["n"]
-    pairs = [(p, q) for p in places for q in places if p < q and p[0] == q[0]]
-    same: dict[tuple[Place, Place], float] = {}
-    if pairs:
-        counts = ground.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum((F.col(Scorer._column(p)) == F.col(Scorer._column(q))).cast("long")), F.lit(0)).alias(f"s{k}") for k, (p, q) in enumerate(pairs)]).first()
-        same = {pq: counts[f"s{k}"] / counts["rows"] if counts["rows"] else 0.0 for k, pq in enumerate(pairs)}
-    ground.unpersist()
-    return {p: Column(sizes.get(p, 0), kept[p], shared[p]) for p in places}, same
-
-
-def estimated(scorer: Scorer, parent: Scored, rule: Rule, move: Move, columns: dict[Place, Column], same: dict[tuple[Place, Place], float], constants: dict[tuple[Place, int], float]) -> Eval:
-    """The share of groundings that a step may keep scales what the parent derives: of two arguments the smaller
-    share of rows whose value the other has. A head argument that gets bound no longer ranges over all constants."""
+    bodies = [(body.persist(), [p for p in places if p[0] in atoms]) for atoms, body in cp.body_groundings(rule, kb)]
+    part = F.when(F.col("h_entailed"), OLD).otherwise(POS)
+    sources = [(ground, part, places), *[(body, F.lit(EVERY), mine) for body, mine in bodies]]
+
+    def cells(mine: list[Place]) -> Expr:
+        return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(i).alias("i"), F.col(Scorer._column((a, i))).alias("val")) for a, i in mine])
+
+    listed = reduce(DataFrame.unionByName, (rows.select(which.alias("part"), F.explode(cells(mine)).alias("x")) for rows, which, mine in sources))
+    values = listed.groupBy("part", "x.a", "x.i", "x.val").agg(F.count("*").alias("n")).persist()
+    found: dict[tuple[int, Place], Column] = {}
+    for r in values.groupBy("part", "a", "i").agg(F.sum("n").alias("rows"), F.count("*").alias("different")).collect():
+        found[r["part"], (r["a"], r["i"])] = Column(r["rows"], r["different"])
+    other = values.select("part", F.col("a").alias("b"), F.col("i").alias("j"), "val")
+    for r in values.join(other, ["part", "val"]).groupBy("part", "a", "i", "b", "j").agg(F.sum("n").alias("n")).collect():
+        found[r["part"], (r["a"], r["i"])].shared[r["b"], r["j"]] = r["n"]
+    for r in values.join(kb.colvals.select("rel", "col", "val"), "val").groupBy("part", "a", "i", "rel", "col").agg(F.sum("n").alias("n")).collect():
+        found[r["part"], (r["a"], r["i"])].kept[r["rel"], r["col"]] = r["n"]
+    wanted = [(a, i, c) for a, i in places for c in scorer.constants.get((rule.atoms[a].pred, i), [])]
+    if wanted:
+        asked = kb.spark.createDataFrame(wanted, "a int, i int, val int")
+        for r in values.join(F.broadcast(asked), ["a", "i", "val"]).collect():
+            found[r["part"], (r["a"], r["i"])].constants[r["val"]] = r["n"]
+    same: dict[int, dict[tuple[Place, Place], float]] = {POS: {}, OLD: {}, EVERY: {}}
+    for rows, which, mine in sources:
+        pairs = [(p, q) for p in mine for q in mine if p < q and p[0] == q[0]]
+        if pairs:
+            equal = [F.count_if(F.col(Scorer._column(p)) == F.col(Scorer._column(q))).alias(f"s{k}") for k, (p, q) in enumerate(pairs)]
+            for r in rows.groupBy(which.alias("part")).agg(F.count("*").alias("rows"), *equal).collect():
+                same[r["part"]] |= {pq: r[f"s{k}"] / r["rows"] for k, pq in enumerate(pairs)}
+    entailed = ground.filter("h_entailed").select(*[F.col(f"h_{c}") for c in kb[rule.head.pred].cols]).distinct().count()
+    for rows in [ground, values, *[body for body, _ in bodies]]:
+        rows.unpersist()
+    pos, old, every = (Columns({p: c for (k, p), c in found.items() if k == part}, same[part]) for part in (POS, OLD, EVERY))
+    return Statistics(pos, old, every, entailed)
+
+
+def way_ratio(rule: Rule, way: list, every: Columns) -> float:
+    """How many values of its last variable a value of the first has, on a way through body atoms."""
+    ratio = 1.0
+    for v, w in zip(way, way[1:], strict=False):
+        ratio *= min(every[a, atom.args.index(v)].rows_each for a, atom in enumerate(rule.atoms) if a and v in atom.vars and w in atom.vars)
+    return ratio
+
+
+def every_share(scorer: Scorer, parent: Rule, rule: Rule, move: Move, others: list[Place], every: Columns) -> float:
+    """The share of derived tuples that a step leaves. A head argument no longer ranges over all constants once it is bound;
+    head variables that the body did not link before are no longer independent."""
     kind, place, what = move
     n = max(1, scorer.kb.n)
-    pos, every = parent.eval.pos, parent.eval.all
-    column = columns[place]
-    if kind == "eq":
-        pair = tuple(sorted((place, what)))
-        if pair in same:
-            share = same[pair]
-        else:
-            other = columns[what]
-            share = min(column.share(column.shared.get(what, 0)), other.share(other.shared.get(place, 0)))
-        every_share = 1 / n if place[0] == 0 and parent.rule.atoms[0].args[place[1]] is None else share
-    elif kind == "is":
-        share = constants.get((place, what), 0.0)
-        every_share = 1 / n if place[0] == 0 else share
-    else:
-        share = column.share(column.kept.get(what, 0))
-        free = place[0] == 0 and parent.rule.atoms[0].args[place[1]] is None
-        every_share = scorer.ndv.get(what, 0) / n if free else share
-    return Eval(pos * share, max(every * every_share, pos * share), rule.length, parent.eval.tau, parent.eval.h)
+    inner = [p for p in others if p[0]]
+    if kind == "is":
+        return every.share_of(place, what) if place[0] else 1 / n
+    if kind == "in":
+        return every.within(inner, what) if inner else scorer.ndv.get(what, 0) / n
+    if place[0] == 0 and any(o[0] == 0 for o in others):
+        return 1 / n
+    var = rule.atoms[place[0]].args[place[1]]
+    if place[0] and any(o[0] == place[0] for o in others):
+        return every.equal(place, others)
+    heads = sorted(set(rule.head.vars))
+    if place[0] == 0:
+        ways = [w for h in heads if h != var and (w := shortest_link(rule, h, var))]
+        if ways:
+            way = min(ways, key=len)
+            return way_ratio(rule, way, every) / n
+        return every[inner[0]].different / n
+    share = every.equal(place, inner) if inner else 1.0
+    new = [(v, w, way) for k, v in enumerate(heads) for w in heads[k + 1 :] if (way := shortest_link(rule, v, w)) and not shortest_link(parent, v, w)]
+    if new:
+        v, w, way = min(new, key=lambda x: (len(x[2]), x[:2]))
+        if not _inner(parent, v):
+            v, w, way = w, v, way[::-1]
+        bound = _inner(parent, w)
+        share *= way_ratio(rule, way, every) / (max(1, every[bound[0]].different) if bound else n)
+    elif not inner:
+        share = every[place].different / n
+    return share
+
+
+def _inner(rule: Rule, var: Var) -> list[Place]:
+    return [p for p in rule.places.get(var, []) if p[0]]
+
+
+def estimated(scorer: Scorer, parent: Scored, rule: Rule, move: Move, columns: Statistics) -> Eval:
+    """What the parent derives, scaled by the share of groundings that a step may keep: of head rows not entailed, of
+    entailed ones, and of all that is derived, each by its own multisets."""
+    kind, place, what = move
+    old = parent.rule.atoms
+    spot = what if kind == "eq" else place
+    var = old[spot[0]].args[spot[1]]
+    others = parent.rule.places[var] if var is not None else [spot]
+
+    def share(c: Columns) -> float:
+        if kind == "eq":
+            return c.equal(place, others)
+        return c.share_of(place, what) if kind == "is" else c.within(others, what)
+
+    pos, gone = parent.eval.pos * share(columns.pos), columns.entailed * share(columns.old)
+    derived = (parent.eval.all + columns.entailed) * every_share(scorer, parent.rule, rule, move, others, columns.every)
+    return Eval(pos, max(derived - gone, pos), rule.length, parent.eval.tau, parent.eval.h)
 
 
 def ranked_children(scorer: Scorer, beams: list[Scored], pruner: Pruner) -> list[tuple[Eval, Scored, Rule, Move]]:
     """All fresh candidates of a level with their estimates, the best first (ties in order of enumeration)."""
     out = []
     for parent in beams:
-        columns, same = columns_of(scorer, parent.rule)
-        shares: dict[tuple[Place, int], float] = {}
-        size = scorer.kb.sizes[parent.rule.head.pred]
-        for (pred, col), values in scorer.constants.items():
-            for a, atom in enumerate(parent.rule.atoms):
-                if atom.pred == pred and values:
-                    for v in values:
-                        shares[(a, col), v] = scorer.config.constants if size else 0.0
+        columns = columns_of(scorer, parent.rule)
         for rule, move in moves(parent.rule, scorer.kb.schema, scorer.constants):
             if pruner.fresh(rule):
-                out.append((estimated(scorer, parent, rule, move, columns, same, shares), parent, rule, move))
+                out.append((estimated(scorer, parent, rule, move, columns), parent, rule, move))
     metric = scorer.config.metric
     order = sorted(range(len(out)), key=lambda k: (-out[k][0].value(metric), k))
     return [out[k] for k in order]

@@ -94,3 +94,52 @@ def test_whole_rankings_list_no_pairs(spark, monkeypatch):
     n = 200_000
     row = es.inversions(spark.range(n).select(F.col("id").cast("double").alias("estimate"), (-F.col("id")).cast("double").alias("exact"))).first()
     assert (row.inversions, row.pairs, row.share) == (n * (n - 1) // 2, n * (n - 1) // 2, 1.0)
+
+
+def estimates(spark, tables, n, text, constants=0.25):
+    """{rule: (estimate, exact)} of a rule's candidates."""
+    base = kb(spark, tables, n).persisted()
+    s = Scorer(base, Config(metric="delta", coverage=0.0, constants=constants))
+    rule = parse_rule(text)
+    return base, {str(r): (e, r) for e, _, r, _ in es.ranked_children(s, [Scored(rule, cp.evaluate(rule, base))], Pruner())}
+
+
+def exact(base, found, text):
+    e, rule = found[text] if text in found else found[str(parse_rule(text))]
+    plain = cp.evaluate(rule, base)
+    assert (e.pos, e.all) == pytest.approx((plain.pos, plain.all)), text
+
+
+def test_constants_are_estimated_by_their_counts(spark):
+    rows = [(i, 21 if i <= 18 else 22) for i in range(1, 21)]
+    base, found = estimates(spark, {"h": rows, "p": rows}, 22, "h(?,?):-", 0.1)
+    exact(base, found, "h(?,21):-")
+    exact(base, found, "h(?,22):-")
+    base, found = estimates(spark, {"h": [(i,) for i in range(1, 4)], "p": rows}, 22, "h(X):-p(X,?)", 0.1)
+    exact(base, found, "h(X):-p(X,21)")
+    exact(base, found, "h(X):-p(X,22)")
+
+
+def test_joins_may_remove_wrong_tuples(spark):
+    p = [(i, i + 20) for i in range(1, 21)]
+    base, found = estimates(spark, {"h": p[:4], "p": p, "q": [(i,) for i in range(1, 5)]}, 40, "h(X,Y):-p(X,Y)")
+    exact(base, found, "h(X,Y):-p(X,Y),q(X)")
+
+
+def test_links_of_head_variables(spark):
+    p, q = [(i, i + 10) for i in range(1, 11)], [(i + 10, i + 20) for i in range(1, 11)]
+    tables = {"h": [(i, i + 20) for i in range(1, 11)], "p": p, "q": q}
+    base, found = estimates(spark, tables, 30, "h(X,Y):-p(X,?),q(?,Y)")
+    exact(base, found, "h(X,Y):-p(X,Z),q(Z,Y)")
+    base, found = estimates(spark, tables, 30, "h(X,?):-p(X,Z),q(Z,?)")
+    exact(base, found, "h(X0,X2):-p(X0,X1),q(X1,X2)")
+
+
+def test_entailed_rows_are_estimated_apart(spark):
+    p = [(i, i + 20) for i in range(1, 21)]
+    base = kb(spark, {"h": p[:10], "p": p, "q": [(i,) for i in range(4, 9)]}, 40).persisted()
+    base = base.with_relation(base["h"].entail(base["h"].df.filter("a0 <= 5")))
+    s = Scorer(base, Config(metric="delta", coverage=0.0))
+    rule = parse_rule("h(X,Y):-p(X,Y)")
+    found = {str(r): (e, r) for e, _, r, _ in es.ranked_children(s, [Scored(rule, cp.evaluate(rule, base))], Pruner())}
+    exact(base, found, "h(X,Y):-p(X,Y),q(X)")
