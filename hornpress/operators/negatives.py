@@ -75,8 +75,15 @@ def uniform(pos: DataFrame, n: int, budget: int) -> DataFrame:
 
 
 def near_positive(pos: DataFrame, n: int, budget: int) -> DataFrame:
-    """Rows of pos with one constant replaced."""
-    k = len(pos.columns)
+    """Rows of pos with one constant replaced, as many as asked for if there are so many."""
+    k, cols = len(pos.columns), pos.columns
+    rest = [pos.select(*[c for c in cols if c != m]).distinct() for m in cols]
+    least = max(r.count() for r in rest) * n - pos.count()
+    if 4 * budget > least:  # few are left: list them all
+        values = [pos.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias(m)) for m in cols]
+        # a table of one column has no rest: any row of it gives all values
+        near = [r.crossJoin(v).select(*cols) if k > 1 else v.join(pos.limit(1).select(F.lit(1).alias("one")), how="left_semi") for r, v in zip(rest, values, strict=True)]
+        return tb.absent(reduce(DataFrame.unionByName, near).distinct(), pos).orderBy(F.xxhash64(F.lit("near"), *cols), *cols).limit(budget)
 
     def draw(size: int, salt: str) -> DataFrame:
         per_row = max(1, -(-size // max(1, pos.count())))

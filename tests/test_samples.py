@@ -81,3 +81,10 @@ def test_generators(spark):
     noisy, clean = gen.families(spark, 30, 0.3), gen.families(spark, 30)
     assert 0 < noisy["father"].exceptAll(clean["father"]).count() < 40
     assert gen.wizards(spark)["grandparent"].count() == 4 and gen.families(spark, 2, grandparents=True)["grandparent"].count() == 8
+
+
+def test_near_positive_is_near_when_few_are_left(spark):
+    got = rows_of(ng.near_positive(frame(spark, [(1, 1)]), 10, 60))
+    assert got == {(1, x) for x in range(2, 11)} | {(x, 1) for x in range(2, 11)}
+    assert len(rows_of(ng.near_positive(frame(spark, [(1, 1)]), 1000, 5000))) == 2 * 999
+    assert rows_of(ng.near_positive(frame(spark, [(1,), (3,)]), 4, 9)) == {(2,), (4,)}
