@@ -5,13 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The characters of [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 #: One word: a run of other characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows with equal keys beyond which a key's rows are told apart by a number.
+REPEATS = 1000
+#: Tables of keys up to so many rows are broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def text_of(name: str = "text") -> Column:
@@ -19,11 +24,26 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def record(df: DataFrame) -> Column:
+    """All columns of df, whatever their names, as one."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def schema(df: DataFrame, names: list[str], rest: str) -> StructType:
+    """Columns of df, of any name and type, and others as DDL."""
+    out = StructType([df.schema[n] for n in names])
+    for field in StructType.fromDDL(rest).fields:
+        out = out.add(field)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without it."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
@@ -55,7 +75,44 @@ def spill_table(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again: compressed, and partitioned by nothing."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.spilled_at = path
+    return out
+
+
+def forget(spilled: DataFrame) -> None:
+    """Deletes what spill_table wrote; the frame is of no use afterwards."""
+    jvm = spilled.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(spilled.spilled_at)
+    at.getFileSystem(spilled.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """keys with a broadcast hint if they are at most so many."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df and `nth`: 0, 1, ... among the rows with equal (non-null) keys.
+
+    Rows are counted by key and task, so that no task holds all rows of a key. Which row of a key
+    gets which number is arbitrary; the numbers are 0 to the key's rows less one in any run.
+    """
+    kept = durable(df.withColumn("task", F.spark_partition_id()))
+    counts = kept.groupBy(key, "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(key).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(key, "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    local = kept.withColumn("local", F.row_number().over(Window.partitionBy(key, "task").orderBy("task")) - 1)
+    return local.join(base, [key, "task"]).withColumn("nth", F.col("base") + F.col("local")).drop("task", "base", "local")
+
+
+def told_apart(df: DataFrame, key: str, most: int) -> DataFrame:
+    """df and `nth`, which tells rows apart whose key more than `most` rows have; 0 for all others."""
+    hot = durable(df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(key))
+    if not hot.count():
+        return df.withColumn("nth", F.lit(0).cast("long"))
+    hot = few(hot)
+    return df.join(hot, key, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(numbered(df.join(hot, key, "left_semi"), key).withColumn("nth", F.col("nth").cast("long")))
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, degree: str, share: float = 1 / 2000) -> DataFrame:

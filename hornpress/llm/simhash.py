@@ -10,14 +10,15 @@ value, and complete distances are verified for what it fetches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import durable, lean, skew_join, spill_table, table
+from hornpress.llm.common import durable, few, forget, lean, record, schema, skew_join, spill_table, table, text_of
 
 RADIUS = 4
 SHINGLE = 4
@@ -29,8 +30,8 @@ DENSE_PAIRS = 1 << 16
 PAIRS_AT_ONCE = 1 << 21
 #: Table entries of a bucket beyond which it is cut into a grid of cells.
 CELL = 4096
-#: More ids to drop than this are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Lines of a grid's side, at most: a cell's number has 24 bits.
+SIDE = 4094
 #: Rough costs, in nanoseconds, of a row that is shuffled and of a pair that is compared.
 ROW_NS, PAIR_NS = 1500, 25
 
@@ -55,14 +56,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     lean()
     for b in batches:
         f = np.fromiter((fingerprint(t.as_py()) for t in b["text"]), dtype=np.uint64, count=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(f.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(f.view(np.int64))], names=["doc_id", "h", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp), fp as a signed 64-bit number."""
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    """(doc_id, h, fp): a hash of the text, and its fingerprint as a signed 64-bit number."""
+    text = text_of(text_col)
+    df = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return df.mapInArrow(_fingerprints, schema(df, ["doc_id"], "h long, fp long"))
 
 
 def layout(segments: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
@@ -175,6 +176,29 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield forest.flush()
 
 
+def _grid(nodes: DataFrame, segments: list[tuple[Column, list[int]]], most: int) -> DataFrame:
+    """(key, down, across): buckets of more than `most` entries or askers, and the lines they are cut into.
+
+    segments: a segment's key and the masks of its ball. A bucket's askers are the entries of the
+    buckets within the ball around its key. Only buckets of over most/ball entries are followed to
+    their neighbours; the others of a ball add up to less than `most`. Buckets of many askers
+    without entries have 0 lines down: nobody need ask them.
+    """
+    entries = nodes.select(F.explode(F.array(*[F.struct(k.alias("key"), F.lit(i).alias("segment")) for i, (k, _) in enumerate(segments)])).alias("x"))
+    counts = spill_table(entries.groupBy("x.key", "x.segment").agg(F.count("*").alias("n")))
+    near = []
+    for i, (_, masks) in enumerate(segments):
+        warm = counts.filter((F.col("segment") == i) & (F.col("n") > max(1, most // len(masks))))
+        ball_of = F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("key").bitwiseXOR(m))
+        near.append(warm.select(F.explode(ball_of).alias("key"), "n"))
+    asked = durable(reduce(DataFrame.unionByName, near).groupBy("key").agg(F.sum("n").alias("askers")).filter(F.col("askers") > most))
+    if not asked.count():
+        return asked.select("key", F.lit(0).alias("down"), F.lit(0).alias("across"))
+    lines = lambda c: F.least(F.ceil(F.col(c) / most), F.lit(SIDE)).cast("int")
+    cut = few(asked).join(counts.select("key", "n"), "key", "left")
+    return durable(cut.select("key", F.coalesce(lines("n"), F.lit(0)).alias("down"), (lines("askers") + 1).alias("across")))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b) from distinct fingerprints (fp): links of at most RADIUS bits that connect all that are so linked."""
     spark = nodes.sparkSession
@@ -191,17 +215,15 @@ def links(nodes: DataFrame) -> DataFrame:
         masks = F.array(*[F.lit(m << 24).cast("long") for m in ball(bits, r)])
         return F.transform(masks, lambda m: F.struct(key(k, at, bits).bitwiseXOR(m).alias("key"), F.when(m == 0, 3).otherwise(2).alias("kind")))
 
-    most = max(CELL, 8 * max(count >> bits for _, bits, _ in parts))
-    entries = nodes.select(F.explode(F.array(*[key(k, at, bits) for k, at, bits, _ in used])).alias("key"))
-    hot = durable(entries.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", F.ceil(F.col("n") / most).cast("int").alias("side")))
     rows = nodes.select("fp", F.explode(F.concat(*[asks(*u) for u in used])).alias("x")).select("x.key", "x.kind", "fp")
-    if hot.count():
-        line = F.pmod(F.xxhash64("fp"), F.col("side"))
+    grid = _grid(nodes, [(key(k, at, bits), [m << 24 for m in ball(bits, r)]) for k, at, bits, r in used], max(CELL, 8 * max(count >> bits for _, bits, _ in parts)))
+    if grid.count():
+        entry, asker = (F.pmod(F.xxhash64("fp"), F.col(c)) for c in ("down", "across"))
         whole = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.col("kind").alias("kind")))
-        across = F.transform(F.sequence(F.lit(0), F.col("side") - 1), lambda i: F.struct((line * F.col("side") + i).alias("cell"), F.lit(1).alias("kind")))
-        down = F.transform(F.sequence(F.lit(0), F.col("side") - 1), lambda i: F.struct((i * F.col("side") + line).cast("long").alias("cell"), F.lit(2).alias("kind")))
-        cells = F.when(F.col("side").isNull(), whole).when(F.col("kind") == 3, F.concat(across, down)).otherwise(down)
-        rows = rows.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "key", "left").select("key", "fp", F.explode(cells).alias("c")).select((F.col("key") + F.col("c.cell")).alias("key"), "c.kind", "fp")
+        held = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda i: F.struct((entry * F.col("across") + i).alias("cell"), F.lit(1).alias("kind")))
+        asked = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: F.struct((i * F.col("across") + asker).cast("long").alias("cell"), F.lit(2).alias("kind")))
+        cells = F.when(F.col("down").isNull(), whole).when(F.col("down") > 0, F.when(F.col("kind") == 3, F.concat(held, asked)).otherwise(asked))
+        rows = rows.join(few(grid), "key", "left").select("key", "fp", F.explode(cells).alias("c")).select((F.col("key") + F.col("c.cell")).alias("key"), "c.kind", "fp")
     return rows.repartition("key").sortWithinPartitions("key", F.col("kind") == 2).mapInArrow(_links, "a long, b long")
 
 
@@ -228,36 +250,58 @@ def components(edges: DataFrame) -> DataFrame:
         large = tied(both).filter("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v")).distinct()
         small = tied(durable(large))
         ties = small.filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        stars = spill_table(ties.unionByName(small.select("u", F.col("low").alias("v"))).distinct())
+        past, stars = stars, spill_table(ties.unionByName(small.select("u", F.col("low").alias("v"))).distinct())
+        forget(past)
         was, now = now, state(stars)
         if was == now:
             break
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h, fp, best) of each row: best (no_id, id, h) is the first of the row's component, null ids last."""
+    prints = spill_table(fingerprints(docs, id_col, text_col))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "h")
+    nodes = spill_table(prints.groupBy("fp").agg(F.min(first).alias("low"), F.count("*").alias("rows")))
+    roots = durable(components(links(nodes.select("fp"))))
+    known = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "low")
+    lows = known.groupBy("root").agg(F.min("low").alias("best"), F.count("*").alias("degree"))
+    named = skew_join(durable(known.select("fp", "root")), durable(lows), "root", "degree").select("fp", "best")
+    of_print = spill_table(nodes.join(named, "fp", "left").select("fp", F.coalesce("best", "low").alias("best"), "rows"))
+    return skew_join(prints, of_print, "fp", "rows").drop("rows")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint, component_id (smallest doc_id reachable, itself included).
 
     A null or empty text has fingerprint 0, linked like any other. Null ids take part but are never
-    the smallest, unless a component has no other. Repeated rows stay; other columns are not read.
+    the smallest, unless a component has no other. Repeated rows stay; texts of any length are read
+    whole; other columns are not read. An empty table gives an empty result.
     """
-    prints = spill_table(fingerprints(docs, id_col, text_col))
-    nodes = spill_table(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = durable(components(links(nodes.select("fp"))))
-    known = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "low")
-    lows = known.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("degree"))
-    named = skew_join(durable(known.select("fp", "root")), durable(lows), "root", "degree").select("fp", "component_id")
-    of_print = spill_table(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
-    return prints.join(of_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that stay: of each component the smallest id. Rows without an id stay."""
-    groups = near_groups(docs, id_col, text_col)
-    gone = spill_table(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
-    near = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if near else gone, id_col, "left_anti")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, all columns, that stay: one of each component.
+
+    Rows are told apart by id and text: of a component the smallest id stays (null ids last), then
+    the smallest hash of the text, and of rows that are equal in both the first by their JSON text.
+    A row whose id another component's row has too is judged by its own text. Null texts are empty
+    ones; columns can have any name; an empty table gives an empty one.
+    """
+    groups = spill_table(_grouped(docs, id_col, text_col).select("doc_id", "h", (F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h"))).alias("first")))
+    # the same id and text are in one component, so that all rows of a pair are first or none
+    pairs = groups.groupBy("doc_id", "h", "first").agg(F.count("*").alias("n")).filter("not first or n > 1")
+    judged = spill_table(pairs.select(F.col("doc_id").alias("judged_id"), F.col("h").alias("judged_h"), "first"))
+    rec = docs.select(record(docs).alias("rec"))
+    ident, h = F.col("rec").getField(id_col), F.xxhash64(F.coalesce(F.col("rec").getField(text_col).cast("string"), F.lit("")))
+    met = rec.join(few(judged, 1_000_000), ident.eqNullSafe(F.col("judged_id")) & (h == F.col("judged_h")), "left").filter("first is null or first")
+    once = met.filter("first is null").select("rec")
+    if judged.filter("first").limit(1).count():
+        order = Window.partitionBy("judged_id", "judged_h").orderBy(F.to_json("rec"))
+        again = met.filter("first").withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("rec")
+        once = once.unionByName(again)
+    return once.select("rec.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

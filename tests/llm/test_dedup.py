@@ -139,3 +139,24 @@ def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200}
+
+
+def test_dedup_judges_rows_not_ids(spark):
+    x, y = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(5, x, "a"), (5, y, "b"), (1, x, "c"), (None, x, "d"), (None, "alone " * 9, "e"), (5, y, "b"), (5, y, "a"), (1, x, "c")], "doc_id long, text string, `my col.x` string")
+    got = simhash.dedup(docs.repartition(3))
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, x, "c"), (5, y, "a"), (None, "alone " * 9, "e")], key=str)
+
+
+@pytest.mark.parametrize("cell", [16, 4096])
+def test_askers_of_a_hot_segment_are_cut(spark, monkeypatch, cell):
+    """Fingerprints that share a segment's value all ask its neighbours."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = np.random.default_rng(8)
+    top = 0x1234 << 48
+    prints = {top | int(v) for v in rng.integers(0, 1 << 48, size=400)}
+    prints |= {p ^ (1 << 50) ^ 1 for p in list(prints)[:30]} | {int(v) for v in rng.integers(0, 1 << 62, size=50)}
+    prints = sorted(prints)
+    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"))).collect()}
+    assert [roots.get(p, p) for p in prints] == brute_components(prints, prints)
