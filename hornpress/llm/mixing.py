@@ -2,8 +2,9 @@
 
 Sizes are summed for each source; a source's target over its size is its repetition rate. Each
 document is taken floor(rate) times plus one more copy by a Bernoulli draw with the fraction as
-probability. Draws come from a hash of the document's id, so reruns agree; of DRAWS independent
-seeds each source uses the one whose taken size comes nearest to its target.
+probability. Draws come from a hash of the row: its id, its text's digest and, among rows that are
+equal in these and the source, a number. So reruns agree, and rows with equal or no ids draw apart;
+of DRAWS independent seeds each source uses the one whose taken size comes nearest to its target.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import WORD, durable, table, text_of
+from hornpress.llm.common import WORD, durable, record, table, text_of, told_apart
 
 CAP = 3
 CYCLE = (1, 2, 3)
@@ -27,9 +28,14 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def hashed(ident: Column, block: Column, seed: str = SEED) -> Column:
-    """64 hex digits of a document: HELD draws."""
-    return F.sha2(F.concat(F.lit(f"{seed}:"), block.cast("string"), F.lit(":"), F.coalesce(ident.cast("string"), F.lit(""))), 256)
+def digest(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def hashed(block: Column, ident: str = "doc_id", seed: str = SEED) -> Column:
+    """64 hex digits of a row (its id, digest and nth): HELD draws."""
+    row = F.concat_ws(":", F.lit(seed), block.cast("string"), F.coalesce(F.col(ident).cast("string"), F.lit("")), "digest", F.col("nth").cast("string"))
+    return F.sha2(row, 256)
 
 
 def uniform(hexed: Column, draw: Column) -> Column:
@@ -43,7 +49,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
     Sources in code-point order (null last) weigh CYCLE in turn and share the sum of all sizes. No
     target is above CAP times its source's size: by rising size over weight, a source is full while
     an equal share of what is left would overfill it; the others divide the rest by weight. The
-    windows run over one row for each source.
+    windows run over one row for each source in one task, which sorts and spills: some ten million
+    sources.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").isNull(), "source")
@@ -54,7 +61,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
     left = F.sum("source_size").over(every) - F.coalesce(F.sum(F.col("source_size") * CAP).over(before), F.lit(0))
     left_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     filled = weighed.select("*", left.alias("left"), left_weight.alias("left_weight"))
-    full = F.col("source_size") * CAP * F.col("left_weight") <= F.col("left") * F.col("weight")
+    wide = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731 - products of sums need more than 64 bits
+    full = (wide("source_size") * wide("left_weight")).cast("decimal(38,0)") * CAP <= (wide("left") * wide("weight")).cast("decimal(38,0)")
     first = F.min(F.when(~full, F.struct((-F.col("left_weight")).alias("order"), "left", "left_weight"))).over(every)
     target = F.when(full, (F.col("source_size") * CAP).cast("double")).otherwise((F.col("weight") * F.col("first.left")).cast("double") / F.col("first.left_weight"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -71,10 +79,10 @@ def _with_plan(df: DataFrame, plan: DataFrame, sources: int, source: Column) ->
 
 
 def mixing_plan(sized: DataFrame) -> tuple[DataFrame, int]:
-    """(source, source_size, target, times, part, draw) and the number of sources, from (doc_id, source, size)."""
+    """(source, source_size, target, times, part, draw) and the number of sources, from (doc_id, source, size, digest, nth)."""
     targets = durable(source_targets(sized))
     sources = targets.count()
-    hexes = [hashed(F.col("doc_id"), F.lit(b)).alias(f"hex{b}") for b in range(DRAWS // HELD)]
+    hexes = [hashed(F.lit(b)).alias(f"hex{b}") for b in range(DRAWS // HELD)]
     drawn = _with_plan(sized.select("source", "size", *hexes), targets, sources, F.col("source"))
     taken = [F.sum(F.col("size") * (F.col("times") + (uniform(F.col(f"hex{j // HELD}"), F.lit(j)) < F.col("part")).cast("long"))) for j in range(DRAWS)]
     sums = drawn.groupBy("source", "source_size", "target", "times", "part").agg(F.array(*taken).alias("taken"))
@@ -83,31 +91,50 @@ def mixing_plan(sized: DataFrame) -> tuple[DataFrame, int]:
     return durable(plan), sources
 
 
-def copies_of(ident: Column) -> Column:
-    """Beside the plan's columns: how often a document is taken."""
-    return F.col("times") + (uniform(hashed(ident, F.floor(F.col("draw") / HELD)), F.col("draw")) < F.col("part")).cast("long")
+def copies_of(ident: str = "doc_id") -> Column:
+    """Beside the plan's columns: how often a row is taken."""
+    return F.col("times") + (uniform(hashed(F.floor(F.col("draw") / HELD), ident), F.col("draw")) < F.col("part")).cast("long")
+
+
+def row_key(ident: Column, source: Column, digest: Column) -> Column:
+    """Of rows that draw alike unless they are numbered."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (ident, source)]
+    return F.concat_ws(":", *[F.length(p).cast("string") for p in parts], *parts, ident.isNull().cast("string"), source.isNull().cast("string"), digest)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("source"), words(text_of()).alias("size"))
+    """(doc_id, source, size, digest, nth)."""
+    text = text_of()
+    sized = durable(docs.select("doc_id", F.col("source"), words(text).alias("size"), digest(text).alias("digest")))
+    keyed = sized.withColumn("key", F.xxhash64(row_key(F.col("doc_id"), F.col("source"), F.col("digest"))))
+    return durable(told_apart(keyed, "key", 1).drop("key"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs with each row repeated as often as the mix takes it (not at all, if never); the same columns.
 
-    A null text has size 0; a null source is a source; equal ids draw alike. Extra columns pass through.
+    A null text has size 0; a null source is a source; rows with equal or null ids draw apart, also
+    rows that are equal in all. Extra columns of any name pass through; an empty table gives an empty one.
     """
-    plan, sources = mixing_plan(durable(sizes(docs)))
-    rec = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"))
-    taken = _with_plan(rec, plan, sources, F.col("rec.source")).withColumn("copies", copies_of(F.col("rec.doc_id")))
+    plan, sources = mixing_plan(sizes(docs))
+    text = F.coalesce(F.col("rec").getField("text").cast("string"), F.lit(""))
+    rec = docs.select(record(docs).alias("rec")).withColumn("digest", digest(text))
+    keyed = rec.withColumn("key", F.xxhash64(row_key(F.col("rec.doc_id"), F.col("rec.source"), F.col("digest"))))
+    told = told_apart(keyed, "key", 1)
+    taken = _with_plan(told, plan, sources, F.col("rec.source")).withColumn("copies", copies_of("rec.doc_id"))
     return taken.filter("copies > 0").select("rec", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("rec.*")
 
 
 def mix_counts(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken."""
-    sized = durable(sizes(docs))
+    """One row per document: doc_id, size, source_size, target, copies, taken.
+
+    A null or empty text has size 0 and takes nothing. Null and repeated ids, a null source and rows
+    that are equal in all are rows like any other; other columns are not read; an empty table gives
+    an empty result.
+    """
+    sized = sizes(docs)
     plan, sources = mixing_plan(sized)
-    out = _with_plan(sized, plan, sources, F.col("source")).withColumn("copies", copies_of(F.col("doc_id")))
+    out = _with_plan(sized, plan, sources, F.col("source")).withColumn("copies", copies_of())
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -117,7 +144,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, sha256(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1 AS nth
   FROM documents),
 weighed AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank,
@@ -138,7 +166,7 @@ rates AS (
   FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets)),
 draws AS (
   SELECT s.doc_id, s.source, s.size, r.source_size, r.target, d.draw,
-         r.times + (('0x' || substr(sha256('mix-1:' || (d.draw // 8)::VARCHAR || ':' || coalesce(s.doc_id::VARCHAR, '')), d.draw % 8 * 8 + 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < r.part)::BIGINT AS copies
+         r.times + (('0x' || substr(sha256('mix-1:' || (d.draw // 8)::VARCHAR || ':' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.digest || ':' || s.nth::VARCHAR), d.draw % 8 * 8 + 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < r.part)::BIGINT AS copies
   FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source CROSS JOIN (SELECT unnest(range(64))::INT AS draw) d),
 chosen AS (
   SELECT source, draw FROM (

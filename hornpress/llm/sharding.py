@@ -1,6 +1,6 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters whole records uniformly into memory-sized buckets by a seeded hash of their key;
+Pass one scatters whole records uniformly into memory-sized buckets by a seeded hash of the record;
 pass two shuffles each bucket (Spark's shuffle() is Fisher-Yates) and writes it. Laid end to end
 the buckets are a random order of all records; records are dealt to shards by their place in it,
 so shard sizes differ by one row at most (the law `rows`).
@@ -10,14 +10,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from hornpress.llm.common import shuffle_partitions, table, text_of
+from hornpress.llm.common import REPEATS, durable, record, table, text_of, told_apart
 
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
+#: Tasks that buckets are dealt to, at most.
+TASKS = 20_000
 #: Bucket counts are summed in two steps, so that no task orders all buckets.
 RUN = 4096
 
 
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
+def record_hash(df: DataFrame, seed: int) -> Column:
+    """Of all columns; maps, which have no hash, as JSON text."""
+    return F.xxhash64(F.lit(seed), *[F.to_json(F.struct(F.col(f"`{f.name}`"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def bucket_offsets(counts: DataFrame) -> DataFrame:
     """Rows before each bucket, from (bucket, n)."""
     runs = counts.withColumn("run", F.floor(F.col("bucket") / RUN))
@@ -30,30 +44,34 @@ def bucket_offsets(counts: DataFrame) -> DataFrame:
     return runs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before_run, "run").select("bucket", (F.col("base") + F.col("inside")).alias("offset"))
 
 
-def external_shuffle(df: DataFrame, shards: int, key: list[str], size: Column, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def external_shuffle(df: DataFrame, shards: int, size: Column, seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """df's rows, all columns, as (rec struct, shard int, slot long).
 
-    The key columns should differ between rows: rows with equal keys share a bucket. Null keys are
-    a key like any other. Columns can have any name and must be orderable. The same table, session
-    settings and seed give the same shards; an empty table gives none.
+    The same rows, seed and bucket size give the same shards, however the table is partitioned:
+    buckets follow from the records, a bucket is ordered by its records' hashes before it is
+    shuffled, and the generator of a task is drawn on by its buckets in order. Nulls are values like
+    any other. Records that are equal in all share a bucket, unless they are over REPEATS: then they
+    are numbered and scattered too. Columns can have any name and type; an empty table gives an
+    empty result. A bucket is one row in pass two: a record must be under some 500 MB.
     """
-    spark = df.sparkSession
-    total = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("total")).first()["total"]
-    buckets = max(shuffle_partitions(spark), -(-int(total) // bucket_bytes))
-    scattered = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
-    bucket = F.pmod(scattered, F.lit(buckets)).cast("long").alias("bucket")
-    offsets = bucket_offsets(df.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")))
-    rec = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    passed = (
-        df.select(bucket, scattered.alias("h"), rec.alias("rec"))
-        .repartition(buckets, "bucket")
+    keys = durable(df.select(record_hash(df, seed).alias("h"), size.cast("long").alias("size")))
+    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()["total"]
+    buckets = max(8, -(-int(total) // bucket_bytes))
+    bucket = F.pmod(F.when(F.col("nth") > 0, F.xxhash64("h", "nth")).otherwise(F.col("h")), F.lit(buckets)).cast("long").alias("bucket")
+    offsets = bucket_offsets(told_apart(keys, "h", REPEATS).select(bucket).groupBy("bucket").agg(F.count("*").alias("n")))
+    records = told_apart(df.select(record_hash(df, seed).alias("h"), record(df).alias("rec")), "h", REPEATS)
+    order = lambda a, b: F.when(a["h"] != b["h"], F.when(a["h"] < b["h"], -1).otherwise(1)).when(a["nth"] < b["nth"], -1).when(a["nth"] > b["nth"], 1).otherwise(0)
+    gathered = (
+        records.select(bucket, "h", "nth", "rec")
+        .repartition(min(buckets, TASKS), "bucket")
         .groupBy("bucket")
-        .agg(F.array_sort(F.collect_list(F.struct("h", "rec"))).alias("recs"))
-        .select("bucket", F.shuffle("recs", seed).alias("recs"))
+        .agg(F.collect_list(F.struct("h", "nth", "rec")).alias("recs"))
+        .sortWithinPartitions("bucket")
+        .select("bucket", F.shuffle(F.array_sort("recs", order), F.lit(seed)).alias("recs"))
     )
     place = F.col("offset") + F.col("pos")
     return (
-        passed.join(offsets.hint("shuffle_hash"), "bucket")
+        gathered.join(offsets.hint("shuffle_hash"), "bucket")
         .select("offset", F.posexplode("recs").alias("pos", "item"))
         .select(F.col("item.rec").alias("rec"), F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
     )
@@ -68,7 +86,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = (F.octet_length(text_of()) + 1).cast("long")
     text = F.coalesce(F.col("rec.text"), F.lit(""))
-    return external_shuffle(docs, 8, ["doc_id"], size).select(
+    return external_shuffle(docs, 8, size).select(
         F.col("rec.doc_id").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),

@@ -9,7 +9,7 @@ from tests.llm.conftest import EDGE, row
 
 
 def shuffled(df, **kw):
-    return sharding.external_shuffle(df, 8, ["doc_id"], (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"), **kw)
+    return sharding.external_shuffle(df, 8, (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"), **kw)
 
 
 def test_shards_hold_every_row_once_and_are_even(edge):
@@ -145,8 +145,55 @@ def test_urls_without_rules_or_pages(spark):
     assert url_filter.filter_urls(pages.limit(0), spark.createDataFrame(url_filter.RULES, schema)).count() == 0
 
 
-def test_urls_in_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "CELLS", 50)
+@pytest.mark.parametrize("most_paths", [64, 1])
+def test_urls_in_many_ranges(spark, monkeypatch, most_paths):
+    monkeypatch.setattr(url_filter, "RANGES", 20)
+    monkeypatch.setattr(url_filter, "MOST_PATHS", most_paths)
     rows = [(i, f"http://h{i % 3}.example.org/{'es' if i % 2 else 'en'}/{i}") for i in range(500)]
     got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string"))
     assert sorted(map(tuple, got.collect())) == sorted((i, *brute_url(u, url_filter.RULES)) for i, u in rows)
+
+
+@pytest.mark.parametrize("most_paths", [64, 2])
+def test_urls_with_nested_hosts_and_a_crowded_host(spark, monkeypatch, most_paths):
+    monkeypatch.setattr(url_filter, "RANGES", 10)
+    monkeypatch.setattr(url_filter, "MOST_PATHS", most_paths)
+    import random
+
+    draw = random.Random(4)
+    parts = ["/a", "/ab", "/abc", "/a/b", "/b", "", "/abd/e", "/a/"]
+    hosts = ["com", "x.com", "y.x.com", "z.y.x.com", "xx.com", "org", "com.x"]
+    rules = {(h, p): draw.choice(["allow", "block"]) for h in hosts for p in parts if draw.random() < 0.6 or h == "com"}
+    rows = [(i, f"http://{draw.choice(['', 'q.', 'com.', 'y.'])}{draw.choice(hosts)}{draw.choice(parts)}{draw.choice(['', '/q', 'x'])}") for i in range(1500)]
+    rows += [(9000, f"http://x.com{p}") for p in parts] + [(None, None)] * 20
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(v, *k) for k, v in rules.items()], "verdict string, host string, path string"))
+    want = [(i, *brute_url(u, [(v, *k) for k, v in rules.items()])) for i, u in rows]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_mix_with_null_and_repeated_ids(spark):
+    rows = [(None, f"{'word ' * (i % 7 + 1)}{i}", "a") for i in range(300)] + [(5, "same words here", "b")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_counts(docs).collect()
+    for source_size in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == source_size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.05 * mine[0].target
+    count = lambda rs: Counter((r.doc_id, r["size"], r.copies) for r in rs)
+    assert count(got) == count(mixing.mix_counts(docs.repartition(2)).collect())
+    assert mixing.mix(docs).count() == sum(r.copies for r in got)
+
+
+def test_shards_of_repeated_rows_maps_and_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 50)
+    rows = [(None, "same", {"k": 1})] * 400 + [(i, f"text {i}", {"k": i, "j": 2}) for i in range(300)] + [(7, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b c` map<string,int>")
+    runs = [sorted(((r.shard, r.slot, r.rec.doc_id, r.rec.text) for r in shuffled(df.repartition(n), bucket_bytes=500).collect()), key=str) for n in (1, 7)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+
+
+def test_query_law_and_slots(spark, sf):
+    got = sharding.op8_sharding(spark, sf).collect()
+    count = Counter(r.shard for r in got)
+    assert set(count) == set(range(8)) and max(count.values()) - min(count.values()) <= 1
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(count[k]))
