@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from hornpress.llm.common import durable, lean, skew_join, spill_table, table, text_of
+from hornpress.llm.common import durable, lean, schema, skew_join, spill_table, table, text_of
 
 ROLES = ("system", "user", "assistant")
 #: State 2r begins a turn of role r, state 2r + 1 continues it.
@@ -26,7 +27,8 @@ OUT, ALL = STATES, STATES + 1
 #: Log probability of what can't be; sums of it stay whole 64-bit numbers.
 NEVER = -(1 << 40)
 NAMES = {"system": ("system", "sys", "instruction", "instructions"), "user": ("user", "human", "question", "q", "customer", "me"), "assistant": ("assistant", "ai", "bot", "answer", "a", "model", "agent")}
-MARKER = re.compile(r"^\s*[\[<(*#_]*\s*(" + "|".join(sorted((n for v in NAMES.values() for n in v), key=len, reverse=True)) + r")\s*[\])*_]*\s*[:>]\s?[*_]*\s?", re.IGNORECASE)
+#: Possessive, as no class holds what can follow it: a line is read once, whatever its length.
+MARKER = re.compile(r"^\s*+[\[<(*#_]*+\s*+(" + "|".join(sorted((n for v in NAMES.values() for n in v), key=len, reverse=True)) + r")\s*+[\])*_]*+\s*+[:>]\s?[*_]*\s?", re.IGNORECASE)
 ROLE_OF = {n: r for r, role in enumerate(ROLES) for n in NAMES[role]}
 #: Observations: marker (none or a role) x blank, short, middle or long line x question or not.
 OBSERVED = (len(ROLES) + 1) * 4 * 2
@@ -173,30 +175,42 @@ def _parsed(hmm: Hmm) -> Callable[[Batches], Batches]:
     return run
 
 
+def _placed(each: DataFrame) -> DataFrame:
+    """each (conv, turn, h, ...) with `at`: a part's place in its conversation, from 0.
+
+    Parts are sorted by ranges; a task's share of a conversation is counted, and shares add up.
+    """
+    ranged = each.repartitionByRange("conv", "turn", "h").sortWithinPartitions("conv", "turn", "h")
+    row = spill_table(ranged.withColumn("row", F.monotonically_increasing_id()).withColumn("task", F.shiftright("row", 33)))
+    shares = row.groupBy("conv", "task").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("conv").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = shares.select("conv", "task", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return row.join(base, ["conv", "task"]).withColumn("at", F.col("row") + F.col("base")).drop("row", "task", "base")
+
+
 def _best_ends(parts: DataFrame) -> DataFrame:
     """(key, degree, before, end) of every part, from (conv, turn, h, m, degree)."""
-    low, high = parts.agg(F.min("turn"), F.max("turn")).first()
-    if low is None:
+    level = spill_table(_placed(parts))
+    reach = level.agg(F.max("at")).first()[0]
+    if reach is None:
         return parts.select(F.struct("conv", "turn", "h").alias("key"), "degree", F.lit(OUT).alias("before"), F.lit(-1).alias("end"))
 
     def runs(level: DataFrame) -> DataFrame:
-        """A level's matrices in order, by run."""
+        """A level's matrices in order, by run: RUN at most."""
         child = F.struct("at", "h", "m", "turn", "degree")
         return level.groupBy("conv", F.floor(F.col("at") / RUN).cast("long").alias("run")).agg(F.array_sort(F.collect_list(child)).alias("children")).withColumnRenamed("run", "at")
 
-    conv = parts.schema["conv"].dataType.simpleString()
-    level = parts.withColumn("at", F.col("turn") - F.lit(low))
-    levels, reach = [], int(high) - int(low)
+    levels = []
     while True:
         levels.append(durable(runs(level)))
         reach //= RUN
         if not reach:
             break
-        level = levels[-1].mapInArrow(_products, f"conv {conv}, at long, m array<long>").select("conv", "at", F.lit(0).cast("long").alias("h"), "m", F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("degree"))
+        product = levels[-1].mapInArrow(_products, schema(levels[-1], ["conv"], "at long, m array<long>"))
+        level = product.select("conv", "at", F.lit(0).cast("long").alias("h"), "m", F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("degree"))
     known = levels[-1].select("conv", "children", F.lit(OUT).alias("before"), F.lit(-1).alias("end"))
-    kind = levels[0].schema["children"].dataType.simpleString()
     for deeper in [*reversed(levels[:-1]), None]:
-        ends = known.mapInArrow(_ends, f"conv {conv}, children {kind}, ends array<struct<before: int, end: int>>")
+        ends = known.mapInArrow(_ends, schema(known, ["conv", "children"], "ends array<struct<before: int, end: int>>"))
         each = ends.select("conv", F.explode(F.arrays_zip("children", "ends")).alias("x")).select("conv", "x.children.*", "x.ends.before", "x.ends.end")
         if deeper is not None:
             known = deeper.join(each.select("conv", "at", "before", "end"), ["conv", "at"]).select("conv", "children", "before", "end")
@@ -215,14 +229,14 @@ def parse(parts: DataFrame, hmm: Hmm, id_col: str = "conv_id", order_col: str =
     """
     text = text_of(text_col)
     df = parts.select(F.col(id_col).alias("conv"), F.col(order_col).cast("long").alias("turn"), F.xxhash64(text).alias("h"), text.alias("text"))
-    conv = df.schema["conv"].dataType.simpleString()
     alone = F.col("conv").isNull() | F.col("turn").isNull()
-    matrices = df.filter(~alone).mapInArrow(_matrices(hmm), f"conv {conv}, turn long, h long, m array<long>")
+    matrices = df.filter(~alone).mapInArrow(_matrices(hmm), schema(df, ["conv"], "turn long, h long, m array<long>"))
     each = spill_table(matrices.groupBy("conv", "turn", "h").agg(F.first("m").alias("m"), F.count("*").alias("degree")))
     ends = spill_table(_best_ends(each))
     joined = skew_join(df.filter(~alone).withColumn("key", F.struct("conv", "turn", "h")), ends, "key", "degree").select("conv", "turn", "text", "before", "end")
     free = df.filter(alone).select("conv", "turn", "text", F.lit(OUT).alias("before"), F.lit(-1).alias("end"))
-    return joined.unionByName(free).mapInArrow(_parsed(hmm), f"conv_id {conv}, part long, n_lines long, begun long, roles array<string>, rendered string")
+    out = StructType([StructField("conv_id", df.schema["conv"].dataType), *StructType.fromDDL("part long, n_lines long, begun long, roles array<string>, rendered string").fields])
+    return joined.unionByName(free).mapInArrow(_parsed(hmm), out)
 
 
 def _counts(batches: Batches) -> Batches:
@@ -246,18 +260,25 @@ def _counts(batches: Batches) -> Batches:
 def train(parts: DataFrame, sample: int = SAMPLE) -> Hmm:
     """From labelled parts (conv_id, turn, role, text): the first `sample` conversations by a hash of their id.
 
-    Parts without a known role, and parts after a conversation's first SAMPLE_PARTS, are not used.
+    Parts without a known role, an id or an order, and parts after a conversation's first
+    SAMPLE_PARTS, are not used. Without any part the prior alone is the model.
     """
-    labelled = parts.filter(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & (F.col("turn") < SAMPLE_PARTS))
+    labelled = parts.filter(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     chosen = labelled.select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample)
-    some = labelled.join(F.broadcast(chosen), "conv_id").select(F.col("conv_id").alias("conv"), "turn", "role", text_of().alias("text"))
+    first = Window.partitionBy("conv_id").orderBy("turn", F.xxhash64(text_of()))
+    some = labelled.join(F.broadcast(chosen), "conv_id").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SAMPLE_PARTS)
+    some = some.select(F.col("conv_id").alias("conv"), "turn", "role", text_of().alias("text"))
     counts = some.repartition("conv").sortWithinPartitions("conv", "turn").mapInArrow(_counts, "start array<double>, step array<double>, emit array<double>").collect()
     total = [sum((np.array(c[k]) for c in counts), np.zeros(n)) for k, n in (("start", STATES), ("step", STATES * STATES), ("emit", STATES * OBSERVED))]
     return fitted(total[0], total[1].reshape(STATES, STATES), total[2].reshape(STATES, OBSERVED))
 
 
 def as_transcript(turns: DataFrame) -> DataFrame:
-    """turns with a speaker marker before each text: one of several styles, or in an eighth of the turns none."""
+    """turns with a speaker marker before each text: one of several styles, or in an eighth of the turns none.
+
+    The style follows from a hash of conversation and turn. Null and unknown roles have no marker;
+    a null text is an empty one; other columns stay as they are.
+    """
     style = F.pmod(F.xxhash64(F.lit("style"), "conv_id", "turn"), F.lit(8)) + 1
     marks = {
         "system": ["System: ", "SYSTEM: ", "[system]: ", "Instructions: ", "**System:** ", "System> ", "system: ", ""],

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -18,6 +19,107 @@ def test_markers(line, role, rest):
     assert seen // 8 == role and line[at:] == rest
 
 
+def slow_marker(line):
+    """Role number and length of a marker, read a character at a time."""
+    at = 0
+
+    def skip(chars):
+        nonlocal at
+        while at < len(line) and (line[at].isspace() if chars is None else line[at] in chars):
+            at += 1
+
+    skip(None), skip("[<(*#_"), skip(None)
+    name = next((n for n in sorted(chat.ROLE_OF, key=len, reverse=True) if line[at : at + len(n)].lower() == n and not line[at + len(n) : at + len(n) + 1].isalpha()), None)
+    if name is None:
+        return 0, 0
+    at += len(name)
+    skip(None), skip("])*_"), skip(None)
+    if line[at : at + 1] not in (":", ">"):
+        return 0, 0
+    at += 1
+    at += line[at : at + 1].isspace()
+    skip("*_")
+    at += line[at : at + 1].isspace()
+    return chat.ROLE_OF[name] + 1, at
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    began = time.monotonic()
+    for line in (" " * 1_000_000, "user" + " " * 1_000_000, "[" * 1_000_000, "user " + "*" * 1_000_000, " " * 500_000 + "user:" + " " * 500_000):
+        seen, at = chat.observe(line)
+        assert (seen // 8, at) == slow_marker(line)
+    assert time.monotonic() - began < 5
+
+
+def test_markers_match_a_slow_reader():
+    import random
+
+    draw = random.Random(2)
+    bits = ["user", "User", "a", "ai", "Assistant", " ", "  ", "*", "**", "[", "]", ":", ">", "_", "#", "x", "(", ")", "\t", "sys", "q"]
+    for _ in range(20_000):
+        line = "".join(draw.choice(bits) for _ in range(draw.randint(0, 7)))
+        seen, at = chat.observe(line)
+        assert (seen // 8, at) == slow_marker(line), line
+
+
+def slow_path(hmm, seen):
+    """Viterbi over dictionaries of scores, state by state."""
+    best = {s: (int(hmm.step[chat.OUT, s]) + int(hmm.emit[s, seen[0]]), [s]) for s in range(chat.STATES)}
+    for o in seen[1:]:
+        best = {s: max(((v + int(hmm.step[p, s]) + int(hmm.emit[s, o]), path) for p, (v, path) in best.items()), key=lambda x: x[0]) for s in range(chat.STATES)}
+        best = {s: (v, [*path, s]) for s, (v, path) in best.items()}
+    return max(v for v, _ in best.values()), [path for v, path in best.values()]
+
+
+def score_of(hmm, states, seen):
+    return sum(int(hmm.step[p, s]) + int(hmm.emit[s, o]) for p, s, o in zip([chat.OUT, *states[:-1]], states, seen, strict=True))
+
+
+def test_path_has_the_best_score():
+    rng = np.random.default_rng(5)
+    hmm = chat.fitted(rng.random(chat.STATES), rng.random((chat.STATES, chat.STATES)) * 9, rng.random((chat.STATES, chat.OBSERVED)) * 9)
+    for n in (1, 2, 5, 40):
+        seen = rng.integers(0, chat.OBSERVED, n).tolist()
+        assert score_of(hmm, hmm.path(seen), seen) == slow_path(hmm, seen)[0]
+
+
+def test_query_matches_brute_force(spark, monkeypatch):
+    """Every row of op3: roles of the best score, over whole conversations."""
+    monkeypatch.setattr(chat, "RUN", 3)
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    parts = chat.as_transcript(turns.select("conv_id", "turn", "role", "text"))
+    hmm, got, by_conv = chat.train(parts), {}, {}
+    for r in chat.op3_chat(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r.conv_id, []).append(r)
+    for r in parts.collect():
+        by_conv.setdefault(r.conv_id, []).append((r.turn, r.text))
+    assert {c: len(v) for c, v in got.items()} == {c: len(v) for c, v in by_conv.items()}
+    for c, found in got.items():
+        seen = [chat.observe(x)[0] for _, t in sorted(by_conv[c]) for x in t.split("\n")]
+        roles = [r for f in sorted(found, key=lambda f: f.part) for r in f.roles.split(",")]
+        best = slow_path(hmm, seen)[0]
+        # of each role's two states the better, given the roles: the best score under these roles is the best of all
+        at = [(2 * chat.ROLES.index(r), 2 * chat.ROLES.index(r) + 1) for r in roles]
+        reach = {s: int(hmm.step[chat.OUT, s]) + int(hmm.emit[s, seen[0]]) for s in at[0]}
+        for pair, o in zip(at[1:], seen[1:], strict=True):
+            reach = {s: max(v + int(hmm.step[p, s]) for p, v in reach.items()) + int(hmm.emit[s, o]) for s in pair}
+        assert max(reach.values()) == best
+
+
+def test_parts_of_one_turn_and_high_turns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RUN", 4)
+    rows = [("c", 7, "user", f"User: line {i}") for i in range(40)] + [("d", 100 + i, ("user", "assistant")[i % 2], ("User: x", "AI: y")[i % 2]) for i in range(30)]
+    parts = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string").repartition(4)
+    hmm = chat.train(parts.filter("conv_id = 'd'"))
+    assert (hmm.step != chat.train(parts.limit(0)).step).any()
+    got = chat.parse(parts, hmm).collect()
+    want = hmm.path([chat.observe("User: line 1")[0]] * 40)  # the order of equal turns follows from the texts, all of which look alike
+    assert len(got) == len(rows)
+    assert Counter(r.roles[0] for r in got if r.conv_id == "c") == Counter(chat.ROLES[s // 2] for s in want)
+
+
 @pytest.fixture(scope="module")
 def parts(spark):
     return chat.as_transcript(spark.read.parquet(f"{SF}/conversations.parquet")).drop("lang").persist()
