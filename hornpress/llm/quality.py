@@ -13,14 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import lean, table, text_of
+from hornpress.llm.common import lean, record, schema, table, text_of
 
 #: Labelled documents that the model is fitted on, at most, and the most lines of one of them.
 SAMPLE = 4000
-SAMPLE_LINES = 2000
+SAMPLE_LINES = 1000
 STEPS = 150
 #: Bytes of text whose lines are scored together.
 AT_ONCE = 4 << 20
@@ -199,27 +199,31 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, sizes = [], []
         for t in b["text"]:
             x, size, _ = line_features([t.as_py()])
-            xs.append(x.astype("<f8").tobytes())
-            sizes.append(size.astype("<f8").tobytes())
+            xs.append(x.astype("<f4").tobytes())
+            sizes.append(size.astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays([b["quality"], pa.array(xs, pa.binary()), pa.array(sizes, pa.binary())], names=["quality", "x", "size"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fitted on at most `sample` labelled documents that aren't held out, the first by a hash of their id.
 
-    Only features leave the executors. Labelled documents of more than SAMPLE_LINES lines are not
-    sampled. Rows without a label or an id are not used.
+    Only features leave the executors, at most sample x SAMPLE_LINES lines of them. Labelled
+    documents of more than SAMPLE_LINES lines are not sampled. Rows without a label or an id are not
+    used, nor ids that are labelled both ways; of rows with the same id one text is used.
     """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    agreed = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
+    chosen = agreed.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
     short = rows.filter(F.length("text") - F.length(F.translate("text", "\n", "")) < SAMPLE_LINES)
-    got = short.mapInArrow(_features, "quality int, x binary, size binary").collect()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    one = short.withColumn("nth", first).filter("nth = 1").select("quality", "text")
+    got = one.mapInArrow(_features, "quality int, x binary, size binary").collect()
     got.sort(key=lambda r: (bytes(r["x"]), r["quality"]))
-    xs = [np.frombuffer(r["x"], "<f8").reshape(-1, N_FEATURES) for r in got]
+    xs = [np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES).astype(float) for r in got]
     if not xs:
         return fit(np.zeros((0, N_FEATURES)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    size = np.concatenate([np.frombuffer(r["size"], "<f8") for r in got])
+    size = np.concatenate([np.frombuffer(r["size"], "<f4") for r in got]).astype(float)
     return fit(np.vstack(xs), size, np.array([len(x) for x in xs]), np.array([r["quality"] for r in got]))
 
 
@@ -250,17 +254,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     or be null (not held out); other columns are not read.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    kind = df.schema["doc_id"].dataType.simpleString()
-    scored = df.mapInArrow(_score(model, lambda b: b["text"]), f"doc_id {kind}, score double")
+    scored = df.mapInArrow(_score(model, lambda b: b["text"]), schema(df, ["doc_id"], "score double"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that the model predicts good."""
+    """The rows of docs, all columns, that the model predicts good.
+
+    Each row is judged by its whole text alone: equal texts stay or go together, whatever their ids,
+    nulls included. A null text is an empty one. Columns can have any name; an empty table gives an
+    empty one.
+    """
     at = docs.columns.index("text")
-    rec = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"))
-    kind = rec.schema["rec"].dataType.simpleString()
-    return rec.mapInArrow(_score(model, lambda b: b["rec"].field(at)), f"rec {kind}, score double").filter("score >= 0.5").select("rec.*")
+    rec = docs.select(record(docs).alias("rec"))
+    return rec.mapInArrow(_score(model, lambda b: b["rec"].field(at)), schema(rec, ["rec"], "score double")).filter("score >= 0.5").select("rec.*")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
