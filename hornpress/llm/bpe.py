@@ -4,7 +4,8 @@ Texts are split into words where they are read. A block of documents keeps its d
 and each document as positions in that list. The blocks' words, dealt out by word, make the table
 of distinct words, each encoded once; its ids go back to the blocks that hold the word and are
 joined to the documents by position. Very frequent words, found in a sample, are encoded up front
-and sent along, so that blocks list the others only. Decoding joins ids to their pieces.
+and sent along, so that blocks list the others only. Decoding joins ids to their pieces by position:
+the table of pieces, which is the vocabulary, is sent along as an array, and an id is its place there.
 """
 
 from __future__ import annotations
@@ -18,16 +19,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from hornpress.llm.common import lean, shuffle_partitions, spill_table, table, text_of
+from hornpress.llm.common import durable, lean, schema, spill_table, table, text_of
 from hornpress.llm.tokens import Splitter, added_tokens, default_path, pieces, read_file, tokenizer
 
 #: Frequent words sent along: at most so many, none longer, out of so many texts. They decide what moves, not what results.
 FREQUENT, FREQUENT_LENGTH, FREQUENT_TEXTS = 120_000, 64, 8_000
-#: A block ends when it has so many distinct other words, or so many words in all.
-BLOCK_DISTINCT, BLOCK_LENGTH = 400_000, 6_000_000
-#: Word lists that a block cuts its words into, for each shuffle partition.
-LISTS = 4
+#: A block ends, between texts, when it has so many distinct other words, bytes in these, or words in all.
+BLOCK_DISTINCT, BLOCK_BYTES, BLOCK_LENGTH = 400_000, 16 << 20, 6_000_000
+#: Word lists that a block cuts its words into: so many at least, and one for so many words of the vocabulary.
+LISTS, LIST_WORDS = 32, 1_000_000
+#: A vocabulary grows with less than this power of the number of texts.
+GROWTH = 0.75
+#: Bytes of a list's words whose ids a worker keeps; beyond it a word can be encoded again.
+KEPT_BYTES = 64 << 20
 #: Ids joined to pieces at once.
 AT_ONCE = 1 << 20
 
@@ -60,19 +66,28 @@ def _tops(added: list[str]) -> Callable[[Batches], Batches]:
     return run
 
 
-def frequent_words(texts: DataFrame, added: list[str]) -> list[str]:
-    """At most FREQUENT words, from a sample of about FREQUENT_TEXTS texts."""
-    part = min(1.0, FREQUENT_TEXTS / max(1, texts.count()))
+def frequent_words(texts: DataFrame, added: list[str]) -> tuple[list[str], int]:
+    """At most FREQUENT words, from a sample of about FREQUENT_TEXTS texts; and how many lists the vocabulary needs.
+
+    Lists follow from the sample's vocabulary and how many times more texts there are. Too few or
+    many lists change what a task holds, not results.
+    """
+    rows = texts.count()
+    part = min(1.0, FREQUENT_TEXTS / max(1, rows))
     sample = texts if part == 1 else texts.sample(fraction=part, seed=5)
-    tops = sample.mapInArrow(_tops(added), "word string, n long")
-    return [r["word"] for r in tops.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()]
+    tops = durable(sample.mapInArrow(_tops(added), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    lists = max(LISTS, int(tops.count() * (1 / part) ** GROWTH) // LIST_WORDS)
+    return [r["word"] for r in tops.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()], lists
 
 
 class Codes(dict):
-    """Word to number; a new word gets the next one."""
+    """Word to number; a new word gets the next one. size: the length of new words."""
+
+    size = 0
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.size += len(word)
         return n
 
 
@@ -111,10 +126,10 @@ def _split(added: list[str], key: str, frequent: list[str], lists: int) -> Calla
         for b in batches:
             begun = 0
             for i, text in enumerate(b["text"]):
-                words = split(text.as_py())
-                coded.append(np.fromiter(map(codes.__getitem__, words), dtype=np.uint32, count=len(words)))
-                length += len(words)
-                if len(codes) - len(known) >= BLOCK_DISTINCT or length >= BLOCK_LENGTH:
+                parts = [np.fromiter(map(codes.__getitem__, words), dtype=np.uint32, count=len(words)) for words in split.chunks(text.as_py())]
+                coded.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
+                length += len(coded[-1])
+                if len(codes) - len(known) >= BLOCK_DISTINCT or codes.size >= BLOCK_BYTES or length >= BLOCK_LENGTH:
                     keys.append(b[key][begun : i + 1])
                     yield from end()
                     block, codes, length, keys, coded, begun = block + 1, Codes(known), 0, [], [], i + 1
@@ -131,17 +146,18 @@ def _encode_lists(spec: str) -> Callable[[Batches], Batches]:
         lean()
         import zstandard
 
-        t, now = tokenizer(spec), None
+        t, now, held = tokenizer(spec), None, 0
         ids: dict[bytes, list[int]] = {}
         for b in batches:
             sizes, values = [], []
             for at, packed in zip(b["list"].to_pylist(), b["words"], strict=True):
-                if at != now:
-                    now, ids = at, {}
+                if at != now or held > KEPT_BYTES:
+                    now, ids, held = at, {}, 0
                 words = zstandard.ZstdDecompressor().decompress(packed.as_py()).split(b"\xff")
                 for w in words:
                     if w not in ids:
                         ids[w] = t.encode(w.decode("utf-8"), add_special_tokens=False).ids
+                        held += len(w)
                 found = [ids[w] for w in words]
                 sizes.append(pack(np.fromiter(map(len, found), np.uint32, count=len(found))))
                 values.append(pack(np.fromiter((x for f in found for x in f), np.uint32)))
@@ -213,19 +229,19 @@ def _as_digests(spec: str) -> Finish:
 def _encoded(docs: DataFrame, key: str, text_col: str, path: str | None, finish: Callable[[str], Finish], out: str) -> DataFrame:
     """What `finish`, given the tokenizer, makes of the ids of each row of docs: `key` and the columns `out`."""
     spec = read_file(path or default_path())
-    df = docs.select(F.col(key), text_of(text_col).alias("text"))
-    kind = df.schema[key].dataType.simpleString()
+    df = docs.select(F.col(f"`{key}`"), text_of(text_col).alias("text"))
+    kind = df.schema[key].dataType
     added = added_tokens(spec)
-    frequent = frequent_words(df.select("text"), added)
+    frequent, lists = frequent_words(df.select("text"), added)
     t = tokenizer(spec)
     encoded = [t.encode(w, add_special_tokens=False).ids for w in frequent]
     sizes, values = np.array([len(x) for x in encoded], np.uint32), np.array([i for x in encoded for i in x], np.uint32)
-    lists = LISTS * shuffle_partitions(docs.sparkSession)
-    blocks = spill_table(df.mapInArrow(_split(added, key, frequent, lists), f"block long, keys array<{kind}>, sizes binary, codes binary, list int, start long, words binary"))
+    held = StructType([StructField("block", LongType()), StructField("keys", ArrayType(kind)), *StructType.fromDDL("sizes binary, codes binary, list int, start long, words binary").fields])
+    blocks = spill_table(df.mapInArrow(_split(added, key, frequent, lists), held))
     words = blocks.filter("words is not null").select("block", "list", "start", "words")
     ids = words.repartition("list").sortWithinPartitions("list").mapInArrow(_encode_lists(spec), "block long, start long, sizes binary, ids binary")
     coded = blocks.filter("codes is not null").select("block", "keys", "sizes", "codes")
-    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(sizes, values, finish(spec)), f"`{key}` {kind}, {out}")
+    return coded.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join(sizes, values, finish(spec)), schema(df, [key], out))
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -269,15 +285,16 @@ def decode(encoded: DataFrame, key: str = "doc_id", path: str | None = None) ->
     that are not UTF-8 become U+FFFD.
     """
     spec = read_file(path or default_path())
-    kind = f"`{key}` {encoded.schema[key].dataType.simpleString()}"
     ids = F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
-    return encoded.select(key, ids).mapInArrow(_decode(spec, key), f"{kind}, text string")
+    return encoded.select(f"`{key}`", ids).mapInArrow(_decode(spec, key), schema(encoded, [key], "text string"))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document, encoded and decoded again.
 
     As decode(encode(docs)), hashed where a block's ids are joined: ids and texts are not moved again.
+    A null text is an empty one, without ids; ids of documents may repeat or be null; texts of any
+    length are read whole; other columns are not read; an empty table gives an empty result.
     """
     return _encoded(docs, "doc_id", "text", path, _as_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -77,7 +77,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of docs that stay, all columns, by the rule of exact_groups.
 
-    Copies of a frequent text are dropped where they are read; the rest moves once, by digest.
+    Copies of a frequent text are dropped where they are read; the rest moves once, by digest. Texts
+    of any length are compared whole; columns can have any name; an empty table gives an empty one.
     """
     text, ident = F.coalesce(F.col(f"rec.{text_col}").cast("string"), F.lit("")), F.col(f"rec.{id_col}")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec")).select(

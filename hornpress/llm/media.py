@@ -13,6 +13,7 @@ bands, each with one bit of refinement.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hornpress.llm.common import lean, table, text_of
+from hornpress.llm.common import lean, schema, table, text_of
 
 BLOCK = 64
 #: Blocks of a unit: four of luma, one each of the chroma components.
@@ -63,9 +64,9 @@ def _table(kind: int, number: int, symbol: int) -> bytes:
     return _segment(0xC4, bytes([kind << 4 | number, 1, *[0] * 15, symbol]))
 
 
-def _scan(components: list[int], band: tuple[int, int], high: int, low: int, bits: np.ndarray) -> bytes:
+def _scan(components: list[int], band: tuple[int, int], high: int, low: int, coded: bytes) -> bytes:
     head = bytes([len(components), *[x for c in components for x in (c, 0)], *band, high << 4 | low])
-    return _segment(0xDA, head) + _stuffed(bits)
+    return _segment(0xDA, head) + coded
 
 
 def _stuffed(bits: np.ndarray) -> bytes:
@@ -75,9 +76,15 @@ def _stuffed(bits: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
 
 
-def _bits(values: np.ndarray, n: int) -> np.ndarray:
-    """The n low bits of each value, highest first, along a new last axis."""
-    return (values[..., None] >> np.arange(n - 1, -1, -1)).astype(np.uint8) & 1
+def _refinement(value: np.ndarray) -> bytes:
+    """Of each block a code without new coefficients, then the last magnitude bit of each; AT_ONCE blocks fill whole bytes."""
+    out = []
+    for at in range(0, len(value), AT_ONCE):
+        part = value[at : at + AT_ONCE]
+        bits = np.zeros((len(part), part.shape[1] + 1), np.uint8)
+        bits[:, 1:] = (part & 1) ^ (1 - (part >> 7))
+        out.append(_stuffed(bits.reshape(-1)))
+    return b"".join(out)
 
 
 def grid(blocks: int) -> tuple[int, int]:
@@ -99,21 +106,20 @@ def encode_jpeg(payload: bytes) -> bytes:
     frame = bytes([8, *(16 * down).to_bytes(2, "big"), *(16 * across).to_bytes(2, "big"), 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
     out = [b"\xff\xd8", _segment(0xFE, len(payload).to_bytes(8, "big")), _segment(0xDB, bytes([0] + [1] * BLOCK)), _segment(0xC2, frame), _table(0, 0, 0)]
     dc = units[..., 0].reshape(-1)
-    out.append(_scan([1, 2, 3], (0, 0), 0, DC_BITS, np.zeros(len(dc), np.uint8)))
-    out += [_scan([1, 2, 3], (0, 0), k + 1, k, dc >> k & 1) for k in range(DC_BITS - 1, -1, -1)]
+    del data, units
+    out.append(_scan([1, 2, 3], (0, 0), 0, DC_BITS, _stuffed(np.zeros(len(dc), np.uint8))))
+    out += [_scan([1, 2, 3], (0, 0), k + 1, k, _stuffed(dc >> k & 1)) for k in range(DC_BITS - 1, -1, -1)]
     # first all but the last magnitude bit of every coefficient, then, in a run of no new ones, that bit
     out.append(_table(1, 0, DC_BITS - 1))
     for c, part in parts:
         for first, last in BANDS:
-            value = part[:, first : last + 1]
-            # a negative value's bits are those of its magnitude inverted, before and after halving
-            out.append(_scan([c], (first, last), 0, 1, _bits(value >> 1, 8).reshape(-1)))
+            # a code of one 0 bit and seven bits: a byte of its own, never FF; a negative value's
+            # bits are those of its magnitude inverted, before and after halving
+            out.append(_scan([c], (first, last), 0, 1, (part[:, first : last + 1] >> 1).tobytes()))
     out.append(_table(1, 0, 0))
     for c, part in parts:
         for first, last in BANDS:
-            value = part[:, first : last + 1]
-            low = (value & 1) ^ (1 - (value >> 7))
-            out.append(_scan([c], (first, last), 1, 0, np.concatenate([np.zeros((len(low), 1), np.uint8), low], axis=1).reshape(-1)))
+            out.append(_scan([c], (first, last), 1, 0, _refinement(part[:, first : last + 1])))
     return b"".join([*out, b"\xff\xd9"])
 
 
@@ -167,7 +173,7 @@ def only_symbol(table: dict[tuple[int, int], int]) -> int | None:
 class Component:
     def __init__(self, ident: int, h: int, v: int, quant: int) -> None:
         self.ident, self.h, self.v, self.quant = ident, h, v, quant
-        self.coef = np.zeros((0, 0, BLOCK), np.int32)  # rows and columns of blocks, coefficients in order of transmission
+        self.coef = np.zeros((0, 0, BLOCK), np.int16)  # rows and columns of blocks, coefficients in order of transmission
         self.size = (0, 0)  # blocks down and across that a scan of this component alone has
 
 
@@ -218,7 +224,7 @@ class Picture:
         self.h, self.v = max(c.h for c in self.components), max(c.v for c in self.components)
         self.across, self.down = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
         for c in self.components:
-            c.coef = np.zeros((self.down * c.v, self.across * c.h, BLOCK), np.int32)
+            c.coef = np.zeros((self.down * c.v, self.across * c.h, BLOCK), np.int16)
             c.size = (-(-(-(-self.height * c.v // self.v)) // 8), -(-(-(-self.width * c.h // self.h)) // 8))
 
     def _order(self, chosen: list[Component]) -> list[np.ndarray]:
@@ -249,14 +255,14 @@ class Picture:
         pieces = re.split(rb"\xff[\xd0-\xd7]", coded) if self.restart else [coded]
         step = self.restart or len(order[0])
         for k, piece in enumerate(pieces):
-            bits = np.unpackbits(np.frombuffer(piece.replace(b"\xff\x00", b"\xff"), np.uint8))
+            raw = np.frombuffer(piece.replace(b"\xff\x00", b"\xff"), np.uint8)
             part = [o[k * step : (k + 1) * step] for o in order]
             if first == 0:
-                self._dc(chosen, part, [tables.get(head[2 + 2 * i] >> 4, {}) for i in range(n)], high, low, bits)
+                self._dc(chosen, part, [tables.get(head[2 + 2 * i] >> 4, {}) for i in range(n)], high, low, np.unpackbits(raw))
             elif high:
-                self._refine(chosen[0], part[0].ravel(), tables[0x10 | head[2] & 15], first, last, low, bits)
+                self._refine(chosen[0], part[0].ravel(), tables[0x10 | head[2] & 15], first, last, low, raw)
             else:
-                self._bands(chosen[0], part[0].ravel(), tables[0x10 | head[2] & 15], first, last, low, bits)
+                self._bands(chosen[0], part[0].ravel(), tables[0x10 | head[2] & 15], first, last, low, raw)
 
     def _dc(self, chosen: list[Component], order: list[np.ndarray], tables: list[dict], high: int, low: int, bits: np.ndarray) -> None:
         units, widths = len(order[0]), [o.shape[1] for o in order]
@@ -278,13 +284,16 @@ class Picture:
             else:
                 dc[o.ravel()] = np.cumsum(mine) << low
 
-    def _bands(self, c: Component, blocks: np.ndarray, table: dict, first: int, last: int, low: int, bits: np.ndarray) -> None:
+    def _bands(self, c: Component, blocks: np.ndarray, table: dict, first: int, last: int, low: int, raw: np.ndarray) -> None:
         flat, width, symbol = c.coef.reshape(-1, BLOCK), last - first + 1, only_symbol(table)
         if symbol is not None and 0 < symbol < 16:  # no runs: every coefficient has a token of the same length
-            token = bits[: len(blocks) * width * (1 + symbol)].reshape(len(blocks), width, 1 + symbol)[..., 1:]
-            flat[blocks, first : last + 1] = _extended(token) << low
+            size = width * (1 + symbol)  # bits of a block
+            for at in range(0, len(blocks), AT_ONCE):
+                part = blocks[at : at + AT_ONCE]
+                bits = np.unpackbits(raw[at * size // 8 : -(-(at + len(part)) * size // 8)])
+                flat[part, first : last + 1] = _extended(bits[: len(part) * size].reshape(len(part), width, 1 + symbol)[..., 1:]) << low
             return
-        reader, skip = Bits(bits), 0
+        reader, skip = Bits(np.unpackbits(raw)), 0
         for b in blocks.tolist():
             k = first
             if skip:
@@ -302,15 +311,21 @@ class Picture:
                     skip = (1 << run) + (reader.take(run) if run else 0) - 1
                     break
 
-    def _refine(self, c: Component, blocks: np.ndarray, table: dict, first: int, last: int, low: int, bits: np.ndarray) -> None:
+    def _refine(self, c: Component, blocks: np.ndarray, table: dict, first: int, last: int, low: int, raw: np.ndarray) -> None:
         flat = c.coef.reshape(-1, BLOCK)
         if only_symbol(table) == 0:  # no new coefficients: a code for each block, then a bit for each that is there
-            band = flat[blocks, first : last + 1]
-            block, k = np.nonzero(band)
-            band[block, k] += np.sign(band[block, k]) * (bits[np.arange(len(block)) + block + 1].astype(np.int32) << low)
-            flat[blocks, first : last + 1] = band
+            begun = 0  # bits read
+            for at in range(0, len(blocks), AT_ONCE):
+                part = blocks[at : at + AT_ONCE]
+                band = flat[part, first : last + 1]
+                block, k = np.nonzero(band)
+                used = len(block) + len(part)
+                bits = np.unpackbits(raw[begun // 8 : -(-(begun + used) // 8)])[begun % 8 :]
+                band[block, k] += np.sign(band[block, k]) * (bits[np.arange(len(block)) + block + 1].astype(np.int16) << low)
+                flat[part, first : last + 1] = band
+                begun += used
             return
-        reader, skip, one = Bits(bits), 0, 1 << low
+        reader, skip, one = Bits(np.unpackbits(raw)), 0, 1 << low
 
         def correct(b: int, k: int) -> None:
             if reader.take(1) and not abs(int(flat[b, k])) & one:
@@ -340,38 +355,58 @@ class Picture:
                         correct(b, j)
                 skip -= 1
 
-    def plane(self, c: Component) -> np.ndarray:
-        """The component's samples."""
-        down, across, _ = c.coef.shape
-        flat, quant = c.coef.reshape(-1, BLOCK), self.quants[c.quant]
+    def plane(self, c: Component, above: int = 0, below: int | None = None) -> np.ndarray:
+        """The component's samples, from one row of blocks to another."""
+        coef = c.coef[above:below]
+        down, across, _ = coef.shape
+        flat, quant = coef.reshape(-1, BLOCK), self.quants[c.quant]
         out = np.empty(flat.shape, np.uint8)
         for at in range(0, len(flat), AT_ONCE):
             raw = (flat[at : at + AT_ONCE] * quant).astype(np.float64) @ INVERSE
             out[at : at + AT_ONCE] = np.clip((raw.astype(np.int64) + (128 << FIXED) + (1 << FIXED - 1)) >> FIXED, 0, 255)
         return out.reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)
 
+    def stripes(self) -> Iterator[np.ndarray]:
+        """Rows x width x 3, from the top, about AT_ONCE blocks at a time; chroma is brought to full resolution."""
+        step = max(1, AT_ONCE // (self.across * sum(c.h * c.v for c in self.components)))
+        for at in range(0, self.down, step):
+            planes = (self.plane(c, at * c.v, (at + step) * c.v) for c in self.components)
+            rows = self.height - at * 8 * self.v
+            full = [np.repeat(np.repeat(p, self.v // c.v, axis=0), self.h // c.h, axis=1)[:rows, : self.width].astype(np.int32) for p, c in zip(planes, self.components, strict=True)]
+            if len(full) == 1:
+                yield np.repeat(full[0].astype(np.uint8)[..., None], 3, axis=2)
+                continue
+            y, cb, cr = full[0], full[1] - 128, full[2] - 128
+            half = 1 << 15
+            out = np.empty((*y.shape, 3), np.uint8)
+            out[..., 0] = np.clip(y + ((91881 * cr + half) >> 16), 0, 255)
+            out[..., 1] = np.clip(y - ((22554 * cb + 46802 * cr + half) >> 16), 0, 255)
+            out[..., 2] = np.clip(y + ((116130 * cb + half) >> 16), 0, 255)
+            yield out
+
     def rgb(self) -> np.ndarray:
-        """Height x width x 3, chroma brought to full resolution."""
-        full = [np.repeat(np.repeat(self.plane(c), self.v // c.v, axis=0), self.h // c.h, axis=1)[: self.height, : self.width].astype(np.int32) for c in self.components]
-        if len(full) == 1:
-            return np.repeat(full[0].astype(np.uint8)[..., None], 3, axis=2)
-        y, cb, cr = full[0], full[1] - 128, full[2] - 128
-        half = 1 << 15
-        out = np.empty((*y.shape, 3), np.uint8)
-        out[..., 0] = np.clip(y + ((91881 * cr + half) >> 16), 0, 255)
-        out[..., 1] = np.clip(y - ((22554 * cb + 46802 * cr + half) >> 16), 0, 255)
-        out[..., 2] = np.clip(y + ((116130 * cb + half) >> 16), 0, 255)
+        """Height x width x 3."""
+        out, at = np.empty((self.height, self.width, 3), np.uint8), 0
+        for part in self.stripes():
+            out[at : at + len(part)] = part
+            at += len(part)
         return out
 
     def payload(self) -> bytes:
         """The bytes that encode_jpeg stored."""
         down, across = self.down, self.across
-        data = np.empty((down, across, UNIT, BLOCK), np.int32)
+        data = np.empty((down, across, UNIT, BLOCK), np.uint8)
         luma, blue, red = (c.coef for c in self.components)
-        data[:, :, :4] = luma.reshape(down, 2, across, 2, BLOCK).transpose(0, 2, 1, 3, 4).reshape(down, across, 4, BLOCK)
-        data[:, :, 4], data[:, :, 5] = blue, red
-        data[..., 1:] += np.where(data[..., 1:] < 0, 255, 0)
-        return data.astype(np.uint8).tobytes()[: int.from_bytes(self.comment, "big")]
+        step = max(1, AT_ONCE // across)
+        for at in range(0, down, step):
+            part = data[at : at + step]
+            many = len(part)
+            units = np.empty(part.shape, np.int16)
+            units[:, :, :4] = luma[2 * at : 2 * (at + many)].reshape(many, 2, across, 2, BLOCK).transpose(0, 2, 1, 3, 4).reshape(many, across, 4, BLOCK)
+            units[:, :, 4], units[:, :, 5] = blue[at : at + many], red[at : at + many]
+            units[..., 1:] += np.where(units[..., 1:] < 0, np.int16(255), np.int16(0))
+            part[...] = units
+        return data.reshape(-1)[: int.from_bytes(self.comment, "big")].tobytes()
 
 
 def _extended(token: np.ndarray) -> np.ndarray:
@@ -399,7 +434,7 @@ INVERSE = inverse_transform()
 # --- columns ---------------------------------------------------------------------------------
 
 STORED = "n_bytes long, media binary"
-LOADED = "n_bytes long, media binary, payload binary, height int, width int, rgb binary, sums array<long>"
+LOADED = "n_bytes long, media binary, payload binary, height int, width int, sums array<long>, rgb_crc32 long"
 #: Bytes of payload in an output batch.
 BATCH_BYTES = 4 << 20
 
@@ -421,29 +456,34 @@ def _batch(keys: pa.Array, rows: list[tuple], key: str, schema: pa.Schema) -> pa
 
 
 def _store(key: str) -> Callable[[Batches], Batches]:
-    schema = pa.schema([("n_bytes", pa.int64()), ("media", pa.binary())])
+    out = pa.schema([("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         lean()
         for b in batches:
-            yield from _batches(b[key], ((len(t), encode_jpeg(payload_of(t))) for t in (x.as_py() for x in b["text"].cast(pa.binary()))), key, schema)
+            yield from _batches(b[key], ((len(t), encode_jpeg(payload_of(t))) for t in (x.as_py() for x in b["text"].cast(pa.binary()))), key, out)
 
     return run
 
 
-def _load(key: str) -> Callable[[Batches], Batches]:
-    schema = pa.schema([("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("rgb", pa.binary()), ("sums", pa.list_(pa.int64()))])
+def _load(key: str, tensor: bool) -> Callable[[Batches], Batches]:
+    fields = [("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("height", pa.int32()), ("width", pa.int32()), ("sums", pa.list_(pa.int64())), ("rgb_crc32", pa.int64())]
+    out = pa.schema(fields + [("rgb", pa.binary())] * tensor)
 
     def rows(b: pa.RecordBatch) -> Iterator[tuple]:
-        for n, media in zip(b["n_bytes"].to_pylist(), b["media"], strict=True):
-            p = Picture(media.as_py())
-            rgb = p.rgb()
-            yield n, media.as_py(), p.payload(), p.height, p.width, rgb.tobytes(), rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
+        for n, stored in zip(b["n_bytes"].to_pylist(), b["media"], strict=True):
+            media = stored.as_py()
+            p = Picture(media)
+            sums, crc = np.zeros(3, np.int64), 0
+            for part in p.stripes():
+                sums += part.reshape(-1, 3).sum(axis=0, dtype=np.int64)
+                crc = zlib.crc32(part, crc)
+            yield n, media, p.payload(), p.height, p.width, sums.tolist(), crc, *([p.rgb().tobytes()] if tensor else [])
 
     def run(batches: Batches) -> Batches:
         lean()
         for b in batches:
-            yield from _batches(b[key], rows(b), key, schema)
+            yield from _batches(b[key], rows(b), key, out)
 
     return run
 
@@ -452,22 +492,28 @@ def store(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataF
     """One row per row of docs: key, n_bytes of the text, media (a JPEG that holds it).
 
     A null text is an empty one, stored as 64 zero bytes. Keys may repeat or be null; other columns
-    are not read. Texts go up to some 900 MB, since a picture's tensor must fit a binary value.
+    are not read; an empty table gives an empty one. A worker needs some 8 bytes of memory for each
+    byte of the longest text (measured: 0.9 GB for 128 MB), so the memory of a worker sets the limit;
+    Arrow's binary values end at 2 GB, texts near 1.7 GB in any case.
     """
-    df = docs.select(F.col(key), text_of(text_col).alias("text"))
-    return df.mapInArrow(_store(key), f"`{key}` {df.schema[key].dataType.simpleString()}, {STORED}")
+    df = docs.select(F.col(f"`{key}`"), text_of(text_col).alias("text"))
+    return df.mapInArrow(_store(key), schema(df, [key], STORED))
 
 
-def load(stored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Stored media read back: the payload, and the picture as an RGB tensor (height x width x 3 bytes) with its channels' sums."""
-    df = stored.select(key, "n_bytes", "media")
-    return df.mapInArrow(_load(key), f"`{key}` {df.schema[key].dataType.simpleString()}, {LOADED}")
+def load(stored: DataFrame, key: str = "doc_id", tensor: bool = True) -> DataFrame:
+    """Stored media read back: the payload, the picture's size, its channels' sums and checksum.
+
+    tensor: also the picture itself, in a column rgb (height x width x 3 bytes). Without it no more
+    than a stripe of the picture is held at a time.
+    """
+    df = stored.select(f"`{key}`", "n_bytes", "media")
+    return df.mapInArrow(_load(key, tensor), schema(df, [key], LOADED + ", rgb binary" * tensor))
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.col("payload")
-    feature = F.concat_ws(":", F.concat_ws("x", "height", "width"), F.concat_ws(",", F.col("sums").cast("array<string>")), F.crc32("rgb").cast("string"))
-    return load(store(table(spark, sf_dir, "documents"))).select(
+    feature = F.concat_ws(":", F.concat_ws("x", "height", "width"), F.concat_ws(",", F.col("sums").cast("array<string>")), F.col("rgb_crc32").cast("string"))
+    return load(store(table(spark, sf_dir, "documents")), tensor=False).select(
         "doc_id",
         "n_bytes",
         F.octet_length(payload).cast("long").alias("payload_bytes"),

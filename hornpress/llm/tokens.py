@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -48,9 +49,15 @@ def added_tokens(spec: str) -> list[str]:
     simple = all(not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) for a in conf["added_tokens"])
     if not (plain and simple):
         raise ValueError("only byte-level tokenizers without a normalizer are supported")
+    if any(" " in a["content"] for a in conf["added_tokens"]):
+        raise ValueError("added tokens with spaces are not supported")
     return [a["content"] for a in sorted(conf["added_tokens"], key=lambda a: -len(a["content"]))]
 
 
+#: Characters of a text that are split at once.
+CHUNK = 1 << 20
+
+
 class Splitter:
     """Whole texts to words that the tokenizer encodes one by one as it does within the text.
 
@@ -63,6 +70,8 @@ class Splitter:
         self.added, self.pre = set(added), None
         self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.words = regex.compile(PATTERN).findall
+        # added tokens hold no space, so that none is cut
+        self.safe = regex.compile(r"[a-z] (?=[a-z])").search
         self.odd = regex.compile(f"[^{AGREED}]").search
 
     def _part(self, text: str) -> list[str]:
@@ -74,6 +83,21 @@ class Splitter:
             return [text[a:b] for _, (a, b) in self.pre.pre_tokenize_str(text)]
         return self.words(text)
 
+    def chunks(self, text: str) -> Iterator[list[str]]:
+        """The words of a text of any length, some CHUNK characters at a time.
+
+        Between a letter and a single space before another letter a word always ends, so cutting
+        there changes nothing. Without such a place the chunk goes on.
+        """
+        at = 0
+        while len(text) - at > CHUNK:
+            cut = self.safe(text, at + CHUNK)
+            if cut is None:
+                break
+            yield self(text[at : cut.start() + 1])
+            at = cut.start() + 1
+        yield self(text[at:])
+
     def __call__(self, text: str) -> list[str]:
         if self.cut is None or not any(a in text for a in self.added):
             return self._part(text) if text else []

@@ -116,7 +116,7 @@ def general_jpeg(coef, quant):
         return bits
 
     def scan(band, high, low, bits):
-        return media._scan([1], band, high, low, np.array(bits, np.uint8))
+        return media._scan([1], band, high, low, media._stuffed(np.array(bits, np.uint8)))
 
     frame = bytes([8, 0, 8, *(8 * n).to_bytes(2, "big"), 1, 1, 0x11, 0])
     parts = [b"\xff\xd8", media._segment(0xDB, bytes([0]) + bytes(quant.tolist())), media._segment(0xC2, frame), dht(0), dht(1), scan((0, 0), 0, 1, dc(1)), scan((0, 0), 1, 0, [int(c[0]) & 1 for c in coef]), scan((1, 63), 0, 1, first(1)), scan((1, 63), 1, 0, refine(0)), b"\xff\xd9"]
@@ -165,3 +165,51 @@ def test_edge_cases(edge, empty):
     assert sorted(bytes(r.payload[: r.n_bytes]) for r in back) == sorted((r[1] or "").encode() for r in EDGE)
     assert all(len(r.rgb) == r.height * r.width * 3 and sum(r.sums) == sum(r.rgb) for r in back)
     assert media.load(media.store(empty)).count() == 0
+
+
+def slow_tensor(text):
+    """The picture of a text by the definition, block by block."""
+    data = media.payload_of(text)
+    blocks = [data[i : i + 64] for i in range(0, len(data), 64)]
+    across, down = media.grid(len(blocks))
+    blocks += [bytes(64)] * (across * down * 6 - len(blocks))
+    k = np.arange(8)
+    basis = np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16) / 2
+    basis[0] /= np.sqrt(2)
+    whole = {(u, v): np.round(np.outer(basis[u], basis[v]) * 2**13).astype(int) for u in range(8) for v in range(8)}
+    steps = sorted(((i, j) for i in range(8) for j in range(8)), key=lambda c: (c[0] + c[1], c[0] if (c[0] + c[1]) % 2 else c[1]))
+
+    def samples(block):
+        coef = [block[0], *[b if b >= 128 else b - 255 for b in block[1:]]]
+        raw = sum(c * whole[uv] for c, uv in zip(coef, steps, strict=True)) + (128 << 13) + (1 << 12)
+        return np.clip(raw >> 13, 0, 255)
+
+    out = np.zeros((16 * down, 16 * across, 3), np.uint8)
+    for u in range(across * down):
+        y0, x0 = 16 * (u // across), 16 * (u % across)
+        unit = [samples(b) for b in blocks[6 * u : 6 * u + 6]]
+        for i in range(16):
+            for j in range(16):
+                y, cb, cr = (int(v) for v in (unit[2 * (i // 8) + j // 8][i % 8, j % 8], unit[4][i // 2, j // 2] - 128, unit[5][i // 2, j // 2] - 128))
+                rgb = (y + (91881 * cr + 32768 >> 16), y - (22554 * cb + 46802 * cr + 32768 >> 16), y + (116130 * cb + 32768 >> 16))
+                out[y0 + i, x0 + j] = [min(max(v, 0), 255) for v in rgb]
+    return out
+
+
+def test_features_match_slow_tensors(spark, sf, texts):
+    got = {r.doc_id: r.feature for r in media.op1_media(spark, sf).collect()}
+    for i, t in texts[:12]:
+        rgb = slow_tensor(t.encode())
+        sums = ",".join(str(int(rgb[..., c].sum(dtype=np.int64))) for c in range(3))
+        assert got[i] == f"{rgb.shape[0]}x{rgb.shape[1]}:{sums}:{zlib.crc32(rgb.tobytes())}"
+        assert (media.Picture(media.encode_jpeg(media.payload_of(t.encode()))).rgb() == rgb).all()
+
+
+def test_memory_for_long_texts():
+    """Beyond a small text's, no more than ten bytes for each byte of the text."""
+    import subprocess
+    import sys
+
+    code = "import resource, sys; from hornpress.llm import media; n = int(sys.argv[1]); d = media.payload_of(bytes(range(1, 129)) * (n // 128)); p = media.Picture(media.encode_jpeg(d)); sum(int(s.sum()) for s in p.stripes()); assert p.payload() == d; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    small, large = (int(subprocess.run([sys.executable, "-c", code, str(n)], capture_output=True, check=True, text=True).stdout) for n in (1 << 10, 48 << 20))
+    assert large - small < 10 * (48 << 10)
