@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 from collections import defaultdict
@@ -11,11 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rounds that remove nodes without a way in or out before the edges left are counted, and how many one task solves.
+TRIMS, ONE_TASK = 3, 200_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one where none is set."""
+    """The checkpoint folder of the session. Only a local master may do without one: its temporary folder is shared."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -25,28 +33,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df computed once, as a table in the checkpoint folder. For loops: what the optimizer knows about a
     checkpoint grows from round to round, a table starts anew."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = path or new_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges that are left when nodes without a way in or out are removed again and again."""
+def forget(table: DataFrame) -> None:
+    """Deletes a written table; frames that read it are of no use afterwards."""
+    at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
+    at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cyclic_core(edges: DataFrame, rounds: int | None = None) -> tuple[DataFrame, int]:
+    """Edges, and their number, that are left when nodes without a way in or out are removed again and
+    again: until nothing goes, or in so many rounds."""
     core = written(edges.select("src", "dst").distinct())
     left = core.count()
-    while left:
+    while left and rounds != 0:
         sources, ends = core.select(F.col("src").alias("node")).distinct(), core.select(F.col("dst").alias("node")).distinct()
         inner = sources.join(ends, "node", "left_semi")
         smaller = core.join(inner, core["src"] == inner["node"], "left_semi").join(inner, F.col("dst") == inner["node"], "left_semi")
-        core = written(smaller)
+        past, core = core, written(smaller)
+        forget(past)
         now = core.count()
         if now == left:
             break
-        left = now
-    return core
+        left, rounds = now, None if rounds is None else rounds - 1
+    return core, left
 
 
 def weak_components(edges: DataFrame) -> DataFrame:
@@ -58,9 +80,10 @@ def weak_components(edges: DataFrame) -> DataFrame:
         low = labels.join(near, labels["node"] == near["src"]).select("node", F.least("comp", "near").alias("low"))
         further = labels.select(F.col("node").alias("low"), F.col("comp").alias("jump"))
         new = written(low.join(further, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("comp")))
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").filter("comp <> old").isEmpty()
+        same = new.join(labels.withColumnRenamed("comp", "old"), "node").filter("comp <> old").isEmpty()
+        forget(labels)
         labels = new
-        if changed:
+        if same:
             return labels
 
 
@@ -118,16 +141,23 @@ def feedback_vertices(edges: list[tuple[str, str]], part: set[str]) -> list[str]
             out[m].discard(n) if m != n else None
         return near
 
-    chosen = []
-    while any(out.values()):
-        best = min(out, key=lambda n: (-len(into[n]) * len(out[n]), n))
+    weight = lambda n: -len(into[n]) * len(out[n])
+    heap = [(weight(n), n) for n in part]
+    heapq.heapify(heap)
+    links, chosen = sum(map(len, out.values())), []
+    while links:
+        w, best = heapq.heappop(heap)
+        if best not in out or w != weight(best):  # an entry of before
+            continue
         chosen.append(best)
-        todo = remove(best)
+        todo = [best]
         while todo:
-            n = min(todo)
-            todo.discard(n)
-            if n in out and bool(into[n]) != bool(out[n]):
-                todo |= remove(n)
+            n = heapq.heappop(todo)
+            if n in out and (n == best or bool(into[n]) != bool(out[n])):
+                links -= len(out[n]) + len(into[n]) - (n in out[n])
+                for m in remove(n):
+                    heapq.heappush(heap, (weight(m), m))
+                    heapq.heappush(todo, m)
     return chosen
 
 
@@ -135,11 +165,17 @@ def cycle_breakers(edges: DataFrame) -> DataFrame:
     """(node, scc, feedback): nodes on cycles, the smallest node of their strong component, and whether they are
     chosen to break its cycles.
 
-    Cycles only lie in the cyclic core; its weak components are independent of each other, and each
-    is solved by itself.
+    Nodes that lie on no cycle are removed in a few rounds. If what is left has at most ONE_TASK
+    edges, one task solves it; the time is linear in the edges but for the choice of vertices.
+    Otherwise nodes go until only the cyclic core is left, whose weak components are independent of
+    each other and solved one by one: such a component must fit a task.
     """
-    core = cyclic_core(edges)
-    labelled = core.join(weak_components(core), core["src"] == F.col("node")).select("comp", "src", "dst")
+    core, left = cyclic_core(edges, TRIMS)
+    if left <= ONE_TASK:
+        labelled = core.select(F.lit("").alias("comp"), "src", "dst")
+    else:
+        core, _ = cyclic_core(core)
+        labelled = core.join(weak_components(core), core["src"] == F.col("node")).select("comp", "src", "dst")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = list(zip(pdf["src"], pdf["dst"], strict=True))

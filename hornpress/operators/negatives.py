@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hornpress.operators import tables as tb
+from hornpress.operators.graph import checkpointed
 from hornpress.operators.numeration import nearest, ranked
 
 WIDE = "decimal(38,0)"
@@ -149,8 +150,10 @@ def gaps(pos: DataFrame, neg: DataFrame, n: int) -> DataFrame:
 
 def weights(pos: DataFrame, neg: DataFrame, n: int) -> DataFrame:
     """neg with a weight: the size of the gap that holds a sample over the number of samples in it."""
-    held = F.count("*").over(Window.partitionBy("low"))
-    weighed = gaps(pos, neg, n).select("ordinal", ((F.col("high") - F.col("low") - 1).cast("double") / held).cast("float").alias("weight"))
+    around = checkpointed(gaps(pos, neg, n))
+    held = around.groupBy("low").agg(F.count("*").alias("held"))
+    size = (F.col("high") - F.col("low") - 1).cast("double")
+    weighed = around.join(held, "low").select("ordinal", (size / F.col("held")).cast("float").alias("weight"))
     return with_ordinals(neg, n).join(weighed, "ordinal").select(*pos.columns, "weight")
 
 

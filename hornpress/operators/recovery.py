@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hornpress.operators import tables as tb
-from hornpress.operators.graph import checkpointed, written
+from hornpress.operators.graph import checkpointed, new_folder, written
 from hornpress.operators.kb import Kb, Relation
 from hornpress.plans import compile as cp
 from hornpress.plans.rules import Atom, Const, Rule, Var
@@ -35,25 +35,45 @@ def apply_rule(rule: Rule, facts: Kb, counter: dict[str, DataFrame], constants:
 def recover(facts: Kb, counter: dict[str, DataFrame], rules: list[Rule], extra: DataFrame | None = None) -> Kb:
     """The least base that holds the facts and that the rules add nothing to but counterexamples.
 
-    In each round only rules whose body has changed are applied.
+    The first round applies whole rules; later ones only join what the round before added: a rule
+    is applied once for each of its atoms whose relation has grown, with the new tuples in its place.
     """
     constants = checkpointed(all_constants(facts, counter, rules, extra))
-    changed = set(facts.relations) | {""}
+    folders: dict[str, str] = {}
+    first, changed = facts, None
+    number = 0
     while True:
         found: dict[str, list[DataFrame]] = {}
         for rule in rules:
-            if {b.pred for b in rule.body} & changed or (not rule.body and "" in changed):
-                found.setdefault(rule.head.pred, []).append(apply_rule(rule, facts, counter, constants))
-        changed = set()
+            for variant, known in _variants(rule, facts, changed):
+                found.setdefault(rule.head.pred, []).append(apply_rule(variant, known, counter, constants))
+        changed = {}
         for pred, parts in found.items():
-            new = written(tb.union_of(*parts))
+            folder = folders.setdefault(pred, new_folder(facts.spark))
+            new = written(tb.union_of(*parts), f"{folder}/round-{number}")
             if not new.isEmpty():
-                changed.add(pred)
-                facts = facts.with_relation(Relation(pred, facts[pred].arity, written(facts[pred].df.unionByName(new))))
+                changed[pred] = new
+        for pred in changed:
+            grown = facts.spark.read.schema(first[pred].df.schema).option("recursiveFileLookup", "true").parquet(folders[pred])
+            facts = facts.with_relation(Relation(pred, facts[pred].arity, first[pred].df.unionByName(grown)))
+        number += 1
         if not changed:
             return facts
 
 
+def _variants(rule: Rule, facts: Kb, changed: dict[str, DataFrame] | None) -> list[tuple[Rule, Kb]]:
+    """The rule itself in the first round; later, of each atom that has new tuples, the rule over these."""
+    if changed is None:
+        return [(rule, facts)]
+    out = []
+    for k, atom in enumerate(rule.body, 1):
+        if atom.pred in changed:
+            name = f"{atom.pred} (new)"
+            known = facts.with_relation(Relation(name, len(atom.args), changed[atom.pred]))
+            out.append((Rule((*rule.atoms[:k], Atom(name, atom.args), *rule.atoms[k + 1 :])), known))
+    return out
+
+
 def needed(pred: str, rules: list[Rule]) -> list[Rule]:
     """Rules that tuples of a relation may depend on."""
     want, size = {pred}, 0

@@ -43,12 +43,12 @@ def by_edge(kb: Kb, budget: int, seed: int = 0) -> DataFrame:
 
 def by_end(kb: Kb, budget: int, last: bool = False) -> DataFrame:
     """Of each relation its first (or last) whole part of rows * budget / total rows in order."""
-    every = edges(kb)
-    total = every.count()
-    order = F.col("args").desc() if last else F.col("args").asc()
-    sized = every.join(F.broadcast(every.groupBy("rel").agg(F.count("*").alias("rows"))), "rel")
-    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("rel").orderBy(order)))
-    return ranked.filter(F.col("rank") <= F.floor(F.lit(budget / max(total, 1)) * F.col("rows"))).select("rel", "args")
+    place = nm.ranked(edges(kb).withColumn("key", F.struct("rel", "args")), "key", "place").drop("key")
+    place = checkpointed(place)
+    ends = place.groupBy("rel").agg(F.count("*").alias("rows"), F.min("place").alias("low"), F.max("place").alias("high"))
+    total = place.count()
+    rank = F.col("high") - F.col("place") if last else F.col("place") - F.col("low")
+    return place.join(F.broadcast(ends), "rel").filter(rank + 1 <= F.floor(F.lit(budget / max(total, 1)) * F.col("rows"))).select("rel", "args")
 
 
 def degrees(kb: Kb) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hornpress.operators.numeration import ranked, running
@@ -48,8 +48,8 @@ def ordinals(t: DataFrame) -> DataFrame:
 
 
 def ith(t: DataFrame, i: int) -> DataFrame:
-    """The row at a place: the last of the first i + 1, found without ordering all rows in one task."""
-    return t.orderBy(*t.columns).limit(i + 1).exceptAll(t.orderBy(*t.columns).limit(i))
+    """The row at a place."""
+    return ordinals(t).filter(F.col("ordinal") == i).drop("ordinal")
 
 
 def split_by(t: DataFrame, col: int) -> DataFrame:
@@ -57,6 +57,15 @@ def split_by(t: DataFrame, col: int) -> DataFrame:
     return t.groupBy(F.col(f"a{col}").alias("value")).agg(F.count("*").alias("rows"))
 
 
+def slices(t: DataFrame, col: int) -> DataFrame:
+    """Every row beside the slice that it is in: (part, value, a0, ...), parts numbered from 0 by rising value.
+
+    Parts aren't gathered: a slice of any size stays spread over tasks.
+    """
+    part = ranked(distinct_values(t, col), "value", "part", start=0)
+    return t.join(part, t[f"a{col}"] == part["value"]).select("part", "value", *t.columns)
+
+
 def equal_in_row(t: DataFrame, *cols: int) -> DataFrame:
     """Rows whose given columns are equal."""
     first, *rest = (F.col(f"a{c}") for c in cols)
@@ -83,8 +92,8 @@ def insert_places(t: DataFrame, other: DataFrame) -> DataFrame:
 def frequent_values(t: DataFrame, share: float) -> DataFrame:
     """(col, val, cnt) of values in at least ceil(rows * share) rows of their column."""
     cells = t.select(F.posexplode(F.array(*t.columns)).alias("col", "val")).groupBy("col", "val").agg(F.count("*").alias("cnt"))
-    rows = F.sum("cnt").over(Window.partitionBy("col"))
-    return cells.withColumn("least", F.ceil(rows * F.lit(share))).filter("cnt >= least").drop("least")
+    least = cells.groupBy("col").agg(F.ceil(F.sum("cnt") * F.lit(share)).alias("least"))
+    return cells.join(F.broadcast(least), "col").filter("cnt >= least").drop("least")
 
 
 def constants_of(t: DataFrame) -> DataFrame:

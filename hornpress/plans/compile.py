@@ -158,6 +158,14 @@ def groundings(rule: Rule, kb: Kb, head: DataFrame | None = None) -> DataFrame:
     return _grounded(rows, at, list(enumerate(rule.body, 1)), kb)
 
 
+def reduced_groundings(rule: Rule, kb: Kb, used: list[str]) -> DataFrame:
+    """Distinct head rows (h_a*, h_entailed) with the body columns `used` of their groundings: every atom is cut
+    to those and to what it is joined by, and made distinct, before it is joined."""
+    rows = tb.prefixed(matched_head(rule, kb), "h_")
+    at = {v: f"h_a{rule.head.args.index(v)}" for v in rule.head.vars}
+    return _grounded(rows, at, list(enumerate(rule.body, 1)), kb, set(used)).select(*rows.columns, *used).distinct()
+
+
 def body_groundings(rule: Rule, kb: Kb) -> list[tuple[list[int], DataFrame]]:
     """Of each body component its atom numbers, and its whole rows joined without the head: columns b1_a*, b2_a*, ..."""
     groups = linked([set(b.vars) for b in rule.body if b.vars])
@@ -165,8 +173,8 @@ def body_groundings(rule: Rule, kb: Kb) -> list[tuple[list[int], DataFrame]]:
     return [(ks, _grounded(None, {}, [(k, rule.atoms[k]) for k in ks], kb)) for ks in parts]
 
 
-def _grounded(rows: DataFrame | None, at: dict[Var, str], left: list[tuple[int, Atom]], kb: Kb) -> DataFrame:
-    """rows, whose columns `at` hold variables, joined with the rows of atoms."""
+def _grounded(rows: DataFrame | None, at: dict[Var, str], left: list[tuple[int, Atom]], kb: Kb, used: set[str] | None = None) -> DataFrame:
+    """rows, whose columns `at` hold variables, joined with the rows of atoms; of these only `used` columns, if given."""
     while left:
         k, atom = next(((k, a) for k, a in left if set(a.vars) & set(at)), left[0])
         left.remove((k, atom))
@@ -182,6 +190,18 @@ def _grounded(rows: DataFrame | None, at: dict[Var, str], left: list[tuple[int,
                     on.append(rows[at[arg]] == part[name])
                 else:
                     at[arg] = name
+        if used is not None:
+            later = {at[v] for _, a in left for v in a.vars if v in at}
+            joins = {f"b{k}_a{i}" for i, arg in enumerate(atom.args) if isinstance(arg, Var) and at[arg] != f"b{k}_a{i}"}
+            cut = part.select(*[c for c in part.columns if c in used | later | joins]).distinct()
+            on = [(at[arg], f"b{k}_a{i}") for i, arg in enumerate(atom.args) if isinstance(arg, Var) and not at[arg].startswith(f"b{k}_")]
+            part, on = cut, [rows[x] == cut[y] for x, y in on]
+            if not part.columns:  # the atom only has to hold
+                rows = rows.join(part.limit(1), how="left_semi")
+                continue
+            if on and not set(part.columns) & (used | later):
+                rows = rows.join(part, on, "left_semi")
+                continue
         rows = part if rows is None else rows.join(part, on) if on else rows.crossJoin(part)
     return rows
 

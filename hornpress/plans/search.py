@@ -127,7 +127,7 @@ class Scorer:
             used = sorted({self._column(p) for _, m in mine for p in ([m[1], m[2]] if m[0] == "eq" else [m[1]])})
             width = len(rule.head.args)
             row = F.array(*[F.col(f"h_a{i}") for i in range(width)]).alias("head")
-            ground = cp.groundings(rule, self.kb).select(row, F.col("h_entailed").alias("entailed"), *used).distinct()
+            ground = cp.reduced_groundings(rule, self.kb, [c for c in used if not c.startswith("h_")]).select(row, F.col("h_entailed").alias("entailed"), *used)
             exact = [F.when(F.col(self._column(m[1])) == (F.col(self._column(m[2])) if m[0] == "eq" else F.lit(m[2])), F.lit(k)) for k, m in mine if m[0] != "in"]
             if exact:
                 tests.append(ground.select("head", "entailed", F.explode(F.array_compact(F.array(*exact))).alias("k")))
