@@ -1,25 +1,29 @@
 """Rules of fixed shapes, found without a search.
 
-Of each template all instances are counted together: head tuples are looked up by the relation
-pairs that can derive them, and only pairs whose columns are similar enough are tried.
+A template is a rule over placeholders for relations. All its instances are counted by one plan:
+tuples of all relations of an arity are one table with the relation's name, body atoms are joined
+on their shared variables, and figures are grouped by the names that the placeholders took. The
+plan's size follows from the template, not from the number of relations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
-from itertools import product as combinations
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hornpress.functions import multisets as ms
 from hornpress.operators import tables as tb
+from hornpress.operators.graph import checkpointed
 from hornpress.operators.kb import Kb
 from hornpress.plans import compile as cp
 from hornpress.plans.rules import Atom, Const, Rule, Var, parse_rule
 
 COVERAGE, TAU, SIMILAR = 0.2, 0.8, 0.8
+RESULT_COLUMNS = ["rule", "length", "pos", "neg", "coverage", "tau", "delta"]
 RESULT = "rule string, length int, pos long, neg long, coverage double, tau double, delta double"
 
 
@@ -30,93 +34,220 @@ def similar_pairs(kb: Kb, threshold: float = SIMILAR) -> set[tuple[tuple[str, in
 
 
 def measured(kb: Kb, candidates: list[tuple[Rule, int]]) -> DataFrame:
-    """(rule, length, pos, neg, coverage, tau, delta) of complete rules, in one plan; a length is the template's own."""
+    """(rule, length, pos, neg, coverage, tau, delta) of given rules, in one plan."""
     rows = [cp.evaluation(rule, kb).select(F.lit(str(rule)).alias("rule"), F.lit(length).alias("length"), F.col("pos").cast("long").alias("pos"), F.col("all"), F.lit(kb.sizes[rule.head.pred]).alias("rows")) for rule, length in candidates]
     if not rows:
         return kb.spark.createDataFrame([], RESULT)
-    pos, every, length = F.col("pos"), F.col("all"), F.col("length")
-    return reduce(DataFrame.unionByName, rows).select("rule", "length", "pos", (every - pos).cast("long").alias("neg"), (pos / F.col("rows")).alias("coverage"), F.when(every + length > 0, pos / (every + length)).otherwise(0.0).alias("tau"), (pos - (every - pos) - length).cast("double").alias("delta"))
+    return _figures(reduce(DataFrame.unionByName, rows), [])
 
 
 def accepted(results: DataFrame, coverage: float = COVERAGE, tau: float = TAU) -> DataFrame:
     return results.filter((F.col("coverage") >= coverage) & (F.col("tau") >= tau))
 
 
-def _binary(kb: Kb) -> list[str]:
-    return [r.name for r in kb.relations.values() if r.arity == 2]
-
-
-Candidates = list[tuple[Rule, int]]
+@dataclass(frozen=True)
+class Shape:
+    """A rule over placeholders, its length, and groups of placeholders that may not all be the same relation."""
+
+    rule: Rule
+    length: int
+    groups: tuple[tuple[str, ...], ...] = ()
+
+    @staticmethod
+    def of(text: str, length: int, *groups: tuple[str, ...]) -> Shape:
+        return Shape(parse_rule(text), length, groups)
+
+    @property
+    def holders(self) -> list[str]:
+        return list(dict.fromkeys(a.pred for a in self.rule.atoms))
+
+    def barred(self) -> Column:
+        """Whether the relations that the placeholders took break a group or make a rule that isn't worth a look."""
+        bad = [tb.all_of([F.col(f"r_{g[0]}") == F.col(f"r_{x}") for x in g[1:]]) for g in self.groups]
+        arity = {a.pred: len(a.args) for a in self.rule.atoms}
+        for same in _partitions(self.holders):
+            if any(len({arity[h] for h in part}) > 1 for part in same):
+                continue  # no relation has two arities
+            name = {h: f"p{k}" for k, part in enumerate(same) for h in part}
+            if Rule(tuple(Atom(name[a.pred], a.args) for a in self.rule.atoms)).invalid:
+                equal = [F.col(f"r_{part[0]}") == F.col(f"r_{h}") for part in same for h in part[1:]]
+                apart = [F.col(f"r_{one[0]}") != F.col(f"r_{other[0]}") for one, other in combinations(same, 2)]
+                bad.append(tb.all_of([*equal, *apart]))
+        return reduce(lambda x, y: x | y, bad, F.lit(False))
+
+    def text(self) -> Column:
+        """The instance's rule as text."""
+        shown = [(a.pred, str(Rule((Atom("", a.args),)))[:-2]) for a in self.rule.atoms]
+        (head, args), *body = shown
+        parts = [F.col(f"r_{head}"), F.lit(f"{args}:-")]
+        for k, (pred, inside) in enumerate(body):
+            parts += [F.col(f"r_{pred}"), F.lit(inside + "," * (k < len(body) - 1))]
+        return F.concat(*parts)
+
+
+def _partitions(items: list[str]) -> list[list[list[str]]]:
+    """All ways to part a few items into groups."""
+    if not items:
+        return [[]]
+    first, rest = items[0], _partitions(items[1:])
+    return [[[first], *p] for p in rest] + [[*p[:k], [first, *p[k]], *p[k + 1 :]] for p in rest for k in range(len(p))]
+
+
+def _rows(kb: Kb, atom: Atom, head: bool = False) -> DataFrame:
+    """Tuples of all relations that an atom's placeholder can stand for: the relation's name and distinct bindings
+    of the atom's variables; of the head every tuple and whether it is entailed."""
+    held = [r for r in kb.relations.values() if r.arity == len(atom.args)]
+    none = kb.spark.createDataFrame([], ", ".join([*(f"{c} int" for c in tb.names(len(atom.args))), "entailed boolean", "rel string"]))
+    flagged = lambda r: r.flagged if head else r.df.withColumn("entailed", F.lit(False))
+    rows = reduce(DataFrame.unionByName, (flagged(r).withColumn("rel", F.lit(r.name)) for r in held), none)
+    first: dict[Var, int] = {}
+    for i, x in enumerate(atom.args):
+        if isinstance(x, Const):
+            rows = rows.filter(F.col(f"a{i}") == x.value)
+        elif isinstance(x, Var) and first.setdefault(x, i) != i:
+            rows = rows.filter(F.col(f"a{i}") == F.col(f"a{first[x]}"))
+    chosen = [F.col("rel").alias(f"r_{atom.pred}"), *[F.col(f"a{i}").alias(cp.col_of(v)) for v, i in first.items()]]
+    return rows.select(*chosen, "entailed", *tb.names(len(atom.args))) if head else rows.select(*chosen).distinct()
+
+
+def _near(left: DataFrame, pairs: DataFrame | None, before: list[Atom], atom: Atom) -> DataFrame:
+    """left with the relations that the atom's placeholder may take beside those taken: columns that are to share
+    a variable must be alike."""
+    if pairs is None:
+        return left
+    meets = [(o.pred, o.args.index(v), atom.args.index(v)) for o in before for v in dict.fromkeys(atom.vars) if v in o.args]
+    for pred, i, j in meets:
+        chosen = pairs.filter((F.col("col_i") == i) & (F.col("col_j") == j)).select(F.col("rel_i").alias(f"r_{pred}"), F.col("rel_j").alias(f"r_{atom.pred}"))
+        left = left.join(F.broadcast(chosen), [c for c in chosen.columns if c in left.columns])
+    return left
+
+
+def alike(kb: Kb, threshold: float) -> DataFrame:
+    """(rel_i, col_i, rel_j, col_j): similar columns, both ways round, and each column with itself."""
+    pairs = ms.similar_columns(kb.colvals, threshold).select("rel_i", "col_i", "rel_j", "col_j")
+    turned = pairs.select(F.col("rel_j").alias("rel_i"), F.col("col_j").alias("col_i"), F.col("rel_i").alias("rel_j"), F.col("col_i").alias("col_j"))
+    own = kb.spark.createDataFrame([(r, i, r, i) for r, k in kb.schema for i in range(k)], "rel_i string, col_i int, rel_j string, col_j int")
+    return checkpointed(pairs.unionByName(turned).unionByName(own).distinct())
+
+
+def _bindings(kb: Kb, shape: Shape, pairs: DataFrame | None) -> list[DataFrame]:
+    """Of each component of the body: names taken and distinct bindings of the head's variables."""
+    head, out = set(shape.rule.head.vars), []
+    for atoms in cp.components(shape.rule):
+        order, left = [atoms[0]], atoms[1:]
+        rows = _rows(kb, atoms[0])
+        while left:
+            have = {v for a in order for v in a.vars}
+            nxt = next(a for a in left if set(a.vars) & have)
+            left.remove(nxt)
+            rows, part = _near(rows, pairs, order, nxt), _rows(kb, nxt)
+            order.append(nxt)
+            later = head | {v for a in left for v in a.vars}
+            joined = rows.join(part, [c for c in part.columns if c in rows.columns])
+            rows = joined.select(*[c for c in joined.columns if c.startswith("r_") or c in {cp.col_of(v) for v in later}]).distinct()
+        out.append(rows.select(*[c for c in rows.columns if c.startswith("r_") or c in {cp.col_of(v) for v in head}]).distinct())
+    return out
 
 
-def type_inference(kb: Kb, sim: set) -> Candidates:
-    """h(X):-p(..,X,..)"""
-    out = []
-    for h in (r for r in kb.relations.values() if r.arity == 1):
-        for p in (r for r in kb.relations.values() if r.arity > 1):
-            for i in range(p.arity):
-                if ((p.name, i), (h.name, 0)) in sim or ((h.name, 0), (p.name, i)) in sim:
-                    out.append((Rule((Atom(h.name, (Var(0),)), Atom(p.name, (None,) * p.arity).put(i, Var(0)))), 1))
-    return out
+def _matched(kb: Kb, shape: Shape, parts: list[DataFrame], pairs: DataFrame | None) -> DataFrame:
+    """Head rows that instances derive, with the names taken."""
+    rows, done = _rows(kb, shape.rule.head, head=True), [shape.rule.head]
+    for atoms, part in zip(cp.components(shape.rule), parts, strict=True):
+        if pairs is not None:
+            for a in atoms:
+                if set(a.vars) & set(shape.rule.head.vars):
+                    rows = _near(rows, pairs, done[:1], a)
+        rows = rows.join(part, [c for c in part.columns if c in rows.columns])
+    return rows.filter(~shape.barred())
+
+
+def counted(kb: Kb, shape: Shape, pairs: DataFrame | None = None) -> DataFrame:
+    """(rule, length, pos, neg, coverage, tau, delta, r_*) of the instances that derive a tuple of their head; of a
+    template without a body of all instances. pairs: columns that may share a variable."""
+    names = [f"r_{h}" for h in shape.holders]
+    parts = [checkpointed(p) for p in _bindings(kb, shape, pairs)]
+    found = _matched(kb, shape, parts, pairs).groupBy(*names).agg(F.sum((~F.col("entailed")).cast("long")).alias("pos"), F.sum(F.col("entailed").cast("long")).alias("old"))
+    head = f"r_{shape.rule.head.pred}"
+    sizes = kb.spark.createDataFrame([(r, n) for r, n in kb.sizes.items() if kb[r].arity == len(shape.rule.head.args)], f"{head} string, rows long")
+    found = F.broadcast(sizes).join(found, head, "inner" if shape.rule.body else "left").fillna(0, ["pos", "old"])
+    empty, only = cp.free_places(shape.rule)
+    every = F.lit(float(kb.n) ** (len(empty) + len(only)))
+    for k, part in enumerate(parts):
+        taken = [c for c in part.columns if c.startswith("r_")]
+        found = found.join(part.groupBy(*taken).agg(F.count("*").alias(f"n{k}")), taken)
+        every = every * F.col(f"n{k}")
+    return _figures(found.withColumn("all", every - F.col("old")).withColumn("rule", shape.text()).withColumn("length", F.lit(shape.length)), names)
+
+
+def _figures(rows: DataFrame, more: list[str]) -> DataFrame:
+    pos, every, length = F.col("pos"), F.col("all"), F.col("length")
+    ratio = F.when(every + length > 0, pos / (every + length)).otherwise(0.0)
+    return rows.select("rule", "length", "pos", (every - pos).cast("long").alias("neg"), (pos / F.col("rows")).alias("coverage"), ratio.alias("tau"), (pos - (every - pos) - length).cast("double").alias("delta"), *more)
 
 
-def reflexive(kb: Kb, sim: set) -> Candidates:
-    """h(X,X):-"""
-    return [(parse_rule(f"{h}(X,X):-"), 1) for h in _binary(kb)]
+def _arities(kb: Kb) -> list[int]:
+    return sorted({r.arity for r in kb.relations.values()})
 
 
-def subsumption(kb: Kb, sim: set) -> Candidates:
-    """h(X..):-p(X..)"""
-    out = []
-    for h, p in combinations(kb.relations.values(), repeat=2):
-        if h.name != p.name and h.arity == p.arity and all(_alike(sim, (h.name, i), (p.name, i)) for i in range(h.arity)):
-            xs = tuple(Var(i) for i in range(h.arity))
-            out.append((Rule((Atom(h.name, xs), Atom(p.name, xs))), 2 * h.arity))
-    return out
+def _args(n: int) -> str:
+    return ",".join(f"X{i}" for i in range(n))
 
 
-def dual(kb: Kb, sim: set) -> Candidates:
-    """h(X,Y):-p(Y,X)"""
-    return [(parse_rule(f"{h}(X,Y):-{p}(Y,X)"), 2) for h, p in combinations(_binary(kb), repeat=2) if _alike(sim, (h, 0), (p, 1)) and _alike(sim, (h, 1), (p, 0))]
+def shapes(kb: Kb, template: str) -> list[Shape]:
+    """A template's shapes for the arities of the base."""
+    if template == "TypeInference":  # h(X):-p(..,X,..)
+        return [Shape(Rule((Atom("h", (Var(0),)), Atom("p", (None,) * k).put(i, Var(0)))), 1) for k in _arities(kb) if k > 1 for i in range(k)]
+    if template == "Subsumption":  # h(X..):-p(X..)
+        return [Shape(Rule((Atom("h", xs := tuple(map(Var, range(k)))), Atom("p", xs))), 2 * k, (("h", "p"),)) for k in _arities(kb)]
+    return [Shape.of(*TEMPLATES[template])]
 
 
-def _chain(shape: str, first: int, second: int, p_join: int, q_join: int) -> Callable[[Kb, set], Candidates]:
-    """Templates of two body atoms p, q that meet in Z: first and second are the places of X in p and of Y in q (or of Y in p, X in q)."""
+TEMPLATES: dict[str, tuple[str, int]] = {
+    "TypeInference": ("h(X):-p(X,?)", 1),
+    "Reflexive": ("h(X,X):-", 1),
+    "Subsumption": ("h(X,Y):-p(X,Y)", 4),
+    "Dual": ("h(X,Y):-p(Y,X)", 2),
+    "Transition": ("h(X,Y):-p(X,Z),q(Z,Y)", 3),
+    "DualTransition": ("h(X,Y):-p(Y,Z),q(Z,X)", 3),
+    "SharedSource": ("h(X,Y):-p(Z,X),q(Z,Y)", 3),
+    "SharedSink": ("h(X,Y):-p(X,Z),q(Y,Z)", 3),
+}
 
-    def make(kb: Kb, sim: set) -> Candidates:
-        names, out = _binary(kb), []
-        for h, p, q in combinations(names, repeat=3):
-            rule = parse_rule(shape.format(h=h, p=p, q=q))
-            x, y = (h, 0), (h, 1)
-            places = {Var(0): x, Var(1): y}
-            ends = all(_alike(sim, places[v], (b.pred, b.args.index(v))) for b in rule.body for v in b.vars if v in places)
-            if ends and _alike(sim, (p, p_join), (q, q_join)) and not rule.invalid:
-                out.append((rule, 3))
-        return out
 
-    return make
+def match(kb: Kb, template: str, coverage: float = COVERAGE, tau: float = TAU, similar: float = SIMILAR) -> DataFrame:
+    """A template's accepted rules and their figures. Columns that share a variable must be that similar."""
+    return _accepted(kb, shapes(kb, template), alike(kb, similar), coverage, tau)
 
 
-def _alike(sim: set, one: tuple[str, int], other: tuple[str, int]) -> bool:
-    return one == other or (one, other) in sim or (other, one) in sim
+def _accepted(kb: Kb, found: list[Shape], pairs: DataFrame | None, coverage: float, tau: float) -> DataFrame:
+    rows = [accepted(counted(kb, s, pairs), coverage, tau).select(*RESULT_COLUMNS) for s in found]
+    return reduce(DataFrame.unionByName, rows, kb.spark.createDataFrame([], RESULT))
 
 
-TEMPLATES: dict[str, Callable[[Kb, set], Candidates]] = {
-    "TypeInference": type_inference,
-    "Reflexive": reflexive,
-    "Subsumption": subsumption,
-    "Dual": dual,
-    "Transition": _chain("{h}(X,Y):-{p}(X,Z),{q}(Z,Y)", 0, 1, 1, 0),
-    "DualTransition": _chain("{h}(X,Y):-{p}(Y,Z),{q}(Z,X)", 1, 0, 1, 0),
-    "SharedSource": _chain("{h}(X,Y):-{p}(Z,X),{q}(Z,Y)", 1, 1, 0, 0),
-    "SharedSink": _chain("{h}(X,Y):-{p}(X,Z),{q}(Y,Z)", 0, 0, 1, 1),
-}
+def covered(kb: Kb, found: list[Shape], pairs: DataFrame | None = None, coverage: float = COVERAGE, tau: float = TAU) -> DataFrame:
+    """(rel, covered): how many tuples of a relation the accepted rules of some shapes derive."""
+    rows = []
+    for s in found:
+        parts = [checkpointed(p) for p in _bindings(kb, s, pairs)]
+        kept = accepted(counted(kb, s, pairs), coverage, tau).select(*[f"r_{h}" for h in s.holders])
+        met = _matched(kb, s, parts, pairs).join(F.broadcast(kept), kept.columns, "left_semi")
+        rows.append(met.select(F.col(f"r_{s.rule.head.pred}").alias("rel"), F.array(*tb.names(len(s.rule.head.args))).alias("args")))
+    every = reduce(DataFrame.unionByName, rows, kb.spark.createDataFrame([], "rel string, args array<int>"))
+    return every.distinct().groupBy("rel").agg(F.count("*").alias("covered"))
 
 
-def match(kb: Kb, template: str, coverage: float = COVERAGE, tau: float = TAU, similar: float = SIMILAR) -> DataFrame:
-    """A template's accepted rules and their figures."""
-    found = TEMPLATES[template](kb, similar_pairs(kb, similar))
-    return accepted(measured(kb, found), coverage, tau)
+def hinted(kb: Kb, templates: list[str] | None = None, coverage: float = COVERAGE, tau: float = TAU, similar: float = SIMILAR) -> tuple[dict[str, DataFrame], DataFrame]:
+    """A run of templates by name: each one's accepted rules, and (template, rules, covered, records, share) of each."""
+    chosen = list(TEMPLATES) if templates is None else templates
+    if unknown := set(chosen) - set(TEMPLATES):
+        raise ValueError(f"unknown templates: {sorted(unknown)}")
+    pairs, found, stats = alike(kb, similar), {}, []
+    for t in chosen:
+        found[t] = checkpointed(_accepted(kb, shapes(kb, t), pairs, coverage, tau))
+        reach = covered(kb, shapes(kb, t), pairs, coverage, tau).agg(F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"))
+        stats.append(found[t].agg(F.count("*").alias("rules")).crossJoin(reach).select(F.lit(t).alias("template"), "rules", "covered"))
+    total = F.lit(sum(kb.sizes.values()))
+    return found, reduce(DataFrame.unionByName, stats).select("template", "rules", "covered", total.alias("records"), F.when(total > 0, F.col("covered") / total).otherwise(0.0).alias("share"))
 
 
 def type_rules(kb: Kb, type_relation: str = "type") -> DataFrame:
@@ -150,23 +281,10 @@ def parse_hint(line: str) -> tuple[Rule, list[list[str]]]:
     return parsed, groups
 
 
-def instances(kb: Kb, hint: Rule, groups: list[list[str]]) -> list[Rule]:
-    """The hint with relations of matching arity for its placeholders."""
-    holders = list(dict.fromkeys(a.pred for a in hint.atoms))
-    arity = {a.pred: len(a.args) for a in hint.atoms}
-    out = []
-    for names in combinations(*[[r.name for r in kb.relations.values() if r.arity == arity[h]] for h in holders]):
-        put = dict(zip(holders, names, strict=True))
-        if all(len({put[x] for x in g}) > 1 for g in groups):
-            rule = Rule(tuple(Atom(put[a.pred], a.args) for a in hint.atoms))
-            if not rule.invalid:
-                out.append(rule)
-    return out
-
-
 def match_hints(kb: Kb, lines: list[str], coverage: float = COVERAGE, tau: float = TAU) -> DataFrame:
-    candidates = [(r, r.length) for line in lines for r in instances(kb, *parse_hint(line))]
-    return accepted(measured(kb, candidates), coverage, tau)
+    """Accepted instances of hints given as text, whatever the similarity of columns."""
+    found = [Shape(rule, rule.length, tuple(map(tuple, groups))) for rule, groups in map(parse_hint, lines)]
+    return _accepted(kb, found, None, coverage, tau)
 
 
 def entailed_by(kb: Kb, rules: list[Rule]) -> DataFrame:

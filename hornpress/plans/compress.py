@@ -109,6 +109,7 @@ def finish(kb: Kb, rules: list[Scored], counter: dict[str, DataFrame], edges: li
 
 def compress_with(kb: Kb, rules: list[Rule]) -> Compressed:
     """By given rules, in order."""
+    kb.persisted()
     counter: dict[str, DataFrame] = {}
     edges, scored = [], []
     for rule in rules:

@@ -266,7 +266,7 @@ _CHAIN = ["nation_region", "supp_nation", "supp_region"]
 on_base("template_transition", _template_sql([("supp_region(X,Y):-supp_nation(X,Z),nation_region(Z,Y)", "SELECT DISTINCT x.a0, y.a1 FROM supp_nation x JOIN nation_region y ON x.a1 = y.a0", 3)]), lambda kb: tp.match(kb, "Transition"), _CHAIN)
 on_base("template_shared_sink", _template_sql([("supp_region(X,Y):-supp_nation(X,Z),region_nation(Y,Z)", "SELECT DISTINCT x.a0, y.a0 FROM supp_nation x JOIN region_nation y ON x.a1 = y.a1", 3)]), lambda kb: tp.match(kb, "SharedSink"), ["region_nation", "supp_nation", "supp_region"])
 on_base("template_shared_source", _template_sql([("nation_region(X,Y):-supp_nation(Z,X),supp_region(Z,Y)", "SELECT DISTINCT x.a1, y.a1 FROM supp_nation x JOIN supp_region y ON x.a0 = y.a0", 3)]), lambda kb: tp.match(kb, "SharedSource"), _CHAIN)
-on_base("template_reflexive", ", rows AS (SELECT 'nation_region(X0,X0):-' AS rule, 1 AS length, count(*) FILTER (a0 = a1) AS pos, " + _N + " AS total, count(*) AS size FROM nation_region) SELECT rule, length, pos, (total - pos)::BIGINT AS neg, pos / size AS coverage, pos / (total + length) AS tau, (2 * pos - total - length)::DOUBLE AS delta FROM rows", lambda kb: tp.measured(kb, tp.reflexive(kb, set())), ["nation_region"])
+on_base("template_reflexive", ", rows AS (SELECT 'nation_region(X0,X0):-' AS rule, 1 AS length, count(*) FILTER (a0 = a1) AS pos, " + _N + " AS total, count(*) AS size FROM nation_region) SELECT rule, length, pos, (total - pos)::BIGINT AS neg, pos / size AS coverage, pos / (total + length) AS tau, (2 * pos - total - length)::DOUBLE AS delta FROM rows", lambda kb: tp.match(kb, "Reflexive", coverage=0.0, tau=0.0), ["nation_region"])
 on_base("template_hints", _template_sql([("supp_region(X,Y):-supp_nation(X,Z),nation_region(Z,Y)", "SELECT DISTINCT x.a0, y.a1 FROM supp_nation x JOIN nation_region y ON x.a1 = y.a0", 3)]), lambda kb: tp.match_hints(kb, ["h(X,Y):-p(X,Z),q(Z,Y);(h,p),(p,q),(h,q)"]), _CHAIN)
 
 
