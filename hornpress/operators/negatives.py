@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornpress.functions.draws import draw
 from hornpress.operators import tables as tb
 from hornpress.operators.graph import checkpointed
 from hornpress.operators.numeration import nearest, ranked
@@ -49,23 +50,23 @@ def stepped(t: DataFrame, n: int, step: int) -> DataFrame:
 
 def draws(spark, count: int, k: int, n: int, salt: str) -> DataFrame:  # noqa: ANN001
     """count tuples, each constant by a hash of its number."""
-    cells = [(F.pmod(F.xxhash64(F.lit(f"{SEED}:{salt}:{i}"), "id"), F.lit(n)) + 1).cast("int").alias(f"a{i}") for i in range(k)]
+    cells = [(F.pmod(draw(SEED, salt, i, F.col("id")), F.lit(n)) + 1).cast("int").alias(f"a{i}") for i in range(k)]
     return spark.range(count).select(*cells)
 
 
-def _until(pos: DataFrame, n: int, budget: int, draw, rank: str) -> DataFrame:  # noqa: ANN001
+def _until(pos: DataFrame, n: int, budget: int, drawn, rank: str) -> DataFrame:  # noqa: ANN001
     """Distinct drawn tuples outside pos, as many as asked for if there are so many, the first by a hash."""
     cols = pos.columns
     possible = n ** len(cols) - pos.count()
     budget, size, salt = min(budget, possible), max(64, 2 * budget), 0
     found = pos.limit(0)
     while True:
-        found = tb.union_of(found, tb.absent(draw(size, f"{rank}{salt}"), pos)).persist()
+        found = tb.union_of(found, tb.absent(drawn(size, f"{rank}{salt}"), pos)).persist()
         if found.count() >= budget:
-            return found.orderBy(F.xxhash64(F.lit(rank), *cols), *cols).limit(budget)
+            return found.orderBy(draw(rank, *map(F.col, cols)), *cols).limit(budget)
         if salt >= 4 and budget * 4 > possible:  # few are left: list them all
             everything = decoded(pos.sparkSession.range(n ** len(cols)).select(F.col("id").cast(WIDE).alias("ordinal")), len(cols), n)
-            return tb.absent(everything, pos).orderBy(F.xxhash64(F.lit(rank), *cols), *cols).limit(budget)
+            return tb.absent(everything, pos).orderBy(draw(rank, *map(F.col, cols)), *cols).limit(budget)
         size, salt = size * 2, salt + 1
 
 
@@ -84,15 +85,15 @@ def near_positive(pos: DataFrame, n: int, budget: int) -> DataFrame:
         values = [pos.sparkSession.range(1, n + 1).select(F.col("id").cast("int").alias(m)) for m in cols]
         # a table of one column has no rest: any row of it gives all values
         near = [r.crossJoin(v).select(*cols) if k > 1 else v.join(pos.limit(1).select(F.lit(1).alias("one")), how="left_semi") for r, v in zip(rest, values, strict=True)]
-        return tb.absent(reduce(DataFrame.unionByName, near).distinct(), pos).orderBy(F.xxhash64(F.lit("near"), *cols), *cols).limit(budget)
+        return tb.absent(reduce(DataFrame.unionByName, near).distinct(), pos).orderBy(draw("near", *map(F.col, cols)), *cols).limit(budget)
 
-    def draw(size: int, salt: str) -> DataFrame:
+    def moved(size: int, salt: str) -> DataFrame:
         per_row = max(1, -(-size // max(1, pos.count())))
         rows = pos.select("*", F.explode(F.sequence(F.lit(1), F.lit(per_row))).alias("copy"))
-        h = [F.xxhash64(F.lit(f"{SEED}:{salt}:{x}"), *pos.columns, "copy") for x in "cv"]
+        h = [draw(SEED, salt, x, *map(F.col, pos.columns), F.col("copy")) for x in "cv"]
         return rows.select(*[F.when(F.pmod(h[0], F.lit(k)) == i, (F.pmod(h[1], F.lit(n)) + 1).cast("int")).otherwise(F.col(c)).alias(c) for i, c in enumerate(pos.columns)])
 
-    return _until(pos, n, budget, draw, "near")
+    return _until(pos, n, budget, moved, "near")
 
 
 def _ends(pos: DataFrame, n: int, which: str) -> DataFrame:
@@ -161,7 +162,7 @@ def adversarial(pos: DataFrame, bindings: DataFrame, n: int, budget: int) -> Dat
     """Up to budget tuples that a rule derives wrongly, the first by a hash, from the tuples it derives."""
     cols = pos.columns
     wrong = tb.absent(bindings.select(*cols).distinct(), pos).filter(F.forall(F.array(*cols), lambda v: (v >= 1) & (v <= n)))
-    return wrong.orderBy(F.xxhash64(F.lit("adversarial"), *cols), *cols).limit(budget)
+    return wrong.orderBy(draw("adversarial", *map(F.col, cols)), *cols).limit(budget)
 
 
 def weighted_negatives(covered: DataFrame, cols: list[str]) -> DataFrame:
@@ -195,6 +196,60 @@ def relevant(pos: DataFrame, relevance: DataFrame, top: int) -> DataFrame:
     return tb.absent(left.unionByName(right).distinct(), pos)
 
 
+def relevant_by_hops(pos: DataFrame, relations: list[DataFrame], budget: int, hops: int = 3) -> DataFrame:
+    """Up to `budget` tuples in all, from each positive one with an argument replaced by what is near that argument.
+
+    The constants that tuples link to an argument come first, in order of how often they meet it,
+    then those two steps away and so on. Tuples are dealt in rounds: each positive tuple and place
+    gives its first candidate, then each its second, until the budget is reached (ties by tuple).
+    """
+    near = cooccurrence(relations).filter("c1 <> c2").select("c1", "c2", F.lit(1).alias("hop"), "relevance")
+    ways, reach = near.select(F.col("c1").alias("m"), F.col("c2").alias("to"), F.col("relevance").alias("r")), near
+    walk = near
+    for h in range(2, hops + 1):
+        further = walk.join(ways, walk["c2"] == ways["m"]).filter("c1 <> to").groupBy("c1", F.col("to").alias("c2")).agg(F.sum(F.col("relevance") * F.col("r")).alias("relevance"))
+        walk = checkpointed(further.join(reach, ["c1", "c2"], "left_anti").select("c1", "c2", F.lit(h).alias("hop"), "relevance"))
+        reach = reach.unionByName(walk)
+    order = Window.partitionBy("c1").orderBy("hop", F.desc(F.round("relevance", 12)), "c2")
+    ranked_near = reach.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= budget).select("c1", "c2", "turn")
+    places = [pos.withColumn("c1", F.col(c)).join(ranked_near, "c1").select(*[F.col("c2").alias(x) if x == c else F.col(x) for x in pos.columns], "turn", F.lit(i).alias("place")) for i, c in enumerate(pos.columns)]
+    found = tb.absent(reduce(DataFrame.unionByName, places), pos).groupBy(*pos.columns).agg(F.min(F.struct("turn", "place")).alias("at"))
+    return found.orderBy("at", *pos.columns).limit(budget).select(*pos.columns)
+
+
+def adversarial_draws(pos: DataFrame, derived: DataFrame, free: list[int], n: int, budget: int) -> DataFrame:
+    """Up to budget tuples that a rule derives wrongly, drawn over its groundings and, at head places that the body
+    leaves free, over all constants; free places are drawn, never listed.
+
+    derived: distinct bindings of the bound head columns. Each draw takes a binding by its rank and a constant for
+    each free place.
+    """
+    cols = pos.columns
+    bound = [c for i, c in enumerate(cols) if i not in free]
+    if not free:
+        return adversarial(pos, derived, n, budget)
+    rows = ranked(derived.select(F.struct(*bound).alias("key")), "key", "place") if bound else None
+    total = rows.count() if bound else 1
+    if not total:
+        return pos.limit(0)
+    picks = pos.sparkSession.range(4 * budget).select((F.pmod(draw(SEED, "binding", F.col("id")), F.lit(total)) + 1).cast("int").alias("place"), *[(F.pmod(draw(SEED, "free", i, F.col("id")), F.lit(n)) + 1).cast("int").alias(f"a{i}") for i in free])
+    drawn = (picks.join(rows, "place").select("key.*", *[f"a{i}" for i in free]) if bound else picks).select(*cols).distinct()
+    return tb.absent(drawn, pos).orderBy(draw("adversarial", *map(F.col, cols)), *cols).limit(budget)
+
+
+def remapped(samples: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Samples in another numeration, from (old, new); weights stay, and samples with a constant that has no new number go."""
+    cols = [c for c in samples.columns if c != "weight"]
+    for c in cols:
+        samples = samples.join(mapping.select(F.col("old").alias(c), F.col("new").alias("moved")), c).withColumn(c, F.col("moved")).drop("moved")
+    return samples.select(*cols, *[c for c in samples.columns if c == "weight"])
+
+
+def between(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(old, new) of the names that two numerations share."""
+    return one.select("name", F.col("num").alias("old")).join(other.select("name", F.col("num").alias("new")), "name").select("old", "new")
+
+
 def by_frequency(relations: list[DataFrame]) -> DataFrame:
     """(old, new): constants renumbered by falling frequency, then number."""
     cells = reduce(DataFrame.unionByName, (t.select(F.explode(F.array(*t.columns)).alias("old")) for t in relations))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hornpress.functions.draws import draw, listed, share
 from hornpress.operators import numeration as nm
 from hornpress.operators import tables as tb
 from hornpress.operators.graph import checkpointed
@@ -37,7 +38,7 @@ def by_edge(kb: Kb, budget: int, seed: int = 0) -> DataFrame:
     every = edges(kb)
     total = every.count()
     place = nm.ranked(every.withColumn("key", F.struct("rel", "args")), "key", "place").select("rel", "args", "place")
-    drawn = kb.spark.range(budget).select((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))) + 1).cast("int").alias("place")).distinct()
+    drawn = kb.spark.range(budget).select((F.pmod(draw(seed, F.col("id")), F.lit(max(total, 1))) + 1).cast("int").alias("place")).distinct()
     return place.join(drawn, "place").select("rel", "args")
 
 
@@ -75,32 +76,32 @@ def by_snowball(kb: Kb, budget: int, rounds: int = 3, seed: int = 0) -> DataFram
     mean = max(1, round(deg.agg(F.avg("deg")).first()[0] or 1))
     count = max(1, -int(-(budget ** (1 / rounds)) // mean))
     # the smallest of -ln(u) / degree are draws in proportion to the degree
-    u = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) + 1) / F.lit((1 << 30) + 1)
+    u = share(seed, F.col("node"))
     seen = checkpointed(deg.orderBy(-F.log(u) / F.col("deg"), "node").limit(count).select("node"))
     every = edges(kb).select("rel", "args", F.explode("args").alias("node")).persist()
     frontier, taken = seen, None
     for k in range(rounds):
         near = every.join(frontier, "node")
-        nth = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64(F.lit(seed + k + 1), "rel", "args"), "rel", "args"))
+        nth = F.row_number().over(Window.partitionBy("node").orderBy(draw(seed + k + 1, F.col("rel"), listed("args")), "rel", "args"))
         new = near.withColumn("nth", nth).filter(F.col("nth") <= mean).select("rel", "args")
         taken = checkpointed((new if taken is None else taken.unionByName(new)).distinct())
         reached = taken.select(F.explode("args").alias("node")).distinct()
         frontier = checkpointed(reached.join(seen, "node", "left_anti"))
         seen = checkpointed(seen.unionByName(frontier))
-    return taken.orderBy(F.xxhash64(F.lit(seed), "rel", "args"), "rel", "args").limit(budget)
+    return taken.orderBy(draw(seed, F.col("rel"), listed("args")), "rel", "args").limit(budget)
 
 
 def by_walk(kb: Kb, budget: int, walkers: int = 4, seed: int = 0) -> DataFrame:
     """Walks of `walkers` nodes, `budget` steps in all: in each round every walker takes one of its node's tuples by hash."""
-    every = edges(kb).select("rel", "args", F.explode("args").alias("node"))
-    cells = every.groupBy("node").agg(F.count("*").alias("deg"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("rel", "args")) - 1
-    ways = checkpointed(every.withColumn("place", place).join(cells, "node"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 30)) + 1) / F.lit((1 << 30) + 1)
+    every = edges(kb).select("rel", "args", F.posexplode("args").alias("at", "node"))
+    placed = checkpointed(nm.ranked(every.withColumn("key", F.struct("node", "rel", "args", "at")), "key", "place").drop("key", "at"))
+    cells = placed.groupBy("node").agg(F.count("*").alias("deg"), F.min("place").alias("first"))
+    ways = checkpointed(placed.join(cells, "node").withColumn("place", F.col("place") - F.col("first")))
+    u = share(seed, F.col("node"))
     at = checkpointed(cells.orderBy(-F.log(u) / F.col("deg"), "node").limit(walkers).select("node", F.col("node").alias("walker")))
     taken = None
     for k in range(-(-budget // walkers)):
-        step = ways.join(F.broadcast(at), "node").filter(F.col("place") == F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "walker"), F.col("deg")))
+        step = ways.join(F.broadcast(at), "node").filter(F.col("place") == F.pmod(draw(seed, k, F.col("walker")), F.col("deg")))
         others = F.filter("args", lambda x: x != F.col("node"))
         step = checkpointed(step.select("rel", "args", "walker", F.coalesce(F.try_element_at(others, F.lit(1)), "node").alias("next")))
         taken = step.select("rel", "args") if taken is None else taken.unionByName(step.select("rel", "args"))
@@ -108,6 +109,37 @@ def by_walk(kb: Kb, budget: int, walkers: int = 4, seed: int = 0) -> DataFrame:
     return taken.distinct()
 
 
+def by_weighted_walk(kb: Kb, budget: int, walkers: int = 4, seed: int = 0) -> DataFrame:
+    """A walk of several walkers: at each step the walker that moves is drawn in proportion to its node's degree,
+    and takes one of its node's tuples; until `budget` steps are done. Walkers are few and held here; a step looks
+    its tuple up by rank."""
+    every = edges(kb).select("rel", "args", F.posexplode("args").alias("at", "node"))
+    placed = checkpointed(nm.ranked(every.withColumn("key", F.struct("node", "rel", "args", "at")), "key", "place").drop("key", "at"))
+    cells = checkpointed(placed.groupBy("node").agg(F.count("*").alias("deg"), F.min("place").alias("first")))
+    start = cells.orderBy(-F.log(share(seed, F.col("node"))) / F.col("deg"), "node").limit(walkers).collect()
+    spans = {r["node"]: (r["deg"], r["first"]) for r in start}
+    at, taken = [r["node"] for r in start], []
+    for k in range(budget if start else 0):
+        degrees_now = [spans[n][0] for n in at]
+        spot = _draw(seed, k, "walker") % sum(degrees_now)
+        who = next(i for i in range(len(at)) if spot < sum(degrees_now[: i + 1]))
+        deg, first = spans[at[who]]
+        row = placed.filter(F.col("place") == first + _draw(seed, k, "step") % deg).first()
+        taken.append((row["rel"], list(row["args"])))
+        at[who] = next((x for x in row["args"] if x != row["node"]), row["node"])
+        if at[who] not in spans:
+            r = cells.filter(F.col("node") == at[who]).first()
+            spans[at[who]] = (r["deg"], r["first"])
+    return kb.spark.createDataFrame(taken, "rel string, args array<int>").distinct()
+
+
+def _draw(*parts: object) -> int:
+    """The same as functions.draws.draw."""
+    import hashlib
+
+    return int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
 def relation_pairs(colvals: DataFrame) -> DataFrame:
     """(rel_i, rel_j, jaccard): the most similar columns of every two relations that share a value."""
     from hornpress.functions.multisets import jaccard_pairs

@@ -302,9 +302,39 @@ on_base("neg_cooccurrence", _MEETS + "SELECT c1, c2, relevance FROM rel", lambda
 on_base("neg_relevant", _MEETS + ", best AS (SELECT c1, c2 FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY relevance DESC, c2) AS k FROM rel WHERE c1 <> c2) WHERE k <= 3) SELECT c2 AS a0, a1 FROM supp_nation JOIN best ON c1 = a0 UNION SELECT a0, c2 FROM supp_nation JOIN best ON c1 = a1 EXCEPT SELECT a0, a1 FROM supp_nation", lambda kb: ng.relevant(kb["supp_nation"].df, ng.cooccurrence([kb[r].df for r in _SUP]), 3), _SUP)
 on_base("neg_hop_relevance", _MEETS + ", w1 AS (SELECT c1, c2, relevance / 2 AS w FROM rel), w2 AS (SELECT x.c1, y.c2, sum(x.w * y.relevance / 2) AS w FROM w1 x JOIN rel y ON x.c2 = y.c1 GROUP BY x.c1, y.c2) SELECT c1, c2, round(sum(w), 9) AS relevance FROM (SELECT * FROM w1 UNION ALL SELECT c1, c2, w * 2 FROM w2) GROUP BY c1, c2", lambda kb: ng.hop_relevance(ng.cooccurrence([kb[r].df for r in _SUP]), 2).select("c1", "c2", F.round("relevance", 9).alias("relevance")), _SUP)
 on_base("neg_by_frequency", ", c AS (SELECT a0 AS old FROM supp_nation UNION ALL SELECT a1 FROM supp_nation UNION ALL SELECT a0 FROM supp_region UNION ALL SELECT a1 FROM supp_region) SELECT old, row_number() OVER (ORDER BY count(*) DESC, old)::INT AS new FROM c GROUP BY old", lambda kb: ng.by_frequency([kb[r].df for r in _SUP]), _SUP)
-on_base("neg_uniform", None, lambda kb: ng.uniform(kb["supp_nation"].df, kb.n, 200), _SUP)
-on_base("neg_near_positive", None, lambda kb: ng.near_positive(kb["supp_nation"].df, kb.n, 200), _SUP)
-on_base("neg_adversarial", None, lambda kb: ng.adversarial(kb["noisy"].df, cp.derived(parse_rule("noisy(X,Y):-cust_region(X,Y)"), kb), kb.n, 50), ["cust_region", "noisy"])
+_N0 = "(SELECT count(*) FROM num)"
+
+
+def _drawn(*parts: str) -> str:
+    """The SQL of functions.draws.draw."""
+    return "('0x' || substr(sha256(concat_ws(':', " + ", ".join(parts) + ")), 1, 8))::BIGINT"
+
+
+on_base("neg_uniform", f", d AS (SELECT DISTINCT ({_drawn(repr(ng.SEED), repr('uniform0'), '0', 'range')} % {_N0} + 1)::INT AS a0, ({_drawn(repr(ng.SEED), repr('uniform0'), '1', 'range')} % {_N0} + 1)::INT AS a1 FROM range(400)) SELECT a0, a1 FROM (SELECT * FROM d EXCEPT SELECT a0, a1 FROM supp_nation) ORDER BY {_drawn(repr('uniform'), 'a0', 'a1')}, a0, a1 LIMIT 200", lambda kb: ng.uniform(kb["supp_nation"].df, kb.n, 200), _SUP)
+_NEAR = f"""
+, r0 AS (SELECT DISTINCT a1 FROM supp_nation), r1 AS (SELECT DISTINCT a0 FROM supp_nation),
+few AS (SELECT 4 * 200 > greatest((SELECT count(*) FROM r0), (SELECT count(*) FROM r1)) * {_N0} - (SELECT count(*) FROM supp_nation) AS few),
+listed AS (SELECT n.num AS a0, a1 FROM num n, r0 UNION SELECT a0, n.num FROM r1, num n),
+copies AS (SELECT a0, a1, unnest(range(1, greatest(1, ceil(400.0 / greatest(1, (SELECT count(*) FROM supp_nation))))::BIGINT + 1)) AS copy FROM supp_nation),
+cut AS (SELECT *, {_drawn(repr(ng.SEED), repr('near0'), repr('c'), 'a0', 'a1', 'copy')} % 2 AS place, ({_drawn(repr(ng.SEED), repr('near0'), repr('v'), 'a0', 'a1', 'copy')} % {_N0} + 1)::INT AS v FROM copies),
+moved AS (SELECT DISTINCT CASE WHEN place = 0 THEN v ELSE a0 END AS a0, CASE WHEN place = 1 THEN v ELSE a1 END AS a1 FROM cut),
+found AS (SELECT * FROM listed WHERE (SELECT few FROM few) UNION SELECT * FROM moved WHERE NOT (SELECT few FROM few))
+SELECT a0, a1 FROM (SELECT * FROM found EXCEPT SELECT a0, a1 FROM supp_nation) ORDER BY {_drawn(repr('near'), 'a0', 'a1')}, a0, a1 LIMIT 200"""
+on_base("neg_near_positive", _NEAR, lambda kb: ng.near_positive(kb["supp_nation"].df, kb.n, 200), _SUP)
+on_base("neg_adversarial", f"SELECT a0, a1 FROM (SELECT a0, a1 FROM cust_region EXCEPT SELECT a0, a1 FROM noisy) ORDER BY {_drawn(repr('adversarial'), 'a0', 'a1')}, a0, a1 LIMIT 50", lambda kb: ng.adversarial(kb["noisy"].df, cp.derived(parse_rule("noisy(X,Y):-cust_region(X,Y)"), kb), kb.n, 50), ["cust_region", "noisy"])
+_FREE = f""", b AS (SELECT a0, row_number() OVER (ORDER BY a0) AS place FROM (SELECT DISTINCT a0 FROM far_cust)),
+picks AS (SELECT {_drawn(repr(ng.SEED), repr('binding'), 'range')} % (SELECT count(*) FROM b) + 1 AS place, ({_drawn(repr(ng.SEED), repr('free'), '1', 'range')} % {_N0} + 1)::INT AS a1 FROM range(200))
+SELECT a0, a1 FROM (SELECT DISTINCT a0, a1 FROM picks JOIN b USING (place) EXCEPT SELECT a0, a1 FROM noisy) ORDER BY {_drawn(repr('adversarial'), 'a0', 'a1')}, a0, a1 LIMIT 50"""
+on_base("neg_adversarial_free", _FREE, lambda kb: ng.adversarial_draws(kb["noisy"].df, kb["far_cust"].df.select("a0"), [1], kb.n, 50), ["far_cust", "noisy"])
+on_base("neg_previous_record", _ORD + _DEC.format(src="(SELECT greatest(o - 3, 0) AS o FROM pos)"), lambda kb: ng.stepped(kb["supp_nation"].df, kb.n, -3), _SUP)
+_OTHER = ", other AS (SELECT name, row_number() OVER (ORDER BY name DESC)::INT AS num FROM num WHERE name NOT LIKE 'r%'), m AS (SELECT num.num AS old, other.num AS new FROM num JOIN other USING (name))"
+on_base("neg_remapped", _OTHER + " SELECT x.new AS a0, y.new AS a1 FROM supp_region t JOIN m x ON x.old = t.a0 JOIN m y ON y.old = t.a1 UNION ALL SELECT x.new, y.new FROM supp_nation t JOIN m x ON x.old = t.a0 JOIN m y ON y.old = t.a1", lambda kb: (lambda m: ng.remapped(kb["supp_region"].df, m).unionByName(ng.remapped(kb["supp_nation"].df, m)))(ng.between(kb.numeration, nm.ranked(kb.numeration.filter("name not like 'r%'").select("name", (-F.col("num")).alias("down")), "down", "num").select("name", "num"))), _SUP)
+_HOPS = _MEETS + """, h1 AS (SELECT c1, c2, 1 AS hop, relevance FROM rel WHERE c1 <> c2),
+h2 AS (SELECT x.c1, y.c2, 2 AS hop, sum(x.relevance * y.relevance) AS relevance FROM h1 x JOIN h1 y ON x.c2 = y.c1 WHERE x.c1 <> y.c2 AND (x.c1, y.c2) NOT IN (SELECT (c1, c2) FROM h1) GROUP BY x.c1, y.c2),
+turns AS (SELECT c1, c2, row_number() OVER (PARTITION BY c1 ORDER BY hop, round(relevance, 12) DESC, c2) AS turn FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)),
+moved AS (SELECT c2 AS a0, a1, turn, 0 AS place FROM supp_nation JOIN turns ON c1 = a0 UNION ALL SELECT a0, c2, turn, 1 FROM supp_nation JOIN turns ON c1 = a1)
+SELECT a0, a1 FROM moved WHERE (a0, a1) NOT IN (SELECT (a0, a1) FROM supp_nation) GROUP BY a0, a1 ORDER BY min({'turn': turn, 'place': place}), a0, a1 LIMIT 150"""
+on_base("neg_relevant_by_hops", _HOPS, lambda kb: ng.relevant_by_hops(kb["supp_nation"].df, [kb[r].df for r in _SUP], 150, 2), _SUP)
 
 # --- samples -----------------------------------------------------------------------------------
 
@@ -314,9 +344,18 @@ on_base("sample_head", _EDGES + "SELECT rel, a0, a1 FROM k QUALIFY row_number()
 on_base("sample_tail", _EDGES + "SELECT rel, a0, a1 FROM k QUALIFY row_number() OVER (PARTITION BY rel ORDER BY a0 DESC, a1 DESC) <= floor(60.0::DOUBLE / total * rows)", lambda kb: _args(sp.by_end(kb, 60, last=True)), _SUP)
 on_base("sample_major_nodes", _EDGES + ", d AS (SELECT node, count(*) AS deg FROM (SELECT a0 AS node FROM e UNION ALL SELECT a1 FROM e) GROUP BY node), c AS (SELECT node FROM d QUALIFY coalesce(sum(deg) OVER (ORDER BY deg DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 80) SELECT rel, a0, a1 FROM e WHERE a0 IN (SELECT node FROM c) OR a1 IN (SELECT node FROM c)", lambda kb: _args(sp.by_major_nodes(kb, 80)), _SUP)
 on_base("sample_degrees", _EDGES + "SELECT node, count(*) AS deg FROM (SELECT a0 AS node FROM e UNION ALL SELECT a1 FROM e) GROUP BY node", lambda kb: sp.degrees(kb), _SUP)
-on_base("sample_edges", None, lambda kb: _args(sp.by_edge(kb, 60)), _SUP)
-on_base("sample_snowball", None, lambda kb: _args(sp.by_snowball(kb, 60)), _SUP)
-on_base("sample_walk", None, lambda kb: _args(sp.by_walk(kb, 12)), _SUP)
+_LN = "-ln((" + _drawn("0", "node") + " + 1) / 4294967297.0::DOUBLE) / deg"
+on_base("sample_edges", _EDGES + f", p AS (SELECT rel, a0, a1, row_number() OVER (ORDER BY rel, a0, a1) AS place FROM e), d AS (SELECT DISTINCT {_drawn('0', 'range')} % (SELECT count(*) FROM e) + 1 AS place FROM range(60)) SELECT rel, a0, a1 FROM p JOIN d USING (place)", lambda kb: _args(sp.by_edge(kb, 60)), _SUP)
+_CELLS = ", c AS (SELECT rel, a0, a1, unnest([a0, a1]) AS node FROM e), deg AS (SELECT node, count(*) AS deg FROM c GROUP BY node)"
+_GROW = "t{k} AS (SELECT rel, a0, a1 FROM (SELECT rel, a0, a1, row_number() OVER (PARTITION BY node ORDER BY {draw}, rel, a0, a1) AS nth FROM c JOIN f{k} USING (node)) WHERE nth <= (SELECT mean FROM mean) UNION SELECT * FROM t{p}), f{n} AS (SELECT node FROM (SELECT a0 AS node FROM t{k} UNION SELECT a1 FROM t{k}) WHERE node NOT IN (SELECT node FROM s{k})), s{n} AS (SELECT node FROM s{k} UNION SELECT node FROM f{n})"
+_SNOW = _EDGES + _CELLS + f", mean AS (SELECT greatest(1, round_even(avg(deg), 0))::BIGINT AS mean FROM deg), f0 AS (SELECT node FROM deg ORDER BY {_LN}, node LIMIT (SELECT greatest(1, ceil(pow(60, 1 / 3.0::DOUBLE) / mean))::BIGINT FROM mean)), s0 AS (SELECT node FROM f0), t AS (SELECT rel, a0, a1 FROM e WHERE false), " + ", ".join(_GROW.format(k=k, n=k + 1, p=k - 1 if k else "", draw=_drawn(str(k + 1), "rel", "a0 || ',' || a1")) for k in range(3)) + f" SELECT rel, a0, a1 FROM t2 ORDER BY {_drawn('0', 'rel', chr(97) + '0 || ' + repr(',') + ' || a1')}, rel, a0, a1 LIMIT 60"
+on_base("sample_snowball", _SNOW, lambda kb: _args(sp.by_snowball(kb, 60)), _SUP)
+_STEP = "m{k} AS (SELECT w.rel, w.a0, w.a1, walker, CASE WHEN w.a0 <> w.node THEN w.a0 WHEN w.a1 <> w.node THEN w.a1 ELSE w.node END AS node FROM ways w JOIN {at} p ON w.node = p.node WHERE place = {draw} % deg)"
+_WALK = _EDGES + _CELLS + f", ways AS (SELECT c.*, deg, row_number() OVER (PARTITION BY node ORDER BY rel, a0, a1) - 1 AS place FROM c JOIN deg USING (node)), w0 AS (SELECT node, node AS walker FROM deg ORDER BY {_LN}, node LIMIT 4), " + ", ".join(_STEP.format(k=k, at=f"m{k - 1}" if k else "w0", draw=_drawn("0", str(k), "walker")) for k in range(3)) + " " + " UNION ".join(f"SELECT rel, a0, a1 FROM m{k}" for k in range(3))
+on_base("sample_walk", _WALK, lambda kb: _args(sp.by_walk(kb, 12)), _SUP)
+_WSTEP = "x{k} AS (SELECT i, w.rel, w.a0, w.a1, CASE WHEN w.a0 <> w.node THEN w.a0 WHEN w.a1 <> w.node THEN w.a1 ELSE w.node END AS node FROM (SELECT i, node, deg, sum(deg) OVER (ORDER BY i) AS upto, sum(deg) OVER () AS total FROM q{k} JOIN deg USING (node)) p JOIN ways w ON w.node = p.node WHERE {who} % total >= upto - p.deg AND {who} % total < upto AND place = {step} % p.deg), q{n} AS (SELECT i, coalesce((SELECT x.node FROM x{k} x WHERE x.i = q.i), q.node) AS node FROM q{k} q)"
+_WEIGHTED = _EDGES + _CELLS + f", ways AS (SELECT c.*, deg, row_number() OVER (PARTITION BY node ORDER BY rel, a0, a1) - 1 AS place FROM c JOIN deg USING (node)), q0 AS (SELECT row_number() OVER () AS i, node FROM (SELECT node FROM deg ORDER BY {_LN}, node LIMIT 3)), " + ", ".join(_WSTEP.format(k=k, n=k + 1, who=_drawn("0", str(k), "'walker'"), step=_drawn("0", str(k), "'step'")) for k in range(6)) + " " + " UNION ".join(f"SELECT rel, a0, a1 FROM x{k}" for k in range(6))
+on_base("sample_weighted_walk", _WEIGHTED, lambda kb: _args(sp.by_weighted_walk(kb, 6, 3)), _SUP)
 on_base("sample_renumbered", _EDGES + ", s AS (SELECT rel, a0, a1 FROM k QUALIFY row_number() OVER (PARTITION BY rel ORDER BY a0, a1) <= floor(60.0::DOUBLE / total * rows)), u AS (SELECT a0 AS old FROM s UNION SELECT a1 FROM s) SELECT row_number() OVER (ORDER BY old)::INT AS new, old FROM u", lambda kb: sp.as_kb(kb, sp.by_end(kb, 60), "sample")[1], _SUP)
 
 
