@@ -56,6 +56,10 @@ class Eval:
             return -math.inf
         return self.pos * (math.log(self.pos / self.all) - math.log(parent.pos / parent.all))
 
+    def h_total(self, parent: Eval, before: float = 0.0) -> float:
+        """The gain over a rule and all rules on the way to it: `before` is the parent's own total."""
+        return before + self.h_of(parent)
+
     @property
     def useful(self) -> bool:
         return self.delta > 0

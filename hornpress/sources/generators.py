@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hornpress.functions.draws import draw
+
 
 def _u(salt: str, *cols: str):  # noqa: ANN202
     return F.pmod(F.xxhash64(F.lit(salt), *cols), F.lit(1_000_000)) / 1_000_000
@@ -50,21 +50,27 @@ def varying(spark: SparkSession, keys: int, most: int) -> DataFrame:
 
 
 def random_tables(spark: SparkSession, relations: int = 10, rows: int = 10, constants: int = 10, seed: int = 0) -> dict[str, DataFrame]:
-    """Relations of arity 1, 2, ... with random cells."""
-    rng = random.Random(seed)
+    """Relations of arity 1, 2, ... with random cells; repeated rows are one."""
     out = {}
     for k in range(relations):
-        cells = sorted({tuple(rng.randint(1, constants) for _ in range(k + 1)) for _ in range(rows)})
-        out[f"r{k + 1}"] = spark.createDataFrame(cells, ", ".join(f"a{i} int" for i in range(k + 1)))
+        cells = [(F.pmod(draw(seed, k, i, F.col("id")), F.lit(constants)) + 1).cast("int").alias(f"a{i}") for i in range(k + 1)]
+        out[f"r{k + 1}"] = spark.range(rows).select(*cells).distinct()
     return out
 
 
 def wizards(spark: SparkSession) -> dict[str, DataFrame]:
-    """A small base of two generations for demonstrations."""
-    rows = {
-        "father": [("james", "harry"), ("arthur", "ron"), ("arthur", "ginny"), ("harry", "albus")],
-        "mother": [("lily", "harry"), ("molly", "ron"), ("molly", "ginny"), ("ginny", "albus")],
-        "parent": [("james", "harry"), ("lily", "harry"), ("arthur", "ron"), ("molly", "ron"), ("arthur", "ginny"), ("molly", "ginny"), ("harry", "albus"), ("ginny", "albus")],
-        "grandparent": [("james", "albus"), ("lily", "albus"), ("arthur", "albus"), ("molly", "albus")],
+    """A small base of three generations for demonstrations: eight relations that follow from two."""
+    fathers = [("james", "harry"), ("arthur", "ron"), ("arthur", "ginny"), ("harry", "albus")]
+    mothers = [("lily", "harry"), ("molly", "ron"), ("molly", "ginny"), ("ginny", "albus")]
+    parents = sorted(fathers + mothers)
+    sets = {
+        "father": fathers,
+        "mother": mothers,
+        "parent": parents,
+        "child": [(c, p) for p, c in parents],
+        "grandparent": sorted({(a, c) for a, b in parents for x, c in parents if b == x}),
+        "sibling": sorted({(a, b) for p, a in parents for q, b in parents if p == q and a != b}),
+        "male": sorted({(a,) for a, _ in fathers} | {("ron",), ("albus",)}),
+        "female": sorted({(a,) for a, _ in mothers}),
     }
-    return {k: spark.createDataFrame(v, "a0 string, a1 string") for k, v in rows.items()}
+    return {k: spark.createDataFrame(v, ", ".join(f"a{i} string" for i in range(len(v[0])))) for k, v in sets.items()}

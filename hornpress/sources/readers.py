@@ -41,10 +41,11 @@ def _meta(spark: SparkSession, path: str) -> list[list[str]]:
     return [line.split("\t") for line in (text[0] if text else "").split("\n") if line]
 
 
-def kb_folder(spark: SparkSession, path: str, name: str = "kb", skip_missing: bool = True) -> Kb:
+def kb_folder(spark: SparkSession, path: str, name: str = "kb", skip_missing: bool = True, check: bool = False) -> Kb:
     """A folder with Relations.tsv (name, arity, rows) and <id>.rel files.
 
-    A relation without a file is skipped; with skip_missing=False it stays, empty.
+    A relation without a file is skipped; with skip_missing=False it stays, empty. check: constants
+    without a name are an error.
     """
     made: dict[str, Relation] = {}
     for k, (rel, arity, *_) in enumerate(_meta(spark, f"{path}/Relations.tsv")):
@@ -56,7 +57,10 @@ def kb_folder(spark: SparkSession, path: str, name: str = "kb", skip_missing: bo
     from hornpress.operators.kb import highest
 
     numeration = numeration_files(spark, path) if exists(spark, f"{path}/map1.tsv") else None
-    return Kb(name, made, highest(made.values()), numeration)
+    kb = Kb(name, made, highest(made.values()), numeration)
+    if check and numeration is not None and (odd := unmapped(kb).limit(5).collect()):
+        raise ValueError(f"constants without a name: {[r[0] for r in odd]}")
+    return kb
 
 
 def unmapped(kb: Kb) -> DataFrame:
@@ -121,7 +125,8 @@ def subject_first(spark: SparkSession, path: str) -> DataFrame:
 
 def spaced_triples(spark: SparkSession, path: str) -> DataFrame:
     """A header line, then subject, relation and object between white space."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).filter("pos > 0 and trim(line) <> ''")
+    # a "column" up to a separator that no line has; the header is that of each file
+    lines = spark.read.csv(path, schema="line string", sep="\x01", quote="", header=True, enforceSchema=True).filter("trim(line) <> ''")
     x = F.split(F.trim("line"), r"\s+")
     return lines.select(x[1].alias("rel"), x[0].alias("s"), x[2].alias("o"))
 

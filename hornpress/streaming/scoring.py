@@ -15,8 +15,10 @@ from hornpress.plans.rules import Rule
 def explained(batch: DataFrame, kb: Kb, rules: list[Rule]) -> DataFrame:
     """Arriving tuples of one relation, with whether the rules derive them from the base."""
     cols = batch.columns
-    known = tb.union_of(*(cp.derived(r, kb) for r in rules)) if rules else batch.limit(0)
-    return batch.join(known.select(*cols).withColumn("by_rule", F.lit(True)), cols, "left").withColumn("by_rule", F.coalesce("by_rule", F.lit(False)))
+    rows = batch.distinct()
+    # of each rule only what concerns the batch: its rows are looked up in the bodies' bindings
+    known = tb.union_of(*(cp.matched_head(r, kb, rows).select(*cols) for r in rules)) if rules else batch.limit(0)
+    return batch.join(known.withColumn("by_rule", F.lit(True)), cols, "left").withColumn("by_rule", F.coalesce("by_rule", F.lit(False)))
 
 
 def follow(stream: DataFrame, kb: Kb, rules: list[Rule], out: str, checkpoint: str) -> StreamingQuery:
