@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import signal
+import time
+from threading import Event, current_thread, main_thread
 
 from pyspark.sql import SparkSession
 
@@ -42,19 +45,29 @@ def parsed(args: list[str] | None = None) -> argparse.Namespace:
 def main(args: list[str] | None = None) -> int:
     a = parsed(args)
     spark = SparkSession.builder.appName("hornpress").getOrCreate()
+    stop = Event()
+    # an interrupt ends the search, not the run: rules found so far are kept and written
+    before = signal.signal(signal.SIGINT, lambda *_: stop.set()) if current_thread() is main_thread() else None
+    began = time.monotonic()
     kb = readers.kb_folder(spark, a.input)
-    config = Config(a.beam, metric(a.metric), a.coverage, a.constants, a.stop, a.seconds, observe=a.observe)
+    loaded = 1000 * (time.monotonic() - began)
+    config = Config(a.beam, metric(a.metric), a.coverage, a.constants, a.stop, a.seconds, lambda: not stop.is_set(), a.observe)
 
     def by_estimate(scorer, pred, pruner):  # noqa: ANN001, ANN202
         return estimate.find_rule_by(scorer, pred, pruner, estimate.by_estimate)
 
     done = compress(kb, config, chosen_targets(kb, a.relations, tuple(a.block)), find=by_estimate if a.observe >= 1 else find_rule)
-    writers.compressed(done, a.output)
+    if before is not None:
+        signal.signal(signal.SIGINT, before)
+    done.stats.ms["load"] = loaded
+    with done.stats.timed("dump"):
+        writers.compressed(done, a.output)
     for s in done.rules:
         print(f"{s.rule}  +{s.eval.pos:g} -{s.eval.neg:g} tau {s.eval.tau:.3f}")
     done.report().show(truncate=False)
+    same = not a.validate or done.is_lossless()
+    done.counters().show(truncate=False)
     if a.validate:
-        same = done.is_lossless()
         print("The rebuilt base equals the original." if same else "The rebuilt base differs!")
         return int(not same)
     return 0

@@ -66,6 +66,8 @@ class Kb:
     relations: dict[str, Relation]
     n: int
     numeration: DataFrame | None = field(default=None, compare=False)
+    #: Relations by number, None where one was deleted; empty if numbers are places.
+    slots: tuple[str | None, ...] = ()
 
     @staticmethod
     def of(name: str, relations: dict[str, DataFrame], n: int | None = None, numeration: DataFrame | None = None) -> Kb:
@@ -135,8 +137,18 @@ class Kb:
         rows = reduce(DataFrame.unionByName, (r.df.agg(F.count("*").alias("n")) for r in self.relations.values()))
         return rows.agg(F.count("*").alias("relations"), F.sum("n").alias("records")).withColumn("constants", F.lit(self.n))
 
+    def ids(self) -> dict[str, int]:
+        """Each relation's number: its place, counting the slots that deleted relations left."""
+        return {r: k for k, r in enumerate(self.slots or self.relations) if r in self.relations}
+
     # --- edits: each gives a new base --------------------------------------------------------
 
+    def without_slot(self, name: str) -> Kb:
+        """Without a relation, whose number stays free for the next relation that is made."""
+        slots = [None if r == name else r for r in self.slots or self.relations]
+        left = self.delete(name)
+        return Kb(left.name, left.relations, left.n, left.numeration, tuple(slots))
+
     def create(self, name: str, arity: int) -> Kb:
         """An empty relation; one of the same name must have the same arity."""
         if (r := self.get(name)) is not None:
@@ -144,7 +156,10 @@ class Kb:
                 raise ValueError(f"{name} has arity {r.arity}, not {arity}")
             return self
         empty = self.spark.createDataFrame([], ", ".join(f"{c} int" for c in tb.names(arity)))
-        return self.with_relation(Relation(name, arity, empty))
+        made, slots = self.with_relation(Relation(name, arity, empty)), list(self.slots)
+        if slots:  # the lowest number that is free
+            slots[slots.index(None) if None in slots else len(slots) :] = [name, *(slots[slots.index(None) + 1 :] if None in slots else [])]
+        return Kb(made.name, made.relations, made.n, made.numeration, tuple(slots))
 
     def load(self, name: str, df: DataFrame) -> Kb:
         if name in self.relations:

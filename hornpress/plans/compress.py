@@ -53,8 +53,16 @@ class Compressed:
         return recover(self.facts(), self.counter, [s.rule for s in self.rules], self.supplementary)
 
     def is_lossless(self) -> bool:
-        back = self.recovered()
-        return all(tb.same_rows(back[k].df, r.df) for k, r in self.kb.relations.items())
+        with self.stats.timed("validate"):
+            back = self.recovered()
+            return all(tb.same_rows(back[k].df, r.df) for k, r in self.kb.relations.items())
+
+    def counters(self) -> DataFrame:
+        """(name, value): how a run went: milliseconds by phase, levels, jobs, evaluations in all and for each rule."""
+        s = self.stats
+        rows = [(f"{k} ms", float(v)) for k, v in s.ms.items()] + [(k, float(getattr(s, k))) for k in ("levels", "jobs", "evaluated", "pruned")]
+        rows.append(("evaluated a rule", s.evaluated / len(self.rules) if self.rules else 0.0))
+        return self.kb.spark.createDataFrame(rows, "name string, value double")
 
     def report(self) -> DataFrame:
         """One row of figures; ratio: necessary tuples, counterexamples and rule lengths to tuples."""
@@ -122,25 +130,31 @@ def compress_with(kb: Kb, rules: list[Rule]) -> Compressed:
 
 def compress(kb: Kb, config: Config = Config(), targets: list[str] | None = None, scorer: Scorer | None = None, find=find_rule) -> Compressed:  # noqa: ANN001, B008
     """By rules that are searched for, relation by relation. scorer and find: other ways to score and to search;
-    what is kept is worked out exactly in any case."""
+    what is kept is worked out exactly in any case. A search that config.go_on() ends keeps the rules found so far."""
     kb.persisted()
     scorer = scorer or Scorer(kb, config)
     counter: dict[str, DataFrame] = {}
     edges, rules = [], []
     for pred in chosen_targets(kb) if targets is None else targets:
         pruner, left = Pruner(), kb.sizes[pred]
-        while left and (found := find(scorer, pred, pruner)) is not None:
+        while left and config.go_on():
+            with scorer.stats.timed("mine"):
+                found = find(scorer, pred, pruner)
+            if found is None:
+                break
             rules.append(Scored(found.rule, cp.evaluate(found.rule, scorer.kb)))
             if not rules[-1].eval.pos:  # an estimate or a sample can mislead
                 rules.pop()
                 break
-            scorer.kb, wrong, new = accept(scorer.kb, found.rule)
+            with scorer.stats.timed("update"):
+                scorer.kb, wrong, new = accept(scorer.kb, found.rule)
             # the table of column values and the sizes don't depend on entailment
             scorer.kb.__dict__.update({k: kb.__dict__[k] for k in ("colvals", "sizes") if k in kb.__dict__})
             counter[pred] = tb.union_of(counter[pred], wrong) if pred in counter else wrong
             edges.append(new)
             left -= int(rules[-1].eval.pos)
-    return finish(scorer.kb, rules, counter, edges, scorer.stats)
+    with scorer.stats.timed("dependency"):
+        return finish(scorer.kb, rules, counter, edges, scorer.stats)
 
 
 def evals(rules: list[Scored]) -> list[tuple[str, Eval]]:

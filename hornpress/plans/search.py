@@ -9,7 +9,8 @@ values), and one more counts the bindings of body components not met before.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -52,6 +53,16 @@ class Stats:
     jobs: int = 0
     evaluated: int = 0
     pruned: int = 0
+    #: Milliseconds by phase of a run.
+    ms: dict[str, float] = field(default_factory=dict)
+
+    @contextmanager
+    def timed(self, phase: str) -> Iterator[None]:
+        began = time.monotonic()
+        try:
+            yield
+        finally:
+            self.ms[phase] = self.ms.get(phase, 0.0) + 1000 * (time.monotonic() - began)
 
 
 @dataclass

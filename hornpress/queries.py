@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hornpress.functions import multisets as ms
-from hornpress.functions.scores import CAPACITY
 from hornpress.operators import negatives as ng
 from hornpress.operators import numeration as nm
 from hornpress.operators import recovery as rc
@@ -21,9 +20,8 @@ from hornpress.operators import tables as tb
 from hornpress.operators import templates as tp
 from hornpress.operators.kb import Kb
 from hornpress.plans import compile as cp
-from hornpress.plans.compress import compress, compress_with, dependencies
+from hornpress.plans.compress import compress_with, dependencies
 from hornpress.plans.rules import parse_rule
-from hornpress.plans.search import Config
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -234,16 +232,6 @@ on_base("groundings", "SELECT h.a0 AS h_a0, h.a1 AS h_a1, x.a0 AS b1_a0, x.a1 AS
 on_base("evidence", "SELECT h.a0, h.a1, min({'a0': y.a0, 'a1': y.a1}).a0 AS b0, min({'a0': y.a0, 'a1': y.a1}).a1 AS b1 FROM cust_region h JOIN region_nation y ON y.a0 = h.a1 GROUP BY h.a0, h.a1", lambda kb: cp.evidence(parse_rule("cust_region(?,X):-region_nation(X,?)"), kb).select("head.a0", "head.a1", F.col("body.b1.a0").alias("b0"), F.col("body.b1.a1").alias("b1")))
 
 
-@query("specializations")
-def specializations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules one step from a rule that a search would look at."""
-    from hornpress.plans.rules import Pruner, moves
-
-    kb, rule, p = base(spark, sf_dir, MINED), parse_rule("supp_region(X,?):-supp_nation(X,?)"), Pruner()
-    p.fresh(rule)
-    return spark.createDataFrame([(str(r), r.length) for r, _ in moves(rule, kb.schema, kb.promising_constants(0.25)) if p.fresh(r)], "rule string, length int")
-
-
 # --- templates ---------------------------------------------------------------------------------
 
 TEMPLATE_BASE = ["nation_region", "region_nation", "supp_nation", "supp_region", "cust_nation", "cust_region", "far_cust", "noisy"]
@@ -381,10 +369,9 @@ on_base("cycle_breakers", "SELECT 2 * count(*)::BIGINT AS nodes, count(*)::BIGIN
 on_base("necessary", "SELECT a0, a1 FROM noisy EXCEPT SELECT a0, a1 FROM cust_region", lambda kb: compress_with(kb, GIVEN).necessary["noisy"], _GIVEN)
 on_base("given_counterexamples", "SELECT a0, a1 FROM cust_region EXCEPT SELECT a0, a1 FROM noisy", lambda kb: compress_with(kb, GIVEN).counter["noisy"], _GIVEN)
 on_base("recover_given", "SELECT a0, a1 FROM noisy", lambda kb: compress_with(kb, GIVEN).recovered()["noisy"].df, _GIVEN)
-on_base("supplementary", "SELECT num AS value FROM num WHERE num NOT IN (SELECT a0 FROM nation_region UNION SELECT a1 FROM nation_region)", lambda kb: compress_with(kb, [parse_rule("supp_nation(?,X):-nation_region(X,?)")][:0]).kb.spark.range(1, kb.n + 1).select(F.col("id").cast("int").alias("value")).join(tb.constants_of(kb["nation_region"].df), "value", "left_anti"), ["nation_region", "supp_nation"])
 # rules that derive whole relations lose constants: of far customers all are right, the others are counterexamples, seventh has no rule
 LOSING = [parse_rule(r) for r in ("cust(1):-", "cust(?):-", "far_cust(?):-")]
-on_base("supplementary_lost", "SELECT num AS value FROM num WHERE num NOT IN (SELECT a0 FROM seventh) AND num NOT IN (SELECT a0 FROM cust EXCEPT SELECT a0 FROM far_cust) AND num <> 1", lambda kb: compress_with(kb, LOSING).supplementary, ["cust", "far_cust", "seventh"])
+on_base("supplementary", "SELECT num AS value FROM num WHERE num NOT IN (SELECT a0 FROM seventh) AND num NOT IN (SELECT a0 FROM cust EXCEPT SELECT a0 FROM far_cust) AND num <> 1", lambda kb: compress_with(kb, LOSING).supplementary, ["cust", "far_cust", "seventh"])
 on_base("select_compressed", "SELECT a0, a1 FROM cust_region WHERE a1 = (SELECT min(a1) FROM nation_region)", lambda kb: (lambda c: rc.select(c.facts(), c.counter, [s.rule for s in c.rules], "cust_region", 1, kb["nation_region"].df.agg(F.min("a1")).first()[0], c.supplementary))(compress_with(kb, GIVEN[2:3])), ["nation_region", "cust_nation", "cust_region"])
 on_base("join_compressed", "SELECT x.a0 AS l_a0, x.a1 AS l_a1, y.a0 AS r_a0, y.a1 AS r_a1 FROM supp_region x JOIN nation_region y ON x.a1 = y.a1", lambda kb: (lambda c: rc.product(c.facts(), c.counter, [s.rule for s in c.rules], ("supp_region", 1), ("nation_region", 1), c.supplementary))(compress_with(kb, [parse_rule("supp_region(X,Y):-supp_nation(X,Z),nation_region(Z,Y)")])), ["nation_region", "supp_nation", "supp_region"])
 
@@ -401,53 +388,10 @@ QUERIES["recursive_recovery"] = _closure
 ORACLES["recursive_recovery"] = "WITH RECURSIVE step AS (SELECT DISTINCT p_size::INT AS a0, (p_size + 3)::INT AS a1 FROM part), reach AS (SELECT a0, a1 FROM step UNION SELECT r.a0, s.a1 FROM reach r JOIN step s ON r.a1 = s.a0) SELECT a0, a1 FROM reach"
 
 
-def _mined(kb: Kb) -> DataFrame:
-    c = compress(kb, Config(beam=3, metric=CAPACITY))
-    return kb.spark.createDataFrame([(str(s.rule), float(s.eval.pos), float(s.eval.neg), s.rule.length) for s in c.rules], "rule string, pos double, neg double, length int")
-
-
-on_base("mine", None, _mined, MINED)
-on_base("compression_report", None, lambda kb: compress(kb, Config(beam=3, metric=CAPACITY)).report(), ["nation_region", "region_nation", "supp_nation"])
-on_base("recover_mined", "SELECT a0, a1 FROM region_nation", lambda kb: compress(kb, Config(beam=3, metric=CAPACITY)).recovered()["region_nation"].df, ["nation_region", "region_nation"])
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["eval_rules"](spark, sf_dir)
 
 
-def _by_estimates(kb: Kb) -> DataFrame:
-    """What a search by estimates finds for a relation."""
-    from hornpress.plans import estimate as es
-    from hornpress.plans.rules import Pruner
-    from hornpress.plans.search import Scorer
-
-    scorer = Scorer(kb.persisted(), Config(beam=3, metric=CAPACITY, observe=2.0))
-    found = es.find_rule_by(scorer, "region_nation", Pruner(), es.by_estimate)
-    rows = [(str(found.rule), float(found.eval.pos), float(found.eval.neg), found.rule.length)] if found else []
-    return kb.spark.createDataFrame(rows, "rule string, pos double, neg double, length int")
-
-
-on_base("mine_by_estimates", None, _by_estimates, ["nation_region", "region_nation", "supp_nation"])
-
-
-@query("inversions", "WITH r AS (SELECT c_acctbal AS estimate, c_nationkey::DOUBLE AS exact FROM customer WHERE c_custkey <= 60), p AS (SELECT x.exact < y.exact AS wrong FROM r x JOIN r y ON x.estimate > y.estimate) SELECT count(*) FILTER (wrong) AS inversions, count(*) AS pairs, count(*) FILTER (wrong) / count(*) AS share FROM p")
-def inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ranking of 60 candidates, as a level of a search has them."""
-    from hornpress.plans import estimate as es
-
-    ranking = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey <= 60")
-    return es.inversions(ranking.select(F.col("c_acctbal").alias("estimate"), F.col("c_nationkey").cast("double").alias("exact")))
-
-
-@query("inversions_whole", "WITH r AS (SELECT c_acctbal AS estimate, c_nationkey::DOUBLE AS exact FROM customer), p AS (SELECT x.exact < y.exact AS wrong FROM r x JOIN r y ON x.estimate > y.estimate) SELECT count(*) FILTER (wrong) AS inversions, count(*) AS pairs, count(*) FILTER (wrong) / count(*) AS share FROM p")
-def inversions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ranking of all customers."""
-    from hornpress.plans import estimate as es
-
-    ranking = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return es.inversions(ranking.select(F.col("c_acctbal").alias("estimate"), F.col("c_nationkey").cast("double").alias("exact")))
-
-
 def _weighted(kb: Kb) -> DataFrame:
     """The weight of negative samples that a rule covers, in place of the count of its wrong tuples."""
     pos = kb["noisy"].df

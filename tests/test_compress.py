@@ -98,10 +98,10 @@ def test_registered_supplementary_constants_are_the_operators(spark, monkeypatch
 
     sf, seen, real = "/root/testdata/sf0.001", [], cm.supplementary_constants
     monkeypatch.setattr(cm, "supplementary_constants", lambda *a: seen.append(a) or real(*a))
-    got = rows_of(q.QUERIES["supplementary_lost"](spark, sf))
+    got = rows_of(q.QUERIES["supplementary"](spark, sf))
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{sf}/customer.parquet'")
-    assert got and got == set(duck.execute(q.ORACLES["supplementary_lost"]).fetchall())
+    assert got and got == set(duck.execute(q.ORACLES["supplementary"]).fetchall())
     (kb, necessary, counter, rules), = seen
     # each of the three kinds of kept constants holds some back
     assert 0 < len(got) < kb.n and len(rules) == 3
@@ -113,3 +113,70 @@ def test_lost_constants_come_back(spark):
     base = kb(spark, {"all": [(c,) for c in range(1, 7)], "some": [(2,), (3,), (4,)]}, 6)
     c = compress_with(base, [parse_rule("all(?):-"), parse_rule("some(?):-")])
     assert rows_of(c.supplementary) == {(2,), (3,), (4,)} and c.is_lossless()
+
+
+def marked(base, entailed):
+    from hornpress.operators.kb import Kb
+
+    made = {k: r.entail(frame(base.spark, sorted(entailed[k]))) if entailed.get(k) else r for k, r in base.relations.items()}
+    return Kb(base.name, made, base.n)
+
+
+def golden(spark, entailed, rules, wrong, cycle=()):
+    """What is kept where rules, marks, counterexamples and a cycle of proofs are given."""
+    from hornpress.plans.compress import EDGES, finish
+    from hornpress.plans.search import Scored
+
+    base = marked(kb(spark, FAMILY, 17), entailed)
+    edges = spark.createDataFrame([(a, list(x), b, list(y)) for (a, x), (b, y) in cycle], EDGES)
+    return finish(base, [Scored(parse_rule(r), Eval(0, 0, parse_rule(r).length)) for r in rules], {k: frame(spark, v) for k, v in wrong.items()}, [edges])
+
+
+def test_golden_figures_of_a_given_hypothesis(spark):
+    """FIXTURES.md F1, G1 (fixed values)."""
+    rules = ["mother(X0,X1):-family(X0,?,X1)", "mother(8,X0):-father(?,X0)", "father(X0,X1):-family(?,X0,X1)", "family(X1,X0,X2):-father(X0,X2),mother(X1,X2)"]
+    c = golden(spark, {"mother": [(4, 6), (7, 9)], "father": [(5, 6), (16, 17)], "family": [(4, 5, 6)]}, rules, {"family": [(1, 2, 3)]})
+    r = c.report().first()
+    assert (r.necessary, r.feedback, r.counterexamples, r.rule_length) == (7, 0, 1, 10)
+    assert rows_of(c.supplementary) == {(4,), (5,), (6,), (16,), (17,)}
+
+
+def test_golden_figures_with_a_cycle(spark):
+    """FIXTURES.md F1, G2 (fixed values)."""
+    rows = {k: v[:3] for k, v in FAMILY.items()}
+    turn = [(("family", (10, 11, 12)), ("father", (11, 12))), (("father", (11, 12)), ("family", (10, 11, 12)))]
+    c = golden(spark, rows, ["father(X0,X1):-family(?,X0,X1)", "mother(X0,6):-family(X0,?,6)"], {"mother": [(5, 5)], "father": [(16, 17), (14, 15)]}, turn)
+    r = c.report().first()
+    assert (r.necessary, r.feedback, r.counterexamples, r.rule_length) == (4, 1, 3, 5)
+    assert rows_of(c.supplementary) == {(x,) for x in (1, 2, 3, 4, 7, 8, 9)}
+    assert rows_of(c.necessary["family"]) == {(10, 11, 12), (13, 14, 15)} and rows_of(c.necessary["father"]) == {(16, 17)} and rows_of(c.necessary["mother"]) == {(13, 15)}
+
+
+def jobs_of(spark, act):
+    spark.sparkContext.setJobGroup("counted", "")
+    try:
+        out = act()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+
+
+def test_a_long_chain_of_proofs_takes_few_jobs(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(5000)] + [("n9", "n8")], "src string, dst string")
+    got, jobs = jobs_of(spark, lambda: graph.cycle_breakers(edges).collect())
+    assert [(r.node, r.scc, r.feedback) for r in sorted(got)] == [("n8", "n8", True), ("n9", "n8", False)] and jobs < 30
+
+
+def test_parts_beyond_one_task_are_solved_apart(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    edges = [(f"{c}{i}", f"{c}{(i + 1) % 4}") for c in "xyz" for i in range(4)] + [("x0", "t0"), ("t0", "t1"), ("y1", "y0")]
+    got = {r.node: (r.scc, r.feedback) for r in graph.cycle_breakers(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {f"{c}{i}": (f"{c}0", i == 0) for c in "xyz" for i in range(4)}
+
+
+def test_new_tuples_alone_are_joined(spark):
+    """A long recursion, and two recursive atoms in one rule."""
+    base = kb(spark, {"step": [(i, i + 1) for i in range(1, 12)], "reach": [(1, 2)]}, 12)
+    whole = {(a, b) for a in range(1, 13) for b in range(a + 1, 13)}
+    for rules in (["reach(X,Y):-step(X,Y)", "reach(X,Y):-reach(X,Z),reach(Z,Y)"], ["reach(X,Y):-step(X,Y)", "reach(X,Y):-step(X,Z),reach(Z,Y)"]):
+        assert rows_of(recover(base, {}, [parse_rule(r) for r in rules])["reach"].df) == whole

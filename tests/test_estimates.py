@@ -88,7 +88,7 @@ def test_inversions_of_large_rankings(spark, kind, monkeypatch):
 def test_whole_rankings_list_no_pairs(spark, monkeypatch):
     from hornpress import queries as q
 
-    row = q.QUERIES["inversions_whole"](spark, "/root/testdata/sf0.01").first()
+    row = q.QUERIES["inversions"](spark, "/root/testdata/sf0.01").first()
     assert row.pairs > 1_000_000  # 1,500 customers, not 60
     monkeypatch.setattr(type(spark.range(1)), "join", None)
     n = 200_000

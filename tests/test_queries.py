@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from hornpress import queries as q
 
 SF = "/root/testdata/sf0.001"
-SOME = ["numeration", "add_names", "compaction", "insert_places", "promising_constants", "project_join", "jaccard_pairs", "eval_rules", "evidence", "template_subsumption", "neg_weights", "sample_major_nodes", "dependency_edges", "recursive_recovery", "inversions"]
+SOME = ["numeration", "add_names", "compaction", "insert_places", "promising_constants", "project_join", "jaccard_pairs", "eval_rules", "evidence", "template_subsumption", "neg_weights", "sample_major_nodes", "dependency_edges", "recursive_recovery", "inversions", "neg_uniform", "neg_near_positive", "neg_relevant_by_hops", "neg_remapped", "sample_walk", "sample_weighted_walk", "sample_snowball", "split_parts", "file_base", "file_compressed", "file_imports", "file_negatives", "gen_random", "stream_explained", "generalizations", "edits", "scores", "template_run", "mine_by_estimates", "relation_ids", "slices", "supplementary"]
 
 
 @pytest.fixture(scope="module")
