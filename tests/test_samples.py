@@ -88,3 +88,43 @@ def test_near_positive_is_near_when_few_are_left(spark):
     assert got == {(1, x) for x in range(2, 11)} | {(x, 1) for x in range(2, 11)}
     assert len(rows_of(ng.near_positive(frame(spark, [(1, 1)]), 1000, 5000))) == 2 * 999
     assert rows_of(ng.near_positive(frame(spark, [(1,), (3,)]), 4, 9)) == {(2,), (4,)}
+
+
+@pytest.mark.parametrize("template", ["Dual", "Transition", "DualTransition", "SharedSource", "SharedSink", "Subsumption", "TypeInference"])
+def test_templates_count_all_instances(spark, template):
+    """One join over all relations gives what each instance's own plan gives."""
+    import random
+    from itertools import product
+
+    from hornpress.plans.rules import Atom, Rule
+
+    draw = random.Random(6)
+    pairs = lambda n: sorted({(draw.randint(1, 7), draw.randint(1, 7)) for _ in range(n)})
+    base = kb(spark, {"p": pairs(12), "q": pairs(9), "u": [(k,) for k in range(1, 5)]}, 7)
+    got, want = {}, []
+    for s in tp.shapes(base, template):
+        got |= {r.rule: (r.pos, r.neg, r.length) for r in tp.counted(base, s).collect()}
+        arity = {a.pred: len(a.args) for a in s.rule.atoms}
+        for names in product(*[[r.name for r in base.relations.values() if r.arity == arity[h]] for h in s.holders]):
+            put = dict(zip(s.holders, names, strict=True))
+            rule = Rule(tuple(Atom(put[a.pred], a.args) for a in s.rule.atoms))
+            if not rule.invalid and all(len({put[x] for x in g}) > 1 for g in s.groups):
+                want.append((rule, s.length))
+    plain = {r.rule: (r.pos, r.neg, r.length) for r in tp.measured(base, want).collect() if r.pos}
+    assert got == plain
+
+
+def test_runs_of_templates(spark):
+    base = kb(spark, {"p": [(i, i + 20) for i in range(1, 15)], "q": [(i + 20, i) for i in range(1, 14)]}, 34)
+    found, stats = tp.hinted(base, ["Dual", "Subsumption"])
+    assert {r.rule for r in found["Dual"].collect()} == {"p(X0,X1):-q(X1,X0)", "q(X0,X1):-p(X1,X0)"}
+    assert {r.template: (r.rules, r.covered, r.records) for r in stats.collect()} == {"Dual": (2, 26, 27), "Subsumption": (0, 0, 27)}
+    with pytest.raises(ValueError):
+        tp.hinted(base, ["Nothing"])
+
+
+def test_draws_over_free_places(spark):
+    pos, bound = frame(spark, [(1, 2), (2, 3)]), frame(spark, [(1, 1), (2, 2), (4, 4)]).select("a0")
+    got = rows_of(ng.adversarial_draws(pos, bound, [1], 9, 12))
+    assert len(got) == 12 and got <= {(a, b) for a in (1, 2, 4) for b in range(1, 10)} - {(1, 2), (2, 3)}
+    assert rows_of(ng.remapped(pos.withColumn("weight", F.lit(0.5)), spark.createDataFrame([(1, 8), (2, 9)], "old int, new int"))) == {(8, 9, 0.5)}
