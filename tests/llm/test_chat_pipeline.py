@@ -182,3 +182,19 @@ def test_pipeline_matches_brute_force(spark):
 def test_registered():
     assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(ORACLES) <= set(QUERIES) and len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
+def test_stages_take_odd_columns_nulls_repeats_and_nothing(spark, sf, edge, stage):
+    from pyspark.sql import functions as F
+
+    odd = edge.withColumn("my col", F.lit("x")).withColumn("a.b", F.create_map(F.lit("k"), F.col("size"))).withColumn("nothing", F.lit(None).cast("int"))
+    nulls = odd.limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in odd.schema.fields])
+    docs = odd.unionByName(nulls).unionByName(odd.limit(4))
+    got = stage(spark, docs, sf)
+    if stage is corpus_pipeline.encoded:
+        assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() == docs.count()
+    else:
+        assert got.columns == docs.columns and got.schema["a.b"].dataType == docs.schema["a.b"].dataType
+        assert {r.text for r in got.select("text").collect()} <= {r.text for r in docs.select("text").collect()}
+    assert stage(spark, odd.limit(0), sf).count() == 0
