@@ -87,6 +87,7 @@ def test_inversions_of_large_rankings(spark, kind, monkeypatch):
 
 def test_whole_rankings_list_no_pairs(spark, monkeypatch):
     from hornpress import queries as q
+    from hornpress import queries_rules  # noqa: F401 - registers the query
 
     row = q.QUERIES["inversions"](spark, "/root/testdata/sf0.01").first()
     assert row.pairs > 1_000_000  # 1,500 customers, not 60
