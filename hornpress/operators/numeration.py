@@ -98,8 +98,8 @@ def encode(df: DataFrame, numeration: DataFrame, size: int | None = None) -> Dat
     cols, names = df.columns, _near(numeration, size)
     for c in cols:
         coded = names.select(F.col("name").alias(c), F.col("num").alias("coded"))
-        df = df.join(coded, c, "left").withColumn(c, F.coalesce("coded", F.lit(0))).drop("coded")
-    return df.select(*cols)
+        df = df.join(coded, c, "left").select(*[F.coalesce("coded", F.lit(0)).alias(c) if k == c else k for k in cols])
+    return df
 
 
 def decode(df: DataFrame, numeration: DataFrame, size: int | None = None) -> DataFrame:

@@ -23,8 +23,16 @@ def col_of(v: Var) -> str:
     return f"x{v.n}"
 
 
-def atom_rows(atom: Atom, df: DataFrame, keep: set[Var]) -> DataFrame:
+def column(kb: Kb, pred: str, place: int, name: str) -> DataFrame:
+    """A column's distinct values; where the table of column values is at hand, without a shuffle."""
+    if "colvals" in kb.__dict__:
+        return kb.colvals.filter((F.col("rel") == pred) & (F.col("col") == place)).select(F.col("val").alias(name))
+    return kb[pred].df.select(F.col(f"a{place}").alias(name)).distinct()
+
+
+def atom_rows(atom: Atom, kb: Kb, keep: set[Var]) -> DataFrame:
     """Distinct bindings of the kept variables in one atom."""
+    df = kb[atom.pred].df
     checks, first = [], {}
     for i, arg in enumerate(atom.args):
         if isinstance(arg, Const):
@@ -34,10 +42,12 @@ def atom_rows(atom: Atom, df: DataFrame, keep: set[Var]) -> DataFrame:
                 checks.append(F.col(f"a{i}") == F.col(f"a{first[arg]}"))
             first.setdefault(arg, i)
     rows = df.filter(tb.all_of(checks)) if checks else df
-    chosen = [F.col(f"a{i}").alias(col_of(v)) for v, i in first.items() if v in keep]
-    bound = rows.select(*chosen)
-    # a variable for each column keeps rows distinct; otherwise they are reduced before any join
-    return bound if len(chosen) == len(atom.args) else bound.distinct()
+    kept = [(v, i) for v, i in first.items() if v in keep]
+    if not checks and len(kept) == 1 and len(atom.args) > 1:
+        return column(kb, atom.pred, kept[0][1], col_of(kept[0][0]))
+    bound = rows.select(*[F.col(f"a{i}").alias(col_of(v)) for v, i in kept])
+    # constants and kept variables in all places keep rows distinct; otherwise they are reduced before any join
+    return bound if all(isinstance(a, Const) or a in keep for a in atom.args) else bound.distinct()
 
 
 def components(rule: Rule) -> list[list[Atom]]:
@@ -58,7 +68,7 @@ def joined(atoms: list[Atom], kb: Kb, keep: set[Var]) -> DataFrame:
     for k, atom in enumerate(order):
         later = keep | {v for a in order[k + 1 :] for v in a.vars}
         shared_before = {v for a in order[:k] for v in a.vars}
-        part = atom_rows(atom, kb[atom.pred].df, later | shared_before)
+        part = atom_rows(atom, kb, later | shared_before)
         if rows is None:
             rows = part
         else:
@@ -87,14 +97,20 @@ def free_places(rule: Rule) -> tuple[list[int], list[Var]]:
     return [i for i, a in enumerate(rule.head.args) if a is None], sorted({v for v in rule.head.vars if v not in bound})
 
 
-def matched_head(rule: Rule, kb: Kb, head: DataFrame | None = None) -> DataFrame:
-    """Head rows (with `entailed`) that the rule derives."""
+def fitting_head(rule: Rule, kb: Kb, head: DataFrame | None = None) -> DataFrame:
+    """Head rows (with `entailed`) that have the constants and equal places of the rule's head."""
     rows = kb[rule.head.pred].flagged if head is None else head
     for i, arg in enumerate(rule.head.args):
         if isinstance(arg, Const):
             rows = rows.filter(F.col(f"a{i}") == arg.value)
         elif isinstance(arg, Var) and (first := rule.head.args.index(arg)) != i:
             rows = rows.filter(F.col(f"a{i}") == F.col(f"a{first}"))
+    return rows
+
+
+def matched_head(rule: Rule, kb: Kb, head: DataFrame | None = None) -> DataFrame:
+    """Head rows (with `entailed`) that the rule derives."""
+    rows = fitting_head(rule, kb, head)
     for gvs, bound in bindings(rule, kb):
         if gvs:
             on = [rows[f"a{rule.head.args.index(v)}"] == bound[col_of(v)] for v in gvs]
@@ -159,11 +175,12 @@ def groundings(rule: Rule, kb: Kb, head: DataFrame | None = None) -> DataFrame:
 
 
 def reduced_groundings(rule: Rule, kb: Kb, used: list[str]) -> DataFrame:
-    """Distinct head rows (h_a*, h_entailed) with the body columns `used` of their groundings: every atom is cut
-    to those and to what it is joined by, and made distinct, before it is joined."""
-    rows = tb.prefixed(matched_head(rule, kb), "h_")
+    """Head rows (h_a*, h_entailed) with the body columns `used` of their groundings, in which rows can repeat: every
+    atom is cut to those and to what it is joined by, and made distinct, before it is joined. The joins themselves
+    drop head rows without a grounding."""
+    rows = tb.prefixed(fitting_head(rule, kb), "h_")
     at = {v: f"h_a{rule.head.args.index(v)}" for v in rule.head.vars}
-    return _grounded(rows, at, list(enumerate(rule.body, 1)), kb, set(used)).select(*rows.columns, *used).distinct()
+    return _grounded(rows, at, list(enumerate(rule.body, 1)), kb, set(used)).select(*rows.columns, *used)
 
 
 def body_groundings(rule: Rule, kb: Kb) -> list[tuple[list[int], DataFrame]]:
@@ -193,7 +210,15 @@ def _grounded(rows: DataFrame | None, at: dict[Var, str], left: list[tuple[int,
         if used is not None:
             later = {at[v] for _, a in left for v in a.vars if v in at}
             joins = {f"b{k}_a{i}" for i, arg in enumerate(atom.args) if isinstance(arg, Var) and at[arg] != f"b{k}_a{i}"}
-            cut = part.select(*[c for c in part.columns if c in used | later | joins]).distinct()
+            own = [c for c in part.columns if c in used | later | joins]
+            bound = [a for a in atom.args if a is not None]
+            plain = all(isinstance(a, Var) for a in bound) and len(set(bound)) == len(bound)
+            fixed = {f"b{k}_a{i}" for i, arg in enumerate(atom.args) if isinstance(arg, Const) or isinstance(arg, Var) and at[arg] in own and at[arg] != f"b{k}_a{i}"}
+            if plain and len(own) == 1 and len(atom.args) > 1:
+                cut = column(kb, atom.pred, int(own[0].rpartition("_a")[2]), own[0])
+            else:
+                cut = part.select(*own)
+                cut = cut if set(part.columns) <= {*own, *fixed} else cut.distinct()
             on = [(at[arg], f"b{k}_a{i}") for i, arg in enumerate(atom.args) if isinstance(arg, Var) and not at[arg].startswith(f"b{k}_")]
             part, on = cut, [rows[x] == cut[y] for x, y in on]
             if not part.columns:  # the atom only has to hold

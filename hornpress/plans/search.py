@@ -110,10 +110,11 @@ class Scorer:
                     known[label] = n
                 elif label not in wanted:
                     bound = cp.joined(atoms, self.kb, set(gvs))
-                    wanted[label] = (bound if gvs else bound.limit(1)).agg(F.count("*").alias("n")).select(F.lit(label).alias("label"), "n")
+                    wanted[label] = (bound if gvs else bound.limit(1)).select(F.lit(label).alias("label"))
         if wanted:
             self.stats.jobs += 1
-            self.counts |= {r["label"]: r["n"] for r in reduce(DataFrame.unionByName, wanted.values()).collect()}
+            found = reduce(DataFrame.unionByName, wanted.values()).groupBy("label").agg(F.count("*").alias("n")).collect()
+            self.counts |= dict.fromkeys(wanted, 0) | {r["label"]: r["n"] for r in found}
         out = {}
         for rule in rules:
             empty, only = cp.free_places(rule)
