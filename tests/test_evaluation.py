@@ -75,3 +75,26 @@ def test_evidence(kin):
     assert got == {(1, 10): [(1, 5), (5, 10)], (2, 15): [(2, 6), (6, 15)]}
     axiom = cp.evidence(parse_rule("father(6,?):-"), kin).collect()
     assert {(tuple(r["head"]), r["body"]) for r in axiom} == {((6, 11), None), ((6, 15), None)}
+
+
+@pytest.mark.parametrize("with_values", [False, True])
+@pytest.mark.parametrize(
+    ("text", "used"),
+    [
+        ("h(X,Y):-p(X,Z,Z),q(Y,W)", ["b1_a0", "b2_a1"]),
+        ("h(X,?):-p(X,Z,Z)", []),
+        ("h(X,Y):-p(X,Z,?),q(Z,Y)", ["b1_a2"]),
+        ("h(X,?):-p(X,2,?),q(?,X)", ["b2_a0"]),
+        ("h(X,X):-q(X,?)", ["b1_a1"]),
+        ("h(1,Y):-p(?,?,Y)", ["b1_a0"]),
+    ],
+)
+def test_reduced_groundings_hold_the_values_of_whole_ones(spark, text, used, with_values):
+    p = [(1, 2, 2), (1, 3, 2), (2, 2, 4), (3, 3, 3), (4, 1, 1), (2, 2, 1)]
+    base = kb(spark, {"h": [(1, 2), (1, 1), (2, 4), (3, 3), (4, 2)], "p": p, "q": [(2, 2), (3, 2), (1, 4), (2, 4), (2, 1), (3, 3)]})
+    if with_values:
+        assert base.colvals.count()
+    rule = parse_rule(text)
+    cols = ["h_a0", "h_a1", *used]
+    want = {tuple(r) for r in cp.groundings(rule, base).select(*cols).collect()}
+    assert {tuple(r) for r in cp.reduced_groundings(rule, base, used).select(*cols).collect()} == want and want
