@@ -8,6 +8,7 @@ plan's size follows from the template, not from the number of relations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -130,17 +131,50 @@ def alike(kb: Kb, threshold: float) -> DataFrame:
     return checkpointed(pairs.unionByName(turned).unionByName(own).distinct())
 
 
+def _takers(kb: Kb, shape: Shape, pairs: DataFrame | None, atoms: list[Atom]) -> Callable[[DataFrame], DataFrame]:
+    """Keeps of a component's rows those whose relations the placeholders can take together, of arities that fit: with
+    a head relation whose columns are like theirs, and not barred. Others derive nothing that is asked for."""
+    head = shape.rule.head
+    if pairs is None or not any(set(a.vars) & set(head.vars) for a in atoms):
+        return lambda rows: rows
+    near = {tuple(r) for r in pairs.collect()}
+    after: dict[str, dict[int, list[tuple[str, int]]]] = {}
+    for rel, i, other, j in near:
+        after.setdefault(rel, {}).setdefault(i, []).append((other, j))
+    arity = dict(kb.schema)
+    taken, done, left = [{head.pred: r} for r, k in kb.schema if k == len(head.args)], [head], list(atoms)
+    while left:
+        a = next(a for a in left if any(set(a.vars) & set(o.vars) for o in done))
+        left.remove(a)
+        meets = [(o.pred, o.args.index(v), a.args.index(v)) for o in done for v in dict.fromkeys(a.vars) if v in o.args]
+        pred, i, j = meets[0]
+        wider = [{**t, a.pred: r} for t in taken for r, col in after.get(t[pred], {}).get(i, []) if col == j and arity[r] == len(a.args) and t.get(a.pred, r) == r]
+        taken = [t for t in wider if all((t[p], x, t[a.pred], y) in near for p, x, y in meets)]
+        done.append(a)
+    names = [f"r_{h}" for h in dict.fromkeys(a.pred for a in done)]
+    chosen = kb.spark.createDataFrame([tuple(t[n[2:]] for n in names) for t in taken], ", ".join(f"{n} string" for n in names))
+    if len(names) == len(shape.holders):
+        chosen = chosen.filter(~shape.barred())
+
+    def keep(rows: DataFrame) -> DataFrame:
+        on = [n for n in names if n in rows.columns]
+        return rows.join(F.broadcast(chosen.select(*on).distinct()), on, "left_semi")
+
+    return keep
+
+
 def _bindings(kb: Kb, shape: Shape, pairs: DataFrame | None) -> list[DataFrame]:
     """Of each component of the body: names taken and distinct bindings of the head's variables."""
     head, out = set(shape.rule.head.vars), []
     for atoms in cp.components(shape.rule):
         order, left = [atoms[0]], atoms[1:]
-        rows = _rows(kb, atoms[0])
+        keep = _takers(kb, shape, pairs, atoms)
+        rows = keep(_rows(kb, atoms[0]))
         while left:
             have = {v for a in order for v in a.vars}
             nxt = next(a for a in left if set(a.vars) & have)
             left.remove(nxt)
-            rows, part = _near(rows, pairs, order, nxt), _rows(kb, nxt)
+            rows, part = keep(_near(rows, pairs, order, nxt)), _rows(kb, nxt)
             order.append(nxt)
             later = head | {v for a in left for v in a.vars}
             joined = rows.join(part, [c for c in part.columns if c in rows.columns])

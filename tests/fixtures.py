@@ -26,3 +26,18 @@ FAMILY = {
 
 def rows_of(df):
     return {tuple(r) for r in df.collect()}
+
+
+def shuffled(spark, run):
+    """Records that stages wrote to a shuffle while run() ran."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    run()
+    return sum(n for k, n in written().items() if k not in before)

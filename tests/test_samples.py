@@ -8,7 +8,7 @@ from hornpress.operators.kb import Kb
 from hornpress.plans import compile as cp
 from hornpress.plans.rules import parse_rule
 from hornpress.sources import generators as gen
-from tests.fixtures import frame, kb, rows_of
+from tests.fixtures import frame, kb, rows_of, shuffled
 
 POS = [(1, 2, 9), (1, 5, 2), (1, 5, 3), (2, 4, 3), (2, 4, 5), (5, 3, 4), (5, 10, 10)]
 
@@ -128,3 +128,15 @@ def test_draws_over_free_places(spark):
     got = rows_of(ng.adversarial_draws(pos, bound, [1], 9, 12))
     assert len(got) == 12 and got <= {(a, b) for a in (1, 2, 4) for b in range(1, 10)} - {(1, 2), (2, 3)}
     assert rows_of(ng.remapped(pos.withColumn("weight", F.lit(0.5)), spark.createDataFrame([(1, 8), (2, 9)], "old int, new int"))) == {(8, 9, 0.5)}
+
+
+def test_templates_join_only_what_a_head_can_take(spark):
+    made = {"sn": [(k, 2001 + k % 5) for k in range(1, 1501)], "rn": [(3001 + k % 2, 2001 + k) for k in range(5)], "sr": [(k, 3001 + k % 5 % 2) for k in range(1, 1501)]}
+    base = kb(spark, made, 3010).persisted()
+    rules = []
+    moved = shuffled(spark, lambda: rows_of(tp.match(base, "SharedSink").select("rule")) and rules.extend(r.rule for r in tp.match(base, "SharedSink").collect()))
+    assert rules == ["sr(X0,X1):-sn(X0,X2),rn(X1,X2)"] and moved < 200_000  # pairs of sn that share a place: 450,000
+    pairs = tp.alike(base, 0.8)
+    got = {r.rule for r in tp.counted(base, tp.shapes(base, "SharedSource")[0], pairs).collect()}
+    every = {r.rule for r in tp.counted(base, tp.shapes(base, "SharedSource")[0]).collect()}
+    assert got and got <= every
