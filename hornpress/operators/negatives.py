@@ -18,6 +18,11 @@ from hornpress.operators.numeration import nearest, ranked
 
 WIDE = "decimal(38,0)"
 SEED = "negatives"
+#: Constants that meet more others than this are compared with no other constant.
+GROUPED = 64
+#: Groups of so many constants in all are sent to every task; of more, walks and members meet by a shuffle.
+BROADCAST_MEMBERS = 100_000
+ROWS_A_TASK = 2_000_000
 
 
 def ordinal(cols: list[str], n: int) -> Column:
@@ -177,15 +182,49 @@ def cooccurrence(relations: list[DataFrame]) -> DataFrame:
     return counts.withColumn("relevance", F.col("n") / F.sum("n").over(Window.partitionBy("c1"))).select("c1", "c2", "relevance")
 
 
+def grouped(near: DataFrame) -> DataFrame:
+    """(c1, group): constants that meet the same others, equally often, are a group, named by its smallest member.
+
+    Walks from the members of a group differ in nothing but the member itself. A constant that meets more than
+    GROUPED others is a group of its own, so that no row holds a long list.
+    """
+    meets = near.groupBy("c1").agg(F.count("*").alias("n"))
+    few = near.join(meets.filter(F.col("n") <= GROUPED), "c1").groupBy("c1").agg(F.sort_array(F.collect_list(F.struct("c2", "relevance"))).alias("met"))
+    alike = few.groupBy("met").agg(F.min("c1").alias("group"))
+    many = meets.filter(F.col("n") > GROUPED).select("c1", F.col("c1").alias("group"))
+    return few.join(alike, "met").select("c1", "group").unionByName(many)
+
+
+def expanded(walks: DataFrame, group: DataFrame) -> DataFrame:
+    """walks (c1, c2, ...) of the groups' first members, for every member. Rows are listed by tasks of some millions."""
+    size = group.groupBy("group").agg(F.count("*").alias("members"))
+    ways = walks.groupBy("c1").agg(F.count("*").alias("ways")).join(size, F.col("c1") == F.col("group"))
+    rows, members = ways.agg(F.coalesce(F.sum(F.col("ways") * F.col("members")), F.lit(0)), F.coalesce(F.sum("members"), F.lit(0))).first()
+    parts = -(-rows // ROWS_A_TASK)
+    first, rest = walks.withColumnRenamed("c1", "group"), [c for c in walks.columns if c != "c1"]
+    if members <= BROADCAST_MEMBERS:
+        # a task's share of the walks, dealt by both ends, meets all members
+        return (first.repartition(parts, "group", "c2") if parts > 1 else first).join(F.broadcast(group), "group").select("c1", *rest)
+    salts = min(parts, 32)
+    dealt = first.withColumn("salt", F.pmod(F.hash("c2"), F.lit(salts)))
+    copies = group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.repartition(parts, "group", "salt").join(copies.repartition(parts, "group", "salt"), ["group", "salt"]).select("c1", *rest)
+
+
 def hop_relevance(relevance: DataFrame, hops: int) -> DataFrame:
-    """Relevance over walks of up to `hops` steps: each step halves it, the last one counts twice."""
+    """Relevance over walks of up to `hops` steps: each step halves it, the last one counts twice.
+
+    Walks are added up once for each group of constants alike, and listed for its members at the end.
+    """
+    relevance = checkpointed(relevance)
+    group = checkpointed(grouped(relevance))
     step = relevance.select(F.col("c1").alias("m"), F.col("c2").alias("to"), (F.col("relevance") / 2).alias("r"))
-    walk = relevance.select("c1", "c2", (F.col("relevance") / 2).alias("w"))
+    walk = relevance.join(group.filter("c1 = group"), "c1", "left_semi").select("c1", "c2", (F.col("relevance") / 2).alias("w"))
     total = walk.withColumn("w", F.col("w") * (2 if hops == 1 else 1))
     for h in range(2, hops + 1):
         walk = walk.join(step, walk["c2"] == step["m"]).groupBy("c1", F.col("to").alias("c2")).agg(F.sum(F.col("w") * F.col("r")).alias("w"))
         total = total.unionByName(walk.withColumn("w", F.col("w") * (2 if h == hops else 1)))
-    return total.groupBy("c1", "c2").agg(F.sum("w").alias("relevance"))
+    return expanded(checkpointed(total.groupBy("c1", "c2").agg(F.sum("w").alias("relevance"))), group)
 
 
 def relevant(pos: DataFrame, relevance: DataFrame, top: int) -> DataFrame:

@@ -130,6 +130,13 @@ def test_draws_over_free_places(spark):
     assert rows_of(ng.remapped(pos.withColumn("weight", F.lit(0.5)), spark.createDataFrame([(1, 8), (2, 9)], "old int, new int"))) == {(8, 9, 0.5)}
 
 
+def test_walks_through_a_hub_are_added_up_once(spark):
+    hub = spark.range(1, 1501).selectExpr("cast(id as int) as a0", "2000 as a1")
+    rows = []
+    moved = shuffled(spark, lambda: rows.append(ng.hop_relevance(ng.cooccurrence([hub]), 2).count()))
+    assert rows == [1500 * 1501 + 1 + 1500] and moved < 100_000
+
+
 def test_templates_join_only_what_a_head_can_take(spark):
     made = {"sn": [(k, 2001 + k % 5) for k in range(1, 1501)], "rn": [(3001 + k % 2, 2001 + k) for k in range(5)], "sr": [(k, 3001 + k % 5 % 2) for k in range(1, 1501)]}
     base = kb(spark, made, 3010).persisted()
