@@ -242,18 +242,34 @@ def relevant_by_hops(pos: DataFrame, relations: list[DataFrame], budget: int, ho
     then those two steps away and so on. Tuples are dealt in rounds: each positive tuple and place
     gives its first candidate, then each its second, until the budget is reached (ties by tuple).
     """
-    near = cooccurrence(relations).filter("c1 <> c2").select("c1", "c2", F.lit(1).alias("hop"), "relevance")
-    ways, reach = near.select(F.col("c1").alias("m"), F.col("c2").alias("to"), F.col("relevance").alias("r")), near
-    walk = near
+    pos = checkpointed(pos)
+    near = checkpointed(cooccurrence(relations).filter("c1 <> c2"))
+    group = checkpointed(grouped(near))
+    ways = near.select(F.col("c1").alias("m"), F.col("c2").alias("to"), F.col("relevance").alias("r"))
+    # Walks of a group's first member, back to itself too. As links go both ways every member is two steps from each
+    # other and itself, so what a member's own walks lack of these is the member alone.
+    walk = reach = near.join(group.filter("c1 = group"), "c1", "left_semi").select("c1", "c2", F.lit(1).alias("hop"), "relevance")
     for h in range(2, hops + 1):
-        further = walk.join(ways, walk["c2"] == ways["m"]).filter("c1 <> to").groupBy("c1", F.col("to").alias("c2")).agg(F.sum(F.col("relevance") * F.col("r")).alias("relevance"))
+        further = walk.join(ways, walk["c2"] == ways["m"]).groupBy("c1", F.col("to").alias("c2")).agg(F.sum(F.col("relevance") * F.col("r")).alias("relevance"))
         walk = checkpointed(further.join(reach, ["c1", "c2"], "left_anti").select("c1", "c2", F.lit(h).alias("hop"), "relevance"))
         reach = reach.unionByName(walk)
     order = Window.partitionBy("c1").orderBy("hop", F.desc(F.round("relevance", 12)), "c2")
-    ranked_near = reach.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= budget).select("c1", "c2", "turn")
-    places = [pos.withColumn("c1", F.col(c)).join(ranked_near, "c1").select(*[F.col("c2").alias(x) if x == c else F.col(x) for x in pos.columns], "turn", F.lit(i).alias("place")) for i, c in enumerate(pos.columns)]
-    found = tb.absent(reduce(DataFrame.unionByName, places), pos).groupBy(*pos.columns).agg(F.min(F.struct("turn", "place")).alias("at"))
-    return found.orderBy("at", *pos.columns).limit(budget).select(*pos.columns)
+    listed = reach.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= budget + 1)
+    listed = checkpointed(listed.select(F.col("c1").alias("group"), "c2", "at"))
+    # a member's own place in its group's list is passed over
+    own = listed.select("group", F.col("c2").alias("c1"), F.col("at").alias("own"))
+    members = checkpointed(group.join(own, ["group", "c1"], "left"))
+    turns = min(2, budget)
+    while True:
+        first = members.join(listed.filter(F.col("at") <= turns + 1), "group").filter("c1 <> c2")
+        dealt = first.select("c1", "c2", (F.col("at") - F.coalesce((F.col("own") < F.col("at")).cast("int"), F.lit(0))).alias("turn")).filter(F.col("turn") <= turns)
+        places = [pos.withColumn("c1", F.col(c)).join(dealt, "c1").select(*[F.col("c2").alias(x) if x == c else F.col(x) for x in pos.columns], "turn", F.lit(i).alias("place")) for i, c in enumerate(pos.columns)]
+        found = tb.absent(reduce(DataFrame.unionByName, places), pos).groupBy(*pos.columns).agg(F.min(F.struct("turn", "place")).alias("at"))
+        if turns < budget:  # tuples of these turns precede all others: if they are enough, no later turn is dealt
+            found = checkpointed(found)
+        if turns >= budget or found.count() >= budget:
+            return found.orderBy("at", *pos.columns).limit(budget).select(*pos.columns)
+        turns = min(8 * turns, budget)
 
 
 def adversarial_draws(pos: DataFrame, derived: DataFrame, free: list[int], n: int, budget: int) -> DataFrame:

@@ -130,6 +130,75 @@ def test_draws_over_free_places(spark):
     assert rows_of(ng.remapped(pos.withColumn("weight", F.lit(0.5)), spark.createDataFrame([(1, 8), (2, 9)], "old int, new int"))) == {(8, 9, 0.5)}
 
 
+def _walked(relations, hops):
+    """(relevance over walks, lists of near constants in order) by loops over all pairs."""
+    from collections import Counter, defaultdict
+
+    meets = Counter(p for rows in relations for a, b in rows for p in ((a, b), (b, a)))
+    total = Counter()
+    for (a, _), n in meets.items():
+        total[a] += n
+    rel = defaultdict(dict)
+    for (a, b), n in meets.items():
+        rel[a][b] = n / total[a]
+    relevance, near = {}, {}
+    for c in rel:
+        walk, out = {b: w / 2 for b, w in rel[c].items()}, defaultdict(float)
+        for h in range(1, hops + 1):
+            for b, w in walk.items():
+                out[b] += w * (2 if h == hops else 1)
+            after = defaultdict(float)
+            for m, w in walk.items():
+                for b, r in rel[m].items():
+                    after[b] += w * r / 2
+            walk = after
+        relevance |= {(c, b): round(w, 9) for b, w in out.items()}
+        seen, near[c], walk = {c}, [], {b: w for b, w in rel[c].items() if b != c}
+        for _ in range(hops):
+            near[c] += [b for b, _ in sorted(walk.items(), key=lambda x: (-round(x[1], 12), x[0]))]
+            seen |= set(walk)
+            after = defaultdict(float)
+            for m, w in walk.items():
+                for b, r in rel[m].items():
+                    if b not in seen and m != b:
+                        after[b] += w * r
+            walk = after
+    return relevance, near
+
+
+@pytest.mark.parametrize("hops", [2, 3])
+@pytest.mark.parametrize(("grouped", "sent"), [(64, 100_000), (2, 0)])
+def test_walks_of_groups_are_each_members_own(spark, monkeypatch, hops, grouped, sent):
+    import random
+
+    draw = random.Random(hops)
+    one = sorted({(k, 40 + k % 4) for k in range(1, 25)} | {(draw.randint(1, 30), draw.randint(25, 45)) for _ in range(12)} | {(3, 3)})
+    other = sorted({(k, 50 + k % 2) for k in range(1, 20)})
+    relevance, near = _walked([one, other], hops)
+    monkeypatch.setattr(ng, "GROUPED", grouped)
+    monkeypatch.setattr(ng, "BROADCAST_MEMBERS", sent)
+    monkeypatch.setattr(ng, "ROWS_A_TASK", 50)
+    tables = [frame(spark, one), frame(spark, other)]
+    got = {(r.c1, r.c2): round(r.relevance, 9) for r in ng.hop_relevance(ng.cooccurrence(tables), hops).collect()}
+    assert got == pytest.approx(relevance, abs=2e-9)
+    for budget in (7, 5000):
+        at = {}
+        for row in one:
+            for place, c in enumerate(row):
+                for turn, b in enumerate(near[c][:budget], 1):
+                    t = tuple(b if i == place else x for i, x in enumerate(row))
+                    at[t] = min(at.get(t, (turn, place)), (turn, place))
+        want = sorted((v, t) for t, v in at.items() if t not in set(one))[:budget]
+        assert [tuple(r) for r in ng.relevant_by_hops(tables[0], tables, budget, hops).collect()] == [t for _, t in want]
+
+
+def test_near_constants_of_a_hub_are_not_joined_in_pairs(spark, monkeypatch):
+    hub, kept, plain = spark.range(1, 1501).selectExpr("cast(id as int) as a0", "2000 as a1"), [], ng.checkpointed
+    monkeypatch.setattr(ng, "checkpointed", lambda df: kept.append(plain(df)) or kept[-1])
+    assert ng.relevant_by_hops(hub, [hub], 20, 2).count() == 20
+    assert max(t.count() for t in kept) < 10_000  # a row for each two: 2,250,000
+
+
 def test_walks_through_a_hub_are_added_up_once(spark):
     hub = spark.range(1, 1501).selectExpr("cast(id as int) as a0", "2000 as a1")
     rows = []
