@@ -9,7 +9,7 @@ from hornpress.operators.graph import checkpointed
 
 SCHEMA = "name string, num int"
 #: Tables of more names than this are joined by a shuffle.
-BROADCAST_NAMES = 1_000_000
+BROADCAST_NAMES = 100_000
 
 
 def ranked(df: DataFrame, key: str, out: str, start: int = 1) -> DataFrame:

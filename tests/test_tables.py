@@ -91,3 +91,12 @@ def test_edits(spark):
     assert base.load("t", frame(spark, T2)).schema == [("likes", 2), ("t", 2)] and base.load("t", frame(spark, T2)).delete("likes").schema == [("t", 2)]
     assert nm.encode(spark.createDataFrame([("zed",)], "x string"), base.numeration).first()[0] == 0
     assert rows_of(base.totals()) == {(1, 2, 3)}
+
+
+def test_names_of_a_large_base_stay_off_the_driver(spark):
+    names = spark.range(1, 2001).selectExpr("concat('n', id) as name", "cast(id as int) as num")
+    rows = spark.range(1, 4001).selectExpr("concat('n', id) as a0", "concat('n', 4001 - id) as a1")
+    coded = nm.encode(rows, names, 900_000)  # so many names as a hash table fill a driver of 750 MB
+    assert "strategy=broadcast" not in coded._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in nm.encode(rows, names, 2000)._jdf.queryExecution().analyzed().toString()
+    assert rows_of(coded) == {(k if k <= 2000 else 0, 4001 - k if k > 2000 else 0) for k in range(1, 4001)}
