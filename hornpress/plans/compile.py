@@ -8,6 +8,7 @@ constants: they are counted by a factor, and joined with the constants only when
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,10 @@ from hornpress.operators.kb import Kb
 from hornpress.plans.rules import Atom, Const, Rule, Var, linked
 
 
+#: Values with more rows than this are compared with no other value.
+TWINS = 64
+
+
 def col_of(v: Var) -> str:
     return f"x{v.n}"
 
@@ -56,9 +61,21 @@ def components(rule: Rule) -> list[list[Atom]]:
     return [[b for b in rule.body if set(b.vars) & g] for g in groups] + [[b] for b in rule.body if not b.vars]
 
 
-def joined(atoms: list[Atom], kb: Kb, keep: set[Var]) -> DataFrame:
+def marked_rows(atom: Atom, place: int, marks: DataFrame, kb: Kb, keep: set[Var]) -> DataFrame:
+    """Distinct bindings of the kept variables in one atom, with the marks (of val: m_*) of its value at a place."""
+    rows = tb.prefixed(kb[atom.pred].df, "b0_").join(marks.withColumnRenamed("val", f"b0_a{place}"), f"b0_a{place}")
+    first: dict[Var, int] = {}
+    for i, arg in enumerate(atom.args):
+        if isinstance(arg, Const):
+            rows = rows.filter(F.col(f"b0_a{i}") == arg.value)
+        elif isinstance(arg, Var) and first.setdefault(arg, i) != i:
+            rows = rows.filter(F.col(f"b0_a{i}") == F.col(f"b0_a{first[arg]}"))
+    return rows.select(*[F.col(f"b0_a{i}").alias(col_of(v)) for v, i in first.items() if v in keep], *[c for c in marks.columns if c != "val"]).distinct()
+
+
+def joined(atoms: list[Atom], kb: Kb, keep: set[Var], rows_of: Callable[[Atom, Kb, set[Var]], DataFrame] = atom_rows) -> DataFrame:
     """Distinct bindings of `keep` for which all atoms hold. Variables are dropped once no later atom
-    has them, and an atom that brings nothing new only filters."""
+    has them, and an atom that brings nothing new only filters. Marks (m_*) that an atom's rows bring are kept."""
     order, left = [atoms[0]], atoms[1:]
     while left:
         have = {v for a in order for v in a.vars}
@@ -68,19 +85,57 @@ def joined(atoms: list[Atom], kb: Kb, keep: set[Var]) -> DataFrame:
     for k, atom in enumerate(order):
         later = keep | {v for a in order[k + 1 :] for v in a.vars}
         shared_before = {v for a in order[:k] for v in a.vars}
-        part = atom_rows(atom, kb, later | shared_before)
+        part = rows_of(atom, kb, later | shared_before)
         if rows is None:
             rows = part
         else:
             on = [c for c in part.columns if c in rows.columns]
             new = [c for c in part.columns if c not in rows.columns]
             rows = rows.join(part, on, "inner" if new else "left_semi") if on else rows.crossJoin(part)
-        wanted = [c for c in rows.columns if c in {col_of(v) for v in later}]
+        wanted = [c for c in rows.columns if c in {col_of(v) for v in later} or c.startswith("m_")]
         if len(wanted) < len(rows.columns):
             rows = rows.select(*wanted).distinct()
     return rows
 
 
+def twins(rows: DataFrame, c: str, single: bool = False) -> tuple[DataFrame, DataFrame]:
+    """rows of one value of column c out of all that have the same rows otherwise, and (c, w): how many those are.
+    A value of more than TWINS rows stands for itself, so that no row holds a long list. single: no value has two rows."""
+    others = [x for x in rows.columns if x != c]
+    if single:
+        alike = rows.groupBy(*others).agg(F.min(c).alias(c), F.count("*").alias("w"))
+        return alike.drop("w"), alike.select(c, "w")
+    rest = F.struct(*others)
+    size = rows.groupBy(c).agg(F.count("*").alias("n"))
+    lists = rows.join(size.filter(F.col("n") <= TWINS), c).groupBy(c).agg(F.sort_array(F.collect_list(rest)).alias("met"))
+    alike = lists.groupBy("met").agg(F.min(c).alias(c), F.count("*").alias("w")).select(c, "w")
+    weights = alike.unionByName(size.filter(F.col("n") > TWINS).select(c, F.lit(1).cast("long").alias("w")))
+    return rows.join(weights, c, "left_semi"), weights
+
+
+def bindings_counted(atoms: list[Atom], kb: Kb, keep: set[Var], single: Callable[[str, int], bool] = lambda pred, place: False) -> DataFrame:
+    """One row (n): the number of distinct bindings of `keep` for which all atoms hold. Of variables that only one
+    atom has, values that meet the same others are joined once and counted as often as there are. single: whether
+    no value is in two rows of a relation's column."""
+    places = [v for a in atoms for v in a.vars]
+    chosen: dict[Atom, Var] = {}
+    for a in atoms:
+        alone = [v for v in dict.fromkeys(a.vars) if v in keep and places.count(v) == 1]
+        if alone and len({x for x in a.vars if x in keep or places.count(x) > 1}) > 1 and atoms.count(a) == 1:
+            chosen[a] = alone[0]
+    reps, weights = {}, []
+    for a, v in chosen.items():
+        first, weight = twins(atom_rows(a, kb, {*a.vars} & (keep | {x for x in a.vars if places.count(x) > 1})), col_of(v), single(a.pred, a.args.index(v)))
+        reps[a] = first
+        weights.append((col_of(v), weight))
+    rows = joined(atoms, kb, keep, lambda a, kb, wanted: reps[a] if a in reps else atom_rows(a, kb, wanted))
+    every = F.lit(1).cast("long")
+    for k, (c, weight) in enumerate(weights):
+        rows = rows.join(weight.withColumnRenamed("w", f"w{k}"), c)
+        every = every * F.col(f"w{k}")
+    return rows.agg(F.coalesce(F.sum(every), F.lit(0)).alias("n"))
+
+
 def bindings(rule: Rule, kb: Kb) -> list[tuple[list[Var], DataFrame]]:
     """Of each component the head variables that it binds, and their distinct bindings."""
     head = set(rule.head.vars)
@@ -183,6 +238,32 @@ def reduced_groundings(rule: Rule, kb: Kb, used: list[str]) -> DataFrame:
     return _grounded(rows, at, list(enumerate(rule.body, 1)), kb, set(used)).select(*rows.columns, *used)
 
 
+def kept_by(rule: Rule, kb: Kb, head_first: Callable[[list[Atom]], bool], at: tuple[int, int] | None = None, marks: DataFrame | None = None) -> DataFrame:
+    """Distinct head rows (h_a*, h_entailed) that the rule derives, with the marks (of val: m_*) of what they meet at
+    a place of the body, if one is given. Of each component of the body either its bindings are listed and looked up,
+    or head rows are joined with its atoms: head_first says which makes fewer rows."""
+    rows = tb.prefixed(fitting_head(rule, kb), "h_")
+    own = rows.columns
+    for atoms in components(rule):
+        here = at is not None and rule.atoms[at[0]] in atoms
+        gvs = sorted(set(rule.head.vars) & {v for a in atoms for v in a.vars})
+        extra = [c for c in marks.columns if c != "val"] if here else []
+        if gvs and head_first(atoms):
+            start = {v: f"h_a{rule.head.args.index(v)}" for v in rule.head.vars}
+            numbered = [(k, a) for k, a in enumerate(rule.atoms) if k and a in atoms]
+            rows = _grounded(rows, start, numbered, kb, set(extra), (f"b{at[0]}_a{at[1]}", marks) if here else None).select(*own, *extra).distinct()
+        else:
+            part = lambda a, kb, keep: marked_rows(a, at[1], marks, kb, keep) if here and a == rule.atoms[at[0]] else atom_rows(a, kb, keep)  # noqa: B023, E731
+            bound = joined(atoms, kb, set(gvs), part)
+            on = [rows[f"h_a{rule.head.args.index(v)}"] == bound[col_of(v)] for v in gvs]
+            if here:
+                rows = (rows.join(bound, on) if on else rows.crossJoin(bound)).select(*own, *extra)
+            else:
+                rows = rows.join(bound, on, "left_semi") if on else rows.join(bound.limit(1), how="left_semi")
+        own = own + extra
+    return rows
+
+
 def body_groundings(rule: Rule, kb: Kb) -> list[tuple[list[int], DataFrame]]:
     """Of each body component its atom numbers, and its whole rows joined without the head: columns b1_a*, b2_a*, ..."""
     groups = linked([set(b.vars) for b in rule.body if b.vars])
@@ -190,8 +271,9 @@ def body_groundings(rule: Rule, kb: Kb) -> list[tuple[list[int], DataFrame]]:
     return [(ks, _grounded(None, {}, [(k, rule.atoms[k]) for k in ks], kb)) for ks in parts]
 
 
-def _grounded(rows: DataFrame | None, at: dict[Var, str], left: list[tuple[int, Atom]], kb: Kb, used: set[str] | None = None) -> DataFrame:
-    """rows, whose columns `at` hold variables, joined with the rows of atoms; of these only `used` columns, if given."""
+def _grounded(rows: DataFrame | None, at: dict[Var, str], left: list[tuple[int, Atom]], kb: Kb, used: set[str] | None = None, marked: tuple[str, DataFrame] | None = None) -> DataFrame:
+    """rows, whose columns `at` hold variables, joined with the rows of atoms; of these only `used` columns, if given.
+    marked: a column of an atom and marks (of val: m_*), which take the place of its values."""
     while left:
         k, atom = next(((k, a) for k, a in left if set(a.vars) & set(at)), left[0])
         left.remove((k, atom))
@@ -207,6 +289,8 @@ def _grounded(rows: DataFrame | None, at: dict[Var, str], left: list[tuple[int,
                     on.append(rows[at[arg]] == part[name])
                 else:
                     at[arg] = name
+        if marked is not None and marked[0] in part.columns:
+            part = part.join(marked[1].withColumnRenamed("val", marked[0]), marked[0])
         if used is not None:
             later = {at[v] for _, a in left for v in a.vars if v in at}
             joins = {f"b{k}_a{i}" for i, arg in enumerate(atom.args) if isinstance(arg, Var) and at[arg] != f"b{k}_a{i}"}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,15 +37,40 @@ def dependencies(rule: Rule, proofs: DataFrame) -> DataFrame:
 
 @dataclass
 class Compressed:
+    """A base's rules and what is kept beside them. What is kept is worked out when it is first asked for."""
+
     kb: Kb
     rules: list[Scored]
-    necessary: dict[str, DataFrame]
     counter: dict[str, DataFrame]
-    feedback: DataFrame
-    supplementary: DataFrame
-    edges: DataFrame
+    #: Dependency edges of each rule's proofs.
+    proofs: list[DataFrame]
     stats: Stats = field(default_factory=Stats)
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        return checkpointed(reduce(DataFrame.unionByName, self.proofs, self.kb.spark.createDataFrame([], EDGES)).distinct())
+
+    @cached_property
+    def feedback(self) -> DataFrame:
+        """Nodes on cycles of proofs, and which of them break the cycles."""
+        with self.stats.timed("dependency"):
+            graph = self.edges.filter("dst_rel <> ''").select(node(F.col("src_rel"), F.col("src_args")).alias("src"), node(F.col("dst_rel"), F.col("dst_args")).alias("dst"))
+            return checkpointed(cycle_breakers(graph))
+
+    @cached_property
+    def necessary(self) -> dict[str, DataFrame]:
+        feedback, kept = self.feedback, {}
+        with self.stats.timed("dependency"):
+            broken = self.edges.select("src_rel", "src_args").distinct().join(feedback.filter("feedback"), node(F.col("src_rel"), F.col("src_args")) == F.col("node"), "left_semi")
+            for name, r in self.kb.relations.items():
+                back = broken.filter(F.col("src_rel") == name).select(*[F.col("src_args")[i].alias(c) for i, c in enumerate(r.cols)])
+                kept[name] = checkpointed(r.split()[1].unionByName(back))
+        return kept
+
+    @cached_property
+    def supplementary(self) -> DataFrame:
+        return checkpointed(supplementary_constants(self.kb, self.necessary, self.counter, [s.rule for s in self.rules]))
+
     def facts(self) -> Kb:
         return Kb(self.kb.name, {k: Relation(k, self.kb[k].arity, df) for k, df in self.necessary.items()}, self.kb.n)
 
@@ -102,17 +127,7 @@ def accept(kb: Kb, rule: Rule) -> tuple[Kb, DataFrame, DataFrame]:
 
 
 def finish(kb: Kb, rules: list[Scored], counter: dict[str, DataFrame], edges: list[DataFrame], stats: Stats | None = None) -> Compressed:
-    """Break the cycles of proofs, and collect what has to be kept."""
-    every = checkpointed(reduce(DataFrame.unionByName, edges, kb.spark.createDataFrame([], EDGES)).distinct())
-    graph = every.filter("dst_rel <> ''").select(node(F.col("src_rel"), F.col("src_args")).alias("src"), node(F.col("dst_rel"), F.col("dst_args")).alias("dst"))
-    feedback = checkpointed(cycle_breakers(graph))
-    broken = every.select("src_rel", "src_args").distinct().join(feedback.filter("feedback"), node(F.col("src_rel"), F.col("src_args")) == F.col("node"), "left_semi")
-    necessary = {}
-    for name, r in kb.relations.items():
-        back = broken.filter(F.col("src_rel") == name).select(*[F.col("src_args")[i].alias(c) for i, c in enumerate(r.cols)])
-        necessary[name] = checkpointed(r.split()[1].unionByName(back))
-    extra = checkpointed(supplementary_constants(kb, necessary, counter, [s.rule for s in rules]))
-    return Compressed(kb, rules, necessary, counter, feedback, extra, every, stats or Stats())
+    return Compressed(kb, rules, counter, edges, stats or Stats())
 
 
 def compress_with(kb: Kb, rules: list[Rule]) -> Compressed:
@@ -153,8 +168,7 @@ def compress(kb: Kb, config: Config = Config(), targets: list[str] | None = None
             counter[pred] = tb.union_of(counter[pred], wrong) if pred in counter else wrong
             edges.append(new)
             left -= int(rules[-1].eval.pos)
-    with scorer.stats.timed("dependency"):
-        return finish(scorer.kb, rules, counter, edges, scorer.stats)
+    return finish(scorer.kb, rules, counter, edges, scorer.stats)
 
 
 def evals(rules: list[Scored]) -> list[tuple[str, Eval]]:

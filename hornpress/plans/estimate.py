@@ -205,7 +205,7 @@ def evaluated(scorer: Scorer, chosen: list[tuple[Eval, Scored, Rule, Move]]) ->
     if not chosen:
         return []
     beams = list(dict.fromkeys(p for _, p, _, _ in chosen))
-    kept = scorer.kept_counts([b.rule for b in beams], [(beams.index(p), m) for _, p, _, m in chosen])
+    kept = scorer.kept_counts([b.rule for b in beams], [(beams.index(p), m) for _, p, _, m in chosen], [r for _, _, r, _ in chosen])
     total = scorer.kb.sizes[beams[0].rule.head.pred]
     good = [(p, r, pos, old) for (_, p, r, _), (pos, old) in zip(chosen, kept, strict=True) if total and pos / total > scorer.config.coverage]
     derived = scorer.derived_counts([r for _, r, _, _ in good])

@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,10 @@ from hornpress.plans import compile as cp
 from hornpress.plans.rules import Atom, Const, Move, Place, Pruner, Rule, Var, moves
 
 
+#: Joins that are estimated to make more rows than this are taken apart; bases of fewer tuples are not looked at.
+MANY_ROWS, FEW_TUPLES = 20_000_000, 10_000
+
+
 @dataclass(frozen=True)
 class Config:
     beam: int = 5
@@ -82,6 +86,37 @@ class Scorer:
         ndv = self.kb.colvals.groupBy("rel", "col").agg(F.count("*").alias("n")).collect()
         self.ndv = {(r["rel"], r["col"]): r["n"] for r in ndv}
 
+    # --- sizes of joins ----------------------------------------------------------------------
+
+    @cached_property
+    def meets(self) -> dict[tuple[tuple[str, int], tuple[str, int]], int]:
+        """Rows of the join of each two columns."""
+        self.stats.jobs += 1
+        one = self.kb.colvals.select("val", F.struct("rel", "col").alias("x"), F.col("cnt").alias("m"))
+        other = self.kb.colvals.select("val", F.struct("rel", "col").alias("y"), F.col("cnt").alias("n"))
+        return {(tuple(r["x"]), tuple(r["y"])): int(r["rows"]) for r in one.join(other, "val").groupBy("x", "y").agg(F.sum(F.col("m").cast("double") * F.col("n")).alias("rows")).collect()}
+
+    def rows_made(self, atoms: list[Atom]) -> float:
+        """An estimate of the most rows that a join of atoms, one after the other, makes on its way. It decides how
+        things are counted, not what is found."""
+        sizes, order, left = self.kb.sizes, [atoms[0]], list(atoms[1:])
+        most = rows = float(sizes[atoms[0].pred])
+        while left:
+            have = {v for a in order for v in a.vars}
+            a = next((a for a in left if set(a.vars) & have), left[0])
+            left.remove(a)
+            ways = [self.meets.get(((o.pred, o.args.index(v)), (a.pred, a.args.index(v))), 0) / max(1, sizes[o.pred]) for o in order for v in set(a.vars) & set(o.vars)]
+            rows *= min(ways, default=sizes[a.pred])
+            most = max(most, rows)
+            order.append(a)
+        return most
+
+    def single(self, pred: str, place: int) -> bool:
+        return self.ndv.get((pred, place)) == self.kb.sizes[pred]
+
+    def many(self, atoms: list[Atom]) -> bool:
+        return len(atoms) > 1 and sum(self.kb.sizes.values()) > FEW_TUPLES and self.rows_made(atoms) > MANY_ROWS
+
     # --- derived tuples ----------------------------------------------------------------------
 
     def _component(self, atoms: list[Atom], gvs: list[Var]) -> tuple[str, int | None]:
@@ -97,6 +132,7 @@ class Scorer:
     def derived_counts(self, rules: list[Rule]) -> dict[Rule, float]:
         """How many tuples each rule derives."""
         wanted: dict[str, DataFrame] = {}
+        summed: dict[str, DataFrame] = {}
         parts: dict[Rule, list[str]] = {}
         known: dict[str, int] = {}
         for rule in rules:
@@ -108,12 +144,15 @@ class Scorer:
                 parts[rule].append(label)
                 if n is not None:
                     known[label] = n
+                elif gvs and self.many(atoms):
+                    summed.setdefault(label, cp.bindings_counted(atoms, self.kb, set(gvs), self.single).select(F.lit(label).alias("label"), "n"))
                 elif label not in wanted:
                     bound = cp.joined(atoms, self.kb, set(gvs))
                     wanted[label] = (bound if gvs else bound.limit(1)).select(F.lit(label).alias("label"))
-        if wanted:
+        if wanted or summed:
             self.stats.jobs += 1
-            found = reduce(DataFrame.unionByName, wanted.values()).groupBy("label").agg(F.count("*").alias("n")).collect()
+            listed = [reduce(DataFrame.unionByName, wanted.values()).groupBy("label").agg(F.count("*").alias("n"))] if wanted else []
+            found = reduce(DataFrame.unionByName, [*listed, *summed.values()]).collect()
             self.counts |= dict.fromkeys(wanted, 0) | {r["label"]: r["n"] for r in found}
         out = {}
         for rule in rules:
@@ -129,13 +168,32 @@ class Scorer:
     def _column(place: Place) -> str:
         return f"h_a{place[1]}" if place[0] == 0 else f"b{place[0]}_a{place[1]}"
 
-    def kept_counts(self, beams: list[Rule], asked: list[tuple[int, Move]]) -> list[tuple[int, int]]:
-        """Of each (beam number, move) how many head rows it keeps: (not entailed, entailed)."""
-        tests, lookups = [], []
+    def _apart(self, rule: Rule, b: int, mine: list[tuple[int, Move, Rule]]) -> list[DataFrame]:
+        """(entailed, k) of the head rows that each of a rule's moves keeps, for a rule whose groundings are too many to list: each longer rule is
+        asked which head rows it keeps, and each body place in which columns the values are that a head row meets."""
+        first = lambda r: lambda atoms: self.rows_made([r.head, *atoms]) < self.rows_made(atoms)
+        out = [cp.kept_by(longer, self.kb, first(longer)).select(F.col("h_entailed").alias("entailed"), F.lit(k).alias("k")) for k, m, longer in mine if m[0] != "in"]
+        for place in sorted({m[1] for _, m, _ in mine if m[0] == "in"}):
+            wanted = {m[2]: k for k, m, _ in mine if m[0] == "in" and m[1] == place}
+            plan = self.kb.spark.createDataFrame([(*c, k) for c, k in wanted.items()], "rel string, col int, m_k int")
+            marks = self.kb.colvals.join(F.broadcast(plan), ["rel", "col"]).select("val", "m_k")
+            if place[0]:
+                met = cp.kept_by(rule, self.kb, first(rule), place, marks)
+            else:
+                met = cp.kept_by(rule, self.kb, first(rule)).join(marks, F.col(self._column(place)) == F.col("val"))
+            out.append(met.select(F.col("h_entailed").alias("entailed"), F.col("m_k").alias("k")))
+        return out
+
+    def kept_counts(self, beams: list[Rule], asked: list[tuple[int, Move]], longer: list[Rule]) -> list[tuple[int, int]]:
+        """Of each (beam number, move), and the longer rule it makes, how many head rows it keeps: (not entailed, entailed)."""
+        tests, lookups, apart = [], [], []
         for b, rule in enumerate(beams):
             mine = [(k, m) for k, (at, m) in enumerate(asked) if at == b]
             if not mine:
                 continue
+            if any(self.many([rule.head, *atoms]) for atoms in [list(rule.body), *cp.components(rule)]):
+                apart += self._apart(rule, b, [(k, m, longer[k]) for k, m in mine])
+                continue
             used = sorted({self._column(p) for _, m in mine for p in ([m[1], m[2]] if m[0] == "eq" else [m[1]])})
             width = len(rule.head.args)
             row = F.array(*[F.col(f"h_a{i}") for i in range(width)]).alias("head")
@@ -154,10 +212,12 @@ class Scorer:
             met = reduce(DataFrame.unionByName, lookups).join(self.kb.colvals.select("rel", "col", "val"), "val")
             tests.append(met.join(F.broadcast(plan), ["beam", "place", "rel", "col"]).select("head", "entailed", "k"))
         out = [(0, 0)] * len(asked)
-        if tests:
+        if tests or apart:
             self.stats.jobs += 1
-            kept = reduce(DataFrame.unionByName, tests).distinct().groupBy("k").agg(F.sum((~F.col("entailed")).cast("long")).alias("pos"), F.sum(F.col("entailed").cast("long")).alias("old"))
-            for r in kept.collect():
+            listed = [reduce(DataFrame.unionByName, tests).distinct()] if tests else []
+            # of those that are asked apart no head row repeats; each is summed by itself
+            kept = [t.groupBy("k").agg(F.sum((~F.col("entailed")).cast("long")).alias("pos"), F.sum(F.col("entailed").cast("long")).alias("old")) for t in listed + apart]
+            for r in reduce(DataFrame.unionByName, kept).collect():
                 out[r["k"]] = (r["pos"], r["old"])
         return out
 
@@ -173,7 +233,7 @@ class Scorer:
                     self.stats.pruned += 1
         total = self.kb.sizes[beams[0].rule.head.pred]
         good = []
-        for (b, _), rule, (pos, old) in zip(asked, rules, self.kept_counts([s.rule for s in beams], asked), strict=True):
+        for (b, _), rule, (pos, old) in zip(asked, rules, self.kept_counts([s.rule for s in beams], asked, rules), strict=True):
             if self.config.coverage >= pos / total:
                 pruner.add_tabu(rule)
                 self.stats.pruned += 1

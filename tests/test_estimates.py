@@ -1,4 +1,5 @@
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from hornpress.plans import compile as cp
 from hornpress.plans import estimate as es
 from hornpress.plans.rules import Pruner, Rule, Var, parse_rule
 from hornpress.plans.search import Config, Scored, Scorer
-from tests.fixtures import FAMILY, KIN, kb
+from tests.fixtures import FAMILY, KIN, kb, shuffled
 
 
 @pytest.fixture(scope="module")
@@ -144,3 +145,40 @@ def test_entailed_rows_are_estimated_apart(spark):
     rule = parse_rule("h(X,Y):-p(X,Y)")
     found = {str(r): (e, r) for e, _, r, _ in es.ranked_children(s, [Scored(rule, cp.evaluate(rule, base))], Pruner())}
     exact(base, found, "h(X,Y):-p(X,Y),q(X)")
+
+
+def test_scores_of_joins_taken_apart(spark, monkeypatch):
+    """Counted without listing groundings, scores are those of single rules."""
+    import random as rnd
+
+    from hornpress.plans import search
+
+    draw = rnd.Random(5)
+    pairs = lambda n: sorted({(draw.randint(1, 9), draw.randint(1, 9)) for _ in range(n)})
+    base = kb(spark, {"p": pairs(22), "q": pairs(18), "u": [(k,) for k in (1, 3, 4, 8)], "f": [(k, k % 3 + 1) for k in range(1, 10)]}, 9).persisted()
+    first = parse_rule("p(X,?):-u(X)")
+    base = base.with_relation(base["p"].entail(cp.newly_entailed(first, base)))
+    monkeypatch.setattr(search, "MANY_ROWS", 0)
+    monkeypatch.setattr(search, "FEW_TUPLES", 0)
+    s = Scorer(base, Config(coverage=-1.0))
+    for text in ("p(?,?):-", "p(X,?):-q(?,X)", "p(X,Y):-q(X,Z),f(Y,Z)", "p(X,Y):-f(X,?),q(?,Y)", "p(X,Y):-q(X,Z),q(Z,Y)"):
+        rule = parse_rule(text)
+        children = s.children([Scored(rule, cp.evaluate(rule, base))], Pruner())[0]
+        chosen = draw.sample(children, min(12, len(children)))
+        rows = [cp.evaluation(c.rule, base).selectExpr(f"{k} as k", "pos", "`all`") for k, c in enumerate(chosen)]
+        plain = {r["k"]: (r["pos"], r["all"]) for r in reduce(lambda x, y: x.unionByName(y), rows).collect()}
+        assert {k: (c.eval.pos, c.eval.all) for k, c in enumerate(chosen)} == plain
+
+
+def test_groundings_of_a_hub_are_not_listed(spark, monkeypatch):
+    from hornpress.plans import search
+
+    monkeypatch.setattr(search, "MANY_ROWS", 100_000, raising=False)
+    monkeypatch.setattr(search, "FEW_TUPLES", 100, raising=False)
+    made = {"oc": [(k, 3001 + k % 500) for k in range(1, 2001)], "on": [(k, 4001 + k % 500 % 5) for k in range(1, 2001)], "cn": [(3001 + c, 4001 + c % 5) for c in range(500)]}
+    base = kb(spark, made, 4005).persisted()
+    rule, s = parse_rule("on(?,X):-cn(?,X)"), Scorer(base, Config())
+    start, found = Scored(rule, cp.evaluate(rule, base)), []
+    assert shuffled(spark, lambda: found.extend(s.children([start], Pruner())[0])) < 100_000  # groundings: 200,000
+    scores = {(c.eval.pos, c.eval.all) for c in found if {"oc", "cn"} <= {b.pred for b in c.rule.body}}
+    assert (2000, 10_000) in scores
